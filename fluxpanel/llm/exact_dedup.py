@@ -65,6 +65,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = tested.filter("maybe").drop("maybe")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     groups = again.groupBy(F.col("digest").alias("g")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # read back from a table, so that both sides of the join are plain exchanges and a hot digest's rows can be split
+    groups = written(groups, "groups")
     joined = again.join(groups, F.col("digest") == F.col("g")).select(*cols, F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"))
     out = alone.unionByName(joined)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
