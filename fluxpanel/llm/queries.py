@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .minhash import near_dedup
 from .packing import pack
 from .quality import quality_rules
 from .token_files import read_token_files, write_token_files
@@ -50,6 +51,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
@@ -57,6 +62,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filters": op9_url_filters,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -82,4 +88,17 @@ ORACLE_SQL = {
                CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
                     WHEN coalesce({_any_pattern}, false) THEN 'block' ELSE 'allow' END AS verdict
         FROM r""",
+    "op10_minhash_near_dedup": f"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACES}'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM t),
+        g AS (SELECT unnest(s) AS g, doc_id FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS m FROM s UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.a WHERE r.m < e.b)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(m) AS component_id, doc_id = min(m) AS kept
+        FROM s JOIN r ON r.a = doc_id GROUP BY doc_id, len(s)""",
 }
