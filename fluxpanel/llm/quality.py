@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import broadcast_value, written
+from .shared import bounded_sample, broadcast_value, written
 
 TREES, SAMPLE = 100, 256
 #: Share of the labelled good rows that the threshold keeps.
@@ -137,8 +137,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_
     table = written(narrow.mapInArrow(_stats_batches, schema), "quality")
     failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
     # the sample: the rows of smallest hash, TREES * SAMPLE at most
-    order = F.xxhash64(F.lit(17), F.col("doc_id"))
-    grown = table.filter(~failed).select(*STATS, order.alias("_o")).orderBy("_o", *STATS).limit(trees * sample).drop("_o").toPandas()
+    fit = table.filter(~failed)
+    grown = bounded_sample(fit.select("doc_id", *STATS), trees * sample, F.xxhash64(F.lit(17), F.col("doc_id")), fit.count()).toPandas()
     forest = broadcast_value(spark, grow_forest(features(grown[STATS].to_numpy(np.int64)) if len(grown) else np.zeros((0, 7)), trees, sample))
 
     def score(batches):
