@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import broadcast_value
+from .shared import bounded_sample, broadcast_value
 
 SAMPLE = 12_000
 MIN_DOCS = 8
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model: sorted word hashes, their weights, thresholds, cut. Without labelled rows nothing is toxic."""
     spark = docs.sparkSession
     labelled = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_l")).agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
-    picked = labelled.orderBy(F.xxhash64(F.lit(23), F.col("_l")), "_l").limit(sample).collect()
+    picked = bounded_sample(labelled, sample, F.xxhash64(F.lit(23), F.col("_l")), labelled.count()).collect()
     truth = {r["_l"]: int(r["toxic"] > 0) * (1 + int(r["quality"] == 0)) for r in picked}
     ids = broadcast_value(spark, frozenset(truth))
     kind = dict(docs.dtypes)[id_col]
