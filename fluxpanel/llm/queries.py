@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .minhash import near_dedup
 from .packing import pack
 from .quality import quality_rules
+from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity
 from .url_rules import PATTERNS, judge_urls
@@ -43,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "spaces", end=2)
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filters": op9_url_filters,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
@@ -74,6 +80,15 @@ ORACLE_SQL = {
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+    "op7_substring_dedup": f"""
+        WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest([array_to_string(w[i:i + 19], ' ') for i in range(1, len(w) - 18)]) AS g FROM t),
+        d AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM d),
+        x AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string([w[i] for i in range(1, len(w) + 1) if gone IS NULL OR NOT list_contains(gone, i)], ' ')) AS kept_sha256
+        FROM t LEFT JOIN x USING (doc_id)""",
     "op9_url_filters": f"""
         WITH p AS (
             SELECT page_id, url,
