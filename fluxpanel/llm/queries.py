@@ -13,6 +13,7 @@ from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity
 from .url_rules import PATTERNS, judge_urls
+from .warc import archive_and_read
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), "words", end=2)
     return read_token_files(files)
@@ -61,6 +66,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_index": op1_warc_index,
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_toxicity": op5_toxicity,
@@ -76,6 +82,13 @@ _any_pattern = " OR ".join(f"regexp_matches(translate(url, 'ABCDEFGHIJKLMNOPQRST
 _fit = lambda h, p: f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')"
 
 ORACLE_SQL = {
+    "op1_warc_index": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f""",
     "op3_exact_dedup": f"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
