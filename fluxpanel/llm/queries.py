@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .minhash import near_dedup
 from .packing import pack
 from .quality import quality_rules
+from .segmentations import sample_segmentations
 from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity
@@ -40,6 +41,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op1_warc_index": op1_warc_index,
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_segmentations": op4_segmentations,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
