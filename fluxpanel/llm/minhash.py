@@ -27,7 +27,7 @@ from .components import components
 from .shared import broadcast_value, written
 
 ROWS, BANDS = 4, 24
-BLOCK = 384
+BLOCK = 768
 MAX_BITS = 1 << 27
 COLUMNS = 4096
 
@@ -169,7 +169,7 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, group: np.ndarray, per
 
 
 def _verify_blocks(percent: int):
-    """Rows sorted by unit (cluster, i, j); a unit has the texts of one block or two. Emits links between components."""
+    """Rows sorted by unit (cluster, i, j); a unit has the texts of one block or two. Emits pairs of components that a link joins."""
 
     def run(batches):
         key, held = None, []
@@ -179,7 +179,7 @@ def _verify_blocks(percent: int):
             if len(held) > 1:
                 sides = np.array([h[1] for h in held])
                 links = block_links([h[3] for h in held], sides, np.array([h[2] for h in held]), percent)
-            return [held[i][0] for i, _ in links], [held[j][0] for _, j in links]
+            return [held[i][2] for i, _ in links], [held[j][2] for _, j in links]
 
         kind = None
         for b in batches:
@@ -204,8 +204,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are linked when 100 * |A and B| >= percent * |A or B| for their sets of ``size``-word shingles, A-Z lower-cased.
     A text of fewer words has its whole sequence as its one shingle; a null, empty or blank text has none and is linked
-    with nothing. Rows that share an id count as one text for links (each row keeps its own n_shingles). A row with a null
-    id has a null component and is kept.
+    with nothing. Ids should be unique; where rows share one, each row is judged by its own text, but an id that stands for several
+    texts joins their components. A row with a null id has a null component and is kept. An empty table gives no rows.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -213,9 +213,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # 1. one representative for each set
     real = table.filter("n > 0 and id is not null")
     groups = written(real.groupBy("digest").agg(F.min("id").alias("rep")), "sets")
-    member = written(real.select("id", "digest", "bands").join(groups, "digest").select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "member")
+    member = written(real.select("id", "n", "digest", "bands").join(groups, "digest").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "member")
     reps = member.filter("bands is not null").select("id", "bands")
-    copies = member.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # 2. ties to the smallest text under each key
     keys = reps.select("id", F.explode("bands").alias("key"))
     pivots = written(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select(F.col("key").alias("k"), "pivot"), "pivots")
@@ -236,8 +235,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, n), pa.array([raw[p:q] for p, q in zip(off, off[1:], strict=False)], pa.binary())], ["id", "set"])
 
     placed = narrow.filter("id is not null").withColumn("place", F.xxhash64("id").bitwiseAND(F.lit(bits - 1)))
-    sets = placed.mapInArrow(sets_of, "id bigint, set binary")
-    sets = written(sets.join(inside, "id", "left_semi"), "candidates")
+    sets = written(placed.mapInArrow(sets_of, "id bigint, set binary"), "candidates")
     # 3. verified ties
     fan = ties.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("salts"))
     tied = ties.join(sets, "id").select("pivot", F.col("id"), "set")
@@ -267,7 +265,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.filter(F.col("own").isNull() | (F.col("other") < F.col("pools") + F.col("at")) | (F.col("other") >= F.col("pools") + F.col("at") + F.col("own")))
     units = rows.select("id", "component", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
     units = units.join(sets, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    more = units.mapInArrow(_verify_blocks(percent), "a bigint, b bigint")
-    final = written(components(links.unionByName(written(more, "more")).unionByName(copies)), "component")
-    out = table.select("id", "n").join(final, F.col("id") == F.col("node"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # links between components join whole components; most often there are few
+    more = components(units.mapInArrow(_verify_blocks(percent), "a bigint, b bigint"))
+    more = more.select(F.col("node").alias("c"), F.col("component").alias("joined"))
+    final = first.join(more, F.col("component") == F.col("c"), "left").select("node", F.coalesce("joined", "component").alias("component"))
+    alone = more.join(first, F.col("c") == F.col("node"), "left_anti").select(F.col("c").alias("node"), F.col("joined").alias("component"))
+    final = written(final.unionByName(alone), "component")
+    # a set's copies share its representative's component
+    out = member.join(final, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = out.unionByName(table.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
