@@ -1,2 +1,419 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries over the driver's tables, one for each operator, bound to the order panel.
+
+px is the nation, day the shipping day, v the mean quantity, n the number of lines, u the mean price and t a temperature made
+of u. The pseudo-grid has five rows and columns of places. Thresholds are parameters; those here give events on these
+tables. Results are rounded, so that sums taken in another order compare.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import frames, grid
+from .functions.quartiles import percentile_table, quartile_of, with_quartile
+from .operators import anomaly, clusters, composite, enrich, events, landcover, regions, sensitivity, stats
+from .operators.events import Rule
+from .oracle import ORACLE_SQL
+from .plans.panel import order_panel, read
+from .registry import Variable
+from .sources import ingest
+
+RULE = Rule(prior=-0.25, after=-0.5, below=-0.5, min_days=7)
+LAGS = 30
+SPAN = ("1995-01-01", "2001-11-04")
+YEARS = (1995, 2000)
+#: land-cover key: public legend codes of the classes that the fixture uses
+KEY = [("cropland_rainfed", 10), ("cropland_rainfed_herbaceous_cover", 11), ("cropland_rainfed_tree_or_shrub_cover", 12), ("shrubland", 120), ("grassland", 130), ("sparse_vegetation", 150)]
+CODES = [10, 11, 120, 130, 150]
+
+
+def panel(spark: SparkSession, sf: str) -> DataFrame:
+    return order_panel(spark, sf)
+
+
+def z_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel with standardised anomalies z of v, and n as it is."""
+    return anomaly.standardised(panel(spark, sf), "v")
+
+
+def zu_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """z and the standardised anomaly zu of u."""
+    return anomaly.standardised(z_panel(spark, sf), "u", name="zu")
+
+
+def feats(spark: SparkSession, sf: str) -> DataFrame:
+    return events.features(z_panel(spark, sf))
+
+
+def event_rows(spark: SparkSession, sf: str, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
+    f = feats(spark, sf)
+    return events.intervals(f, rule), f
+
+
+def onsets(spark: SparkSession, sf: str) -> DataFrame:
+    return event_rows(spark, sf)[0]
+
+
+def located(cat: DataFrame) -> DataFrame:
+    return cat.withColumn("lat", F.lit(4.0) + F.floor(F.col("px") / 5) * 4.0).withColumn("lon", F.lit(-18.0) + (F.col("px") % 5) * 7.0)
+
+
+def land_cover(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    years = F.explode(F.sequence(F.lit(YEARS[0]), F.lit(YEARS[1])))
+    nations = read(spark, sf, "nation").select(F.col("n_nationkey").alias("px"), "n_regionkey").withColumn("year", years)
+    pick = (F.col("n_regionkey") + F.col("year") + F.col("px")) % len(CODES)
+    cover = nations.select("px", "year", F.element_at(F.array(*map(F.lit, CODES)), pick + 1).alias("class"))
+    return cover, spark.createDataFrame(KEY, "land_cover string, flag int")
+
+
+def catalogue(spark: SparkSession, sf: str, rule: Rule = RULE) -> DataFrame:
+    return events.catalogue(*event_rows(spark, sf, rule))
+
+
+def r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(f"`{c}`", digits) for c in cols})
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    """Event catalogue of the smallest tables."""
+    return catalogue(spark, "/root/testdata/sf0.001", Rule(prior=-0.25, after=-0.5, below=-0.5, min_days=3, frozen=None))
+
+
+# --- windows, climatology, anomalies
+
+
+def panel_daily(spark, sf):
+    return panel(spark, sf)
+
+
+def _window(col, name, expr):
+    def run(spark, sf):
+        return r(panel(spark, sf).select("px", "day", expr(col).alias(name)), name)
+
+    return run
+
+
+rolling_centred_mean = _window("v", "mean_5d", lambda c: frames.centred_mean(c, 5, 2))
+rolling_trailing_mean = _window("v", "mean_30d", lambda c: frames.trailing_mean(c, 30, 5))
+rolling_leading_min = _window("v", "min_next_20d", lambda c: frames.leading_min(c, 20))
+rolling_leading_max = _window("v", "max_20d", lambda c: frames.leading_max(c, 20, 2))
+rolling_centred_min = _window("t", "min_61d", lambda c: frames.centred_min(c, 61))
+
+
+def climatology(spark, sf):
+    return r(anomaly.climatology(panel(spark, sf), "v"), "clim_mean", "clim_std")
+
+
+def std_anomaly(spark, sf):
+    return r(z_panel(spark, sf).select("px", "day", "z"), "z")
+
+
+def anomaly_mean_only(spark, sf):
+    return r(anomaly.departures(panel(spark, sf), "v").select("px", "day", "d"), "d")
+
+
+def climatology_observed(spark, sf):
+    return r(anomaly.observed_climatology(panel(spark, sf), "v").select("px", "day", "clim_mean", "clim_std"), "clim_mean", "clim_std")
+
+
+def detrend(spark, sf):
+    return r(anomaly.detrended(panel(spark, sf), "v").select("px", "day", "detrended"), "detrended")
+
+
+def detection_features(spark, sf):
+    return feats(spark, sf)
+
+
+# --- events
+
+
+def drought_mask(spark, sf):
+    return events.mask(onsets(spark, sf))
+
+
+def event_catalogue(spark, sf):
+    return r(catalogue(spark, sf), "max_intensity")
+
+
+def event_catalogue_growing_season(spark, sf):
+    f = feats(spark, sf)
+    return r(events.catalogue(events.intervals(f, RULE, events.peak_month(panel(spark, sf), "u")), f), "max_intensity")
+
+
+def runs_of_mask(spark, sf):
+    return events.runs_of_mask(panel(spark, sf).withColumn("flag", F.coalesce(F.col("v") < 20, F.lit(False))))
+
+
+def places(spark, sf):
+    return read(spark, sf, "nation").select(F.col("n_nationkey").alias("px"))
+
+
+def onset_count_map(spark, sf):
+    return events.onset_counts(onsets(spark, sf), places(spark, sf))
+
+
+def places_without_events(spark, sf):
+    rare = events.intervals(feats(spark, sf), Rule(prior=-0.25, after=-1.0, below=-1.0, min_days=6))
+    return events.places_with_events(rare, places(spark, sf), any_event=False)
+
+
+def peak_month(spark, sf):
+    return events.peak_month(panel(spark, sf), "u")
+
+
+# --- land cover and composites
+
+
+def land_cover_daily(spark, sf):
+    cover, _ = land_cover(spark, sf)
+    return landcover.class_of_day(panel(spark, sf).select("px", "day"), cover, first=YEARS[0], last=YEARS[1])
+
+
+def top_land_cover_map(spark, sf):
+    return landcover.top_map(land_cover(spark, sf)[0], 1998, [10, 120, 130], onsets(spark, sf))
+
+
+def composite_plain(spark, sf):
+    return r(composite.composite(onsets(spark, sf), zu_panel(spark, sf), "zu", LAGS), "composite_mean")
+
+
+def composite_spread(spark, sf):
+    return r(composite.composite(onsets(spark, sf), zu_panel(spark, sf), "zu", LAGS, spread=True), "composite_mean", "composite_std")
+
+
+def composite_land_cover(spark, sf):
+    cover, key = land_cover(spark, sf)
+    rows = landcover.class_of_day(onsets(spark, sf), cover, "start", *YEARS)
+    rows = rows.withColumn("land_cover", landcover.group_name(F.col("class"), key)).filter("land_cover is not null")
+    return r(composite.composite(rows, zu_panel(spark, sf), "zu", LAGS, by=["land_cover"]), "composite_mean")
+
+
+def composite_one_group(spark, sf):
+    cover, key = land_cover(spark, sf)
+    rows = landcover.in_group(onsets(spark, sf), cover, key, "all_cropland_rainfed", "start", first=YEARS[0], last=YEARS[1])
+    return r(composite.composite(rows, zu_panel(spark, sf), "zu", LAGS), "composite_mean")
+
+
+def composite_weighted(spark, sf):
+    return r(composite.composite(onsets(spark, sf), zu_panel(spark, sf), "zu", LAGS, weight="n", least=2), "composite_mean", "composite_total_obs")
+
+
+def peaks(spark, sf) -> DataFrame:
+    """Event starts with the greatest u of the next 20 days, of days with two lines or more."""
+    p = ingest.least_count(panel(spark, sf), "u", "n", 2).select("px", "day", frames.leading_max("u", 20, 2).alias("peak"))
+    return onsets(spark, sf).join(p.withColumnRenamed("day", "start"), ["px", "start"], "left")
+
+
+def event_percentiles(spark, sf):
+    return r(percentile_table(peaks(spark, sf), "peak"), "value")
+
+
+def event_quartiles(spark, sf):
+    return r(with_quartile(peaks(spark, sf), "peak").select("px", "start", "peak", F.coalesce("quartile", F.lit(0)).alias("quartile")), "peak")
+
+
+def _by_quartile(spark, sf):
+    return with_quartile(peaks(spark, sf), "peak").filter("quartile is not null")
+
+
+def composite_quartile(spark, sf):
+    return r(composite.composite(_by_quartile(spark, sf), zu_panel(spark, sf), "zu", LAGS, by=["quartile"]), "composite_mean")
+
+
+def composite_weighted_quartile(spark, sf):
+    return r(composite.composite(_by_quartile(spark, sf), zu_panel(spark, sf), "zu", LAGS, by=["quartile"], weight="n", least=2), "composite_mean", "composite_total_obs")
+
+
+def composite_smoothed(spark, sf):
+    return r(composite.smoothed(composite.composite(onsets(spark, sf), zu_panel(spark, sf), "zu", LAGS)), "composite_mean", "composite_smooth")
+
+
+# --- enrichment
+
+
+def _enrich(kind, smooth=None, first=0, last=20):
+    def run(spark, sf):
+        name = enrich.column_name("u", kind, first, last, smooth=smooth)
+        out = enrich.add_window(onsets(spark, sf), zu_panel(spark, sf), "zu", "u", kind, first, last, smooth, span=SPAN)
+        return r(out, name).withColumnRenamed(name, "value")
+
+    return run
+
+
+def _enrich_weighted(kind, smooth=None, first=0, last=20, compat=False):
+    def run(spark, sf):
+        name, count = (enrich.column_name("u", kind, first, last, True, smooth, p) for p in ("std_anom", "n"))
+        out = enrich.add_weighted_window(onsets(spark, sf), zu_panel(spark, sf).select("px", "day", "zu", "n"), "zu", "n", "u", kind, first, last, 2, smooth, span=SPAN, compat_argmin=compat)
+        return r(out, name, count).withColumnRenamed(name, "value").withColumnRenamed(count, "obs")
+
+    return run
+
+
+# --- regions and statistics
+
+
+def regional_catalogue(spark, sf):
+    return r(regions.regional(located(catalogue(spark, sf)), "west_africa", "MJJAS"), "max_intensity")
+
+
+def regional_count_grid(spark, sf):
+    return regions.count_grid(regions.regional(located(onsets(spark, sf)), "west_africa"))
+
+
+def catalogue_bands(spark, sf):
+    far = onsets(spark, sf).withColumn("lat", F.lit(-50.0) + F.col("px") * 5.0)
+    return regions.banded(far).select("px", "start", "lat", "band", "band_order")
+
+
+def enriched(spark, sf) -> DataFrame:
+    """Events with a response and a predictor: greatest zu of 0..20 and mean z of -30..-1."""
+    p = zu_panel(spark, sf)
+    out = enrich.add_window(onsets(spark, sf), p, "zu", "u", "max", 0, 20, span=SPAN)
+    out = enrich.add_window(out, p, "z", "z", "mean", -30, -1, span=SPAN)
+    response, predictor = enrich.column_name("u", "max", 0, 20), enrich.column_name("z", "mean", -30, -1)
+    return out.select("px", "start", "end", F.round(f"`{response}`", 9).alias("response"), F.round(f"`{predictor}`", 9).alias("predictor"))
+
+
+def exceedance_report(spark, sf):
+    return r(stats.exceedance(enriched(spark, sf), "response", "predictor", 1.5), "percent")
+
+
+def kde_by_quartile(spark, sf):
+    rows = with_quartile(enriched(spark, sf).dropna(subset=["response", "predictor"]), "predictor")
+    return r(stats.density(rows, "response", "quartile", -4.0, 6.0, 51), "x", "density")
+
+
+def response_histogram(spark, sf):
+    return r(stats.histogram(enriched(spark, sf), "response"), "low", "high")
+
+
+def mann_whitney(spark, sf):
+    return r(stats.observed(enriched(spark, sf), "response", "predictor"), "u", "p")
+
+
+def box_sensitivity(spark, sf):
+    box = lambda c: grid.box_index(c, 2)
+    rows = onsets(spark, sf).withColumn("box_i", box(F.floor(F.col("px") / 5))).withColumn("box_j", box(F.col("px") % 5))
+    return r(sensitivity.sensitivity(rows, zu_panel(spark, sf), "z", "zu", ["box_i", "box_j"], least=20), "sensitivity").withColumn("n", F.col("n").cast("bigint"))
+
+
+def keyed(spark, sf):
+    cat = onsets(spark, sf).withColumn("row", F.floor(F.col("px") / 5).cast("int")).withColumn("col", F.col("px") % 5)
+    return cat.withColumn("key", F.datediff("start", F.lit("1995-01-01").cast("date")).cast("bigint") * 100 + F.col("px"))
+
+
+def event_clusters(spark, sf):
+    return clusters.cluster(keyed(spark, sf), reach=1).select("px", "start", "cluster_id")
+
+
+def bootstrap_samples(spark, sf):
+    rows = clusters.add_clusters(enriched(spark, sf), clusters.cluster(keyed(spark, sf), reach=0))
+    return r(stats.bootstrap(rows, "response", "predictor", "cluster_id", iterations=100), "p")
+
+
+def bootstrap_bound(spark, sf):
+    rows = clusters.add_clusters(enriched(spark, sf), clusters.cluster(keyed(spark, sf), reach=0))
+    return r(stats.bound(stats.bootstrap(rows, "response", "predictor", "cluster_id", iterations=100)), "bound")
+
+
+# --- ingest
+
+
+def ingest_mask_shift_crop(spark, sf):
+    rows = read(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("value"), (F.lit(-70.0) + F.col("o_custkey") % 160).alias("lat"), (F.lit(-180.0) + F.col("o_custkey") % 360).alias("lon"))
+    out = ingest.apply_rule(rows, Variable("value", below=250000.0, shift_hours=-12))
+    return out.select("o_orderkey", "day", "lat", "lon", F.round(F.col("value").cast("double"), 2).alias("value"))
+
+
+def regrid_half_cell(spark, sf):
+    rows = panel(spark, sf).select("day", F.floor(F.col("px") / 5).cast("int").alias("row"), (F.col("px") % 5).alias("col"), F.col("v").alias("value"))
+    return r(ingest.half_cell_regrid(rows), "value")
+
+
+def land_fraction_mask(spark, sf):
+    land = read(spark, sf, "nation").select(F.floor(F.col("n_nationkey") / 5).cast("int").alias("row"), (F.col("n_nationkey") % 5).alias("col"), (F.col("n_regionkey") / 4.0).alias("land_fraction"))
+    rows = panel(spark, sf).select("day", F.floor(F.col("px") / 5).cast("int").alias("row"), (F.col("px") % 5).alias("col"), F.col("v").alias("value"))
+    return r(ingest.land_only(rows, land), "value")
+
+
+def quality_threshold(spark, sf):
+    return ingest.least_count(panel(spark, sf).select("px", "day", "v", F.coalesce("n", F.lit(0)).alias("n")), "v", "n", 2, zero_counts=True)
+
+
+def tile_counts(spark, sf):
+    """Observed cells by tile of the pseudo-grid."""
+    t = panel(spark, sf).select(grid.tile_index(F.floor(F.col("px") / 5), 5, 2).alias("tile_i"), grid.tile_index(F.col("px") % 5, 5, 3).alias("tile_j"), "v")
+    return t.groupBy("tile_i", "tile_j").agg(F.count("v").alias("observed"))
+
+
+def event_type_daily(spark, sf):
+    """A second panel: events by user and hour of the month, its rolling mean and quartile."""
+    e = read(spark, sf, "events").groupBy(F.col("user_id").alias("px"), F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 9).alias("value"), F.count(F.lit(1)).alias("n"))
+    days = F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"), F.expr("interval 1 day")))
+    dense = e.select("px").distinct().withColumn("day", days).join(e, ["px", "day"], "left")
+    out = dense.withColumn("mean_5d", frames.centred_mean("value", 5, 2))
+    return r(out.select("px", "day", "n", "mean_5d"), "mean_5d")
+
+
+QUERIES = {
+    "panel_daily": panel_daily,
+    "rolling_centred_mean": rolling_centred_mean,
+    "rolling_trailing_mean": rolling_trailing_mean,
+    "rolling_leading_min": rolling_leading_min,
+    "rolling_leading_max": rolling_leading_max,
+    "rolling_centred_min": rolling_centred_min,
+    "climatology": climatology,
+    "std_anomaly": std_anomaly,
+    "anomaly_mean_only": anomaly_mean_only,
+    "climatology_observed": climatology_observed,
+    "detrend": detrend,
+    "detection_features": detection_features,
+    "drought_mask": drought_mask,
+    "event_catalogue": event_catalogue,
+    "event_catalogue_growing_season": event_catalogue_growing_season,
+    "runs_of_mask": runs_of_mask,
+    "onset_count_map": onset_count_map,
+    "places_without_events": places_without_events,
+    "peak_month": peak_month,
+    "land_cover_daily": land_cover_daily,
+    "top_land_cover_map": top_land_cover_map,
+    "composite": composite_plain,
+    "composite_spread": composite_spread,
+    "composite_land_cover": composite_land_cover,
+    "composite_one_group": composite_one_group,
+    "composite_weighted": composite_weighted,
+    "event_percentiles": event_percentiles,
+    "event_quartiles": event_quartiles,
+    "composite_quartile": composite_quartile,
+    "composite_weighted_quartile": composite_weighted_quartile,
+    "composite_smoothed": composite_smoothed,
+    "enrich_mean": _enrich("mean", first=-30, last=-1),
+    "enrich_min": _enrich("min"),
+    "enrich_max": _enrich("max"),
+    "enrich_sum": _enrich("sum"),
+    "enrich_smooth": _enrich("max", smooth=5),
+    "enrich_weighted_mean": _enrich_weighted("mean"),
+    "enrich_weighted_min": _enrich_weighted("min"),
+    "enrich_weighted_max": _enrich_weighted("max", smooth=5),
+    "enrich_weighted_compat": _enrich_weighted("max", compat=True),
+    "regional_catalogue": regional_catalogue,
+    "regional_count_grid": regional_count_grid,
+    "catalogue_bands": catalogue_bands,
+    "exceedance_report": exceedance_report,
+    "kde_by_quartile": kde_by_quartile,
+    "response_histogram": response_histogram,
+    "mann_whitney": mann_whitney,
+    "sensitivity": box_sensitivity,
+    "event_clusters": event_clusters,
+    "bootstrap_samples": bootstrap_samples,
+    "bootstrap_bound": bootstrap_bound,
+    "ingest_mask_shift_crop": ingest_mask_shift_crop,
+    "regrid_half_cell": regrid_half_cell,
+    "land_fraction_mask": land_fraction_mask,
+    "quality_threshold": quality_threshold,
+    "tile_counts": tile_counts,
+    "event_type_daily": event_type_daily,
+}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "entry", "quartile_of"]
