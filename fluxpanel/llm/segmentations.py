@@ -29,7 +29,7 @@ from . import kernel as K
 
 SHIFT = 2.7
 SAMPLES = 3
-KEPT = 200_000
+KEPT = 500_000
 SLICE = 1 << 20
 SPACE_MARK = "▁".encode()
 
@@ -46,6 +46,11 @@ def _salted(seed: np.ndarray, *salts: int) -> np.ndarray:
     return seed
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges begin..begin+size, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 class Lattices:
     """The vocabulary, and the lattices of the units met so far, in flat arrays of nodes (byte places) and edges."""
 
@@ -88,7 +93,7 @@ class Lattices:
         self.keys, self.roots = np.zeros(0, K.U64), np.zeros(0, np.int64)
         self.nodes, self.edges = 0, 0
         self.edge_at = np.zeros(1 << 16, np.int32)
-        self.cdf, self.logq, self.logrest = np.zeros(1 << 17, np.float32), np.zeros(1 << 17), np.zeros(1 << 17)
+        self.cdf, self.logq, self.logrest = np.zeros(1 << 17, np.float32), np.zeros(1 << 17), np.zeros(1 << 17, np.float32)
         self.source, self.target, self.id = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32)
 
     def _set(self, name: str, at: int, values: np.ndarray) -> None:
@@ -129,29 +134,37 @@ class Lattices:
             whole[live[hit][char[live[hit]] == n]] = True
         lone = np.flatnonzero(~whole)  # a character without a piece, and the bytes inside of characters
         first = (b[lone] & 0xC0) != 0x80
-        src, end, ids = np.concatenate([*src, lone]), np.concatenate([*end, lone + 1]), np.concatenate([*ids, self.byte_id[b[lone]]])
-        w = self.weight[ids]
-        w[len(w) - len(lone) :] = np.where(first, self.unknown, 0.0)
+        # edges by their place, long pieces (the likely ones) first: each group below has a place once at most
+        groups = [*reversed(list(zip(src, end, ids, strict=True))), (lone, lone + 1, self.byte_id[b[lone]])]
+        seen = np.zeros(total, np.int64)
+        for g in groups:
+            seen[g[0]] += 1
+        begin = np.concatenate([[0], np.cumsum(seen)])
+        src, end, ids, w = np.repeat(np.arange(total), seen), np.empty(begin[-1], np.int64), np.empty(begin[-1], np.int32), np.empty(begin[-1])
+        seen = begin[:-1].copy()
+        for i, (at, to, piece) in enumerate(groups):
+            put = seen[at]
+            end[put], ids[put] = to, piece
+            w[put] = self.weight[piece] if i + 1 < len(groups) else np.where(first, self.unknown, 0.0)
+            seen[at] += 1
         # backward pass, by bytes left in the unit
-        order = np.lexsort((src, left[src]))
-        src, end, ids, w = src[order], end[order], ids[order], w[order]
-        beta, x = np.zeros(total + 1), np.empty(len(src))
         over = end == src + left[src]
-        node = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
-        level = np.concatenate([[0], np.flatnonzero(np.diff(left[src[node]])) + 1, [len(node)]])
-        stop = np.append(node, len(src))
+        rank = left.astype(np.uint16) if total and left.max() < 1 << 16 else left  # short keys are sorted by digits
+        nodes = np.argsort(rank, kind="stable")
+        level = np.concatenate([[0], np.flatnonzero(np.diff(left[nodes])) + 1, [total]])
+        size = np.diff(begin)
+        beta, x = np.zeros(total + 1), np.empty(len(src))
         for i, j in zip(level[:-1], level[1:], strict=True):
-            p, q = stop[i], stop[j]
-            x[p:q] = w[p:q] + np.where(over[p:q], 0.0, beta[end[p:q]])
-            begin = node[i:j] - p
-            top = np.maximum.reduceat(x[p:q], begin)
-            many = np.repeat(top, np.diff(np.append(begin, q - p)))
-            beta[src[node[i:j]]] = top + np.log(np.add.reduceat(np.exp(x[p:q] - many), begin))
+            u = nodes[i:j]
+            m = size[u]
+            e = _ranges(begin[u], m)
+            y = w[e] + np.where(over[e], 0.0, beta[end[e]])
+            from_ = np.cumsum(m) - m
+            top = np.maximum.reduceat(y, from_)
+            beta[u] = top + np.log(np.add.reduceat(np.exp(y - np.repeat(top, m)), from_))
+            x[e] = y
         logq = np.minimum(x - beta[src], 0.0)
-        order = np.lexsort((-logq, src))
-        src, end, ids, logq, over = src[order], end[order], ids[order], logq[order], over[order]
         q = np.exp(logq)
-        begin = np.searchsorted(src, np.arange(total + 1))
         run = np.concatenate([[0.0], np.cumsum(q)])
         cdf = run[1:] - run[begin[src]]
         cdf[begin[1:] - 1] = 2.0
@@ -236,11 +249,6 @@ def prepared(texts: pa.Array, i: int, n: int, data: np.ndarray, at: np.ndarray)
     return np.insert(data, at[:-1][full], 32), at + np.concatenate([[0], np.cumsum(full)])
 
 
-def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The ranges begin..begin+size, one after the other."""
-    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
-
-
 def sample_texts(lat: Lattices, data: np.ndarray, at: np.ndarray, seed: np.ndarray, k: int):
     """([(texts that have the sample, ids, ids of each text, log p, perturbed score)], threshold by text).
 
@@ -273,7 +281,7 @@ def sample_texts(lat: Lattices, data: np.ndarray, at: np.ndarray, seed: np.ndarr
         emitted.append((live, lat.id[edge], size, logp, score.copy()))
         edges.append(edge), units.append(unit), steps.append(step), offs.append(off), base.append(base[-1] + len(edge))
         # what is left, by the first level that differs: log mass of each part, then a Gumbel number at it
-        mass = lat.logrest[edge]
+        mass = lat.logrest[edge].astype(float)
         for t in np.flatnonzero(level >= 0).tolist():
             x = int(off[t] + level[t])
             out = [int(edge[x]), *left[t]]
