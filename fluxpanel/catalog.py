@@ -84,7 +84,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def panel_daily(spark, sf):
-    return panel(spark, sf)
+    return r(r(panel(spark, sf), "v", "t", digits=9), "u")
 
 
 def _window(col, name, expr):
@@ -102,7 +102,7 @@ rolling_centred_min = _window("t", "min_61d", lambda c: frames.centred_min(c, 61
 
 
 def climatology(spark, sf):
-    return r(anomaly.climatology(panel(spark, sf), "v"), "clim_mean", "clim_std")
+    return r(r(anomaly.climatology(panel(spark, sf), "v"), "clim_mean", digits=9), "clim_std")
 
 
 def std_anomaly(spark, sf):
@@ -110,11 +110,11 @@ def std_anomaly(spark, sf):
 
 
 def anomaly_mean_only(spark, sf):
-    return r(anomaly.departures(panel(spark, sf), "v").select("px", "day", "d"), "d")
+    return r(anomaly.departures(panel(spark, sf), "v").select("px", "day", "d"), "d", digits=9)
 
 
 def climatology_observed(spark, sf):
-    return r(anomaly.observed_climatology(panel(spark, sf), "v").select("px", "day", "clim_mean", "clim_std"), "clim_mean", "clim_std")
+    return r(r(anomaly.observed_climatology(panel(spark, sf), "v").select("px", "day", "clim_mean", "clim_std"), "clim_mean", digits=9), "clim_std")
 
 
 def detrend(spark, sf):
@@ -122,7 +122,7 @@ def detrend(spark, sf):
 
 
 def detection_features(spark, sf):
-    return feats(spark, sf)
+    return events.features(z_panel(spark, sf), digits=6)
 
 
 # --- events
@@ -338,7 +338,8 @@ def land_fraction_mask(spark, sf):
 
 
 def quality_threshold(spark, sf):
-    return ingest.least_count(panel(spark, sf).select("px", "day", "v", F.coalesce("n", F.lit(0)).alias("n")), "v", "n", 2, zero_counts=True)
+    rows = panel(spark, sf).select("px", "day", "v", F.coalesce("n", F.lit(0)).alias("n"))
+    return r(ingest.least_count(rows, "v", "n", 2, zero_counts=True), "v", digits=9)
 
 
 def tile_counts(spark, sf):

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import rows
 
+#: Below this the spread of a pool is rounding of its sums.
+LEAST_STD = 1e-7
 
-def climatology(panel: DataFrame, col: str, mean_half: int = 3, std_half: int = 3, px: str = "px", day: str = "day", digits: int = 9) -> DataFrame:
-    """px, md, clim_mean, clim_std (population); a std of zero is NULL."""
+
+def climatology(panel: DataFrame, col: str, mean_half: int = 3, std_half: int = 3, px: str = "px", day: str = "day") -> DataFrame:
+    """px, md, clim_mean, clim_std (population); a std of zero (below LEAST_STD, that is) is NULL."""
     centre = F.avg(col).over(Window.partitionBy(px))
     x = panel.select(px, day, (F.col(col) - centre).alias("_x"), centre.alias("_c"))
     fm, fs = rows(-mean_half, mean_half, (px,), day), rows(-std_half, std_half, (px,), day)
@@ -23,8 +26,8 @@ def climatology(panel: DataFrame, col: str, mean_half: int = 3, std_half: int =
     mean = F.try_divide(F.col("s"), F.col("k"))
     m2 = F.try_divide(F.col("s2"), F.col("k2"))
     var = F.greatest(F.try_divide(F.col("q2"), F.col("k2")) - m2 * m2, F.lit(0.0))
-    std = F.round(F.sqrt(var), digits)
-    return g.select(px, "md", F.round(F.col("c") + mean, digits).alias("clim_mean"), F.when(std > 0, std).alias("clim_std"))
+    std = F.sqrt(var)
+    return g.select(px, "md", (F.col("c") + mean).alias("clim_mean"), F.when(std > LEAST_STD, std).alias("clim_std"))
 
 
 def with_climatology(panel: DataFrame, col: str, px: str = "px", day: str = "day", **half) -> DataFrame:
@@ -32,17 +35,17 @@ def with_climatology(panel: DataFrame, col: str, px: str = "px", day: str = "day
     return panel.withColumn("md", F.date_format(day, "MM-dd")).join(clim, [px, "md"], "left").drop("md")
 
 
-def standardised(panel: DataFrame, col: str, name: str = "z", detrend: bool = False, digits: int = 9, **kw) -> DataFrame:
+def standardised(panel: DataFrame, col: str, name: str = "z", detrend: bool = False, **kw) -> DataFrame:
     """Adds (value - mean) / std; NULL where the value is missing or the std is zero."""
     if detrend:
         panel = detrended(panel, col, name=col)
     out = with_climatology(panel, col, **kw)
-    return out.withColumn(name, F.round((F.col(col) - F.col("clim_mean")) / F.col("clim_std"), digits)).drop("clim_mean", "clim_std")
+    return out.withColumn(name, (F.col(col) - F.col("clim_mean")) / F.col("clim_std")).drop("clim_mean", "clim_std")
 
 
-def departures(panel: DataFrame, col: str, name: str = "d", digits: int = 9, **kw) -> DataFrame:
+def departures(panel: DataFrame, col: str, name: str = "d", **kw) -> DataFrame:
     """Adds value - mean."""
-    return with_climatology(panel, col, **kw).withColumn(name, F.round(F.col(col) - F.col("clim_mean"), digits)).drop("clim_mean", "clim_std")
+    return with_climatology(panel, col, **kw).withColumn(name, F.col(col) - F.col("clim_mean")).drop("clim_mean", "clim_std")
 
 
 def observed_climatology(panel: DataFrame, col: str, **kw) -> DataFrame:

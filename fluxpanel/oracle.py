@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 PARTS = {
-    "obs": "SELECT c_nationkey AS px, CAST(l_shipdate AS DATE) AS day, round(avg(l_quantity), 9) AS v, count(*) AS n, round(avg(l_extendedprice), 9) AS u FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
+    "obs": "SELECT c_nationkey AS px, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS v, count(*) AS n, avg(l_extendedprice) AS u FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
     "cal": "SELECT n_nationkey AS px, CAST(d AS DATE) AS day FROM nation, generate_series(DATE '1995-01-01', DATE '2001-11-04', INTERVAL 1 DAY) AS g(d)",
-    "dense": "SELECT px, day, v, n, u, round(273.15 + u / 5000.0, 9) AS t FROM cal LEFT JOIN obs USING (px, day)",
-    "clim": "SELECT a.px, strftime(a.day, '%m-%d') AS md, round(avg(b.v), 9) AS clim_mean, nullif(round(stddev_pop(b.v), 9), 0) AS clim_std FROM dense a JOIN dense b ON a.px = b.px AND b.day BETWEEN a.day - 3 AND a.day + 3 GROUP BY ALL",
-    "climu": "SELECT a.px, strftime(a.day, '%m-%d') AS md, round(avg(b.u), 9) AS mu, nullif(round(stddev_pop(b.u), 9), 0) AS su FROM dense a JOIN dense b ON a.px = b.px AND b.day BETWEEN a.day - 3 AND a.day + 3 GROUP BY ALL",
-    "anom": "SELECT d.*, clim_mean, clim_std, round((v - clim_mean) / clim_std, 9) AS z FROM dense d JOIN clim c ON c.px = d.px AND c.md = strftime(day, '%m-%d')",
-    "zz": "SELECT a.*, round((u - mu) / su, 9) AS zu FROM anom a JOIN climu c ON c.px = a.px AND c.md = strftime(day, '%m-%d')",
+    "dense": "SELECT px, day, v, n, u, CAST(275.15 AS DOUBLE) + u / CAST(7001.3 AS DOUBLE) AS t FROM cal LEFT JOIN obs USING (px, day)",
+    "clim": "SELECT a.px, strftime(a.day, '%m-%d') AS md, avg(b.v) AS clim_mean, CASE WHEN stddev_pop(b.v) > 1e-7 THEN stddev_pop(b.v) END AS clim_std FROM dense a JOIN dense b ON a.px = b.px AND b.day BETWEEN a.day - 3 AND a.day + 3 GROUP BY ALL",
+    "climu": "SELECT a.px, strftime(a.day, '%m-%d') AS md, avg(b.u) AS mu, CASE WHEN stddev_pop(b.u) > 1e-7 THEN stddev_pop(b.u) END AS su FROM dense a JOIN dense b ON a.px = b.px AND b.day BETWEEN a.day - 3 AND a.day + 3 GROUP BY ALL",
+    "anom": "SELECT d.*, clim_mean, clim_std, (v - clim_mean) / clim_std AS z FROM dense d JOIN clim c ON c.px = d.px AND c.md = strftime(day, '%m-%d')",
+    "zz": "SELECT a.*, (u - mu) / su AS zu FROM anom a JOIN climu c ON c.px = a.px AND c.md = strftime(day, '%m-%d')",
     "f1": """SELECT px, day, CASE WHEN count(z) OVER c5 >= 2 THEN round(avg(z) OVER c5, 9) END AS p, CASE WHEN count(z) OVER t30 >= 5 THEN round(avg(z) OVER t30, 9) END AS b,
         CASE WHEN count(t) OVER c5 >= 1 THEN round(avg(t) OVER c5, 9) END AS tp FROM anom
         WINDOW c5 AS (PARTITION BY px ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), t30 AS (PARTITION BY px ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
@@ -106,19 +106,19 @@ _BOOT = {
 }
 
 ORACLE_SQL = {
-    "panel_daily": sql("dense", "SELECT px, day, v, n, u, t FROM dense"),
+    "panel_daily": sql("dense", "SELECT px, day, round(v, 9) AS v, n, round(u, 6) AS u, round(t, 9) AS t FROM dense"),
     "rolling_centred_mean": _frame("v", "avg", "2 PRECEDING", "2 FOLLOWING", 2, "mean_5d"),
     "rolling_trailing_mean": _frame("v", "avg", "29 PRECEDING", "CURRENT ROW", 5, "mean_30d"),
     "rolling_leading_min": _frame("v", "min", "1 FOLLOWING", "20 FOLLOWING", 1, "min_next_20d"),
     "rolling_leading_max": _frame("v", "max", "CURRENT ROW", "19 FOLLOWING", 2, "max_20d"),
     "rolling_centred_min": _frame("t", "min", "30 PRECEDING", "30 FOLLOWING", 1, "min_61d"),
-    "climatology": sql("clim", "SELECT px, md, round(clim_mean, 6) AS clim_mean, round(clim_std, 6) AS clim_std FROM clim"),
+    "climatology": sql("clim", "SELECT px, md, round(clim_mean, 9) AS clim_mean, round(clim_std, 6) AS clim_std FROM clim"),
     "std_anomaly": sql("anom", "SELECT px, day, round(z, 6) AS z FROM anom"),
-    "anomaly_mean_only": sql("anom", "SELECT px, day, round(round(v - clim_mean, 9), 6) AS d FROM anom"),
-    "climatology_observed": sql("anom", "SELECT px, day, CASE WHEN v <> 0 THEN round(clim_mean, 6) END AS clim_mean, CASE WHEN v <> 0 THEN round(clim_std, 6) END AS clim_std FROM anom"),
+    "anomaly_mean_only": sql("anom", "SELECT px, day, round(v - clim_mean, 9) + 0.0::DOUBLE AS d FROM anom"),
+    "climatology_observed": sql("anom", "SELECT px, day, CASE WHEN v <> 0 THEN round(clim_mean, 9) END AS clim_mean, CASE WHEN v <> 0 THEN round(clim_std, 6) END AS clim_std FROM anom"),
     "detrend": sql("dense", """SELECT px, day, round(v - (b + m * x), 6) AS detrended FROM (SELECT px, day, v, CAST(day - DATE '1995-01-01' AS DOUBLE) AS x FROM dense)
         JOIN (SELECT px, regr_slope(v, x) AS m, regr_intercept(v, x) AS b FROM (SELECT px, v, CAST(day - DATE '1995-01-01' AS DOUBLE) AS x FROM dense) GROUP BY px) USING (px)"""),
-    "detection_features": sql("feat", "SELECT px, day, p, b, a, c FROM feat"),
+    "detection_features": sql("anom", "SELECT px, day, p, b, a, c FROM y", x=PARTS["f1"].replace(", 9)", ", 6)"), y=PARTS["feat"].replace("f1", "x")),
     "drought_mask": sql("ev", "SELECT DISTINCT px, CAST(d AS DATE) AS day FROM (SELECT px, unnest(generate_series(start, \"end\" - 1, INTERVAL 1 DAY)) AS d FROM ev)"),
     "event_catalogue": sql("cat", "SELECT px, start, \"end\", length, round(max_intensity, 6) AS max_intensity FROM cat"),
     "event_catalogue_growing_season": sql("iv feat peakm", "SELECT e.px, start, \"end\", CAST(\"end\" - start AS INTEGER) AS length, round(min(p), 6) AS max_intensity FROM gs e JOIN feat f ON f.px = e.px AND f.day >= start AND f.day < \"end\" GROUP BY ALL",
@@ -174,7 +174,7 @@ ORACLE_SQL = {
     "ingest_mask_shift_crop": "SELECT o_orderkey, CAST(o_orderdate - INTERVAL 12 HOUR AS DATE) AS day, lat, lon, round(CAST(CAST(CASE WHEN o_totalprice < 250000 THEN o_totalprice END AS FLOAT) AS DOUBLE), 2) AS value FROM (SELECT *, CAST(-70 + o_custkey % 160 AS DOUBLE) AS lat, CAST(-180 + o_custkey % 360 AS DOUBLE) AS lon FROM orders) WHERE lat BETWEEN -60 AND 80 AND lon BETWEEN -180 AND 180",
     "regrid_half_cell": sql("dense", "SELECT a.day, CAST(a.i AS INTEGER) AS row, CAST(a.j AS INTEGER) AS col, round((a.v + b.v + c.v + d.v) / 4, 6) AS value FROM g a JOIN g b ON b.day = a.day AND b.i = a.i + 1 AND b.j = a.j JOIN g c ON c.day = a.day AND c.i = a.i AND c.j = a.j + 1 JOIN g d ON d.day = a.day AND d.i = a.i + 1 AND d.j = a.j + 1", g="SELECT day, px // 5 AS i, px % 5 AS j, v FROM dense"),
     "land_fraction_mask": sql("dense", "SELECT day, CAST(px // 5 AS INTEGER) AS row, CAST(px % 5 AS INTEGER) AS col, round(CASE WHEN n_regionkey / 4.0 >= 0.5 THEN v END, 6) AS value FROM dense JOIN nation ON n_nationkey = px"),
-    "quality_threshold": sql("dense", "SELECT px, day, CASE WHEN n >= 2 THEN v END AS v, CASE WHEN n >= 2 THEN n ELSE 0 END AS n FROM dense"),
+    "quality_threshold": sql("dense", "SELECT px, day, CASE WHEN n >= 2 THEN round(v, 9) END AS v, CASE WHEN n >= 2 THEN n ELSE 0 END AS n FROM dense"),
     "tile_counts": sql("dense", "SELECT CAST(least(px // 5 // 3, 1) AS INTEGER) AS tile_i, CAST(least(px % 5 // 2, 2) AS INTEGER) AS tile_j, count(v) AS observed FROM dense GROUP BY ALL"),
     "event_type_daily": """WITH e AS (SELECT user_id AS px, CAST(ts AS DATE) AS day, round(avg(value), 9) AS value, count(*) AS n FROM events GROUP BY ALL),
         d AS (SELECT px, CAST(g AS DATE) AS day FROM (SELECT DISTINCT px FROM e), generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) AS s(g))

@@ -39,7 +39,7 @@ def order_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("px"))
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    means = rows.groupBy("px", "day").agg(F.round(F.avg("l_quantity"), 9).alias("v"), F.count(F.lit(1)).alias("n"), F.round(F.avg("l_extendedprice"), 9).alias("u"))
+    means = rows.groupBy("px", "day").agg(F.avg("l_quantity").alias("v"), F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("u"))
     return means
 
 
@@ -47,4 +47,4 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """px, day, v, n, u and t, a temperature made of u, on the whole calendar."""
     places = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("px"))
     out = densify(order_values(spark, sf_dir), places, FIRST, LAST)
-    return out.withColumn("t", F.round(F.lit(273.15) + F.col("u") / F.lit(5000.0), 9))
+    return out.withColumn("t", F.lit(275.15) + F.col("u") / F.lit(7001.3))
