@@ -2,7 +2,8 @@
 
 P(grade > j) = logistic(w . x - t_j): one weight vector for all thresholds t_0 <= t_1 <= ... Features are the distinct
 bare words of a text (ASCII letters lower-cased), by 64-bit hash, of the words that occur in at least ``MIN_DOCS`` of the
-labelled texts of the training sample. Grades from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality.
+labelled texts of the training sample and that tell toxic texts from others there (log-likelihood ratio of LEAST_G or more).
+Texts that share a key of hash minima of their words, as copies do, share one row's weight. Grades from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality.
 Training takes at most ``SAMPLE`` labelled rows (picked by a hash of the id) on the driver: three quarters fit the
 weights, a quarter sets the rejection threshold. Every text is scored whole.
 """
@@ -18,7 +19,8 @@ from . import kernel as K
 from .shared import bounded_sample, broadcast_value
 
 SAMPLE = 12_000
-MIN_DOCS = 8
+MIN_DOCS = 5
+LEAST_G = 10.0
 GRADES = 3
 
 
@@ -49,12 +51,13 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, grades: int = GRADES, l2: float = 1e-3, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray | None = None, grades: int = GRADES, l2: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds that maximise the likelihood, by Adam on the full batch; thresholds are kept ascending by positive steps."""
-    n = max(len(y), 1)
+    weight = np.ones(len(y)) if weight is None else weight
+    n = max(weight.sum(), 1e-9)
     w = np.zeros(width)
     # share of rows above each grade gives the first thresholds
-    share = np.clip([(y > j).mean() if len(y) else 0.1 for j in range(grades - 1)], 1e-3, 1 - 1e-3)
+    share = np.clip([((y > j) * weight).sum() / n for j in range(grades - 1)], 1e-3, 1 - 1e-3)
     t = -np.log(share / (1 - share))
     raw = np.concatenate([t[:1], np.log(np.maximum(np.diff(t), 1e-2))])
     theta = np.concatenate([w, raw])
@@ -67,10 +70,10 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, gra
         at = np.arange(len(y))
         p = np.maximum(above[at, y] - above[at, y + 1], 1e-12)
         slope = above * (1 - above)
-        gz = -(slope[at, y] - slope[at, y + 1]) / p
+        gz = -weight * (slope[at, y] - slope[at, y + 1]) / p
         gt = np.zeros(grades - 1)
         for j in range(grades - 1):
-            gt[j] = ((y == j + 1) * slope[:, j + 1] / p - (y == j) * slope[:, j + 1] / p).sum()
+            gt[j] = (weight * ((y == j + 1) * slope[:, j + 1] / p - (y == j) * slope[:, j + 1] / p)).sum()
         gw = np.bincount(col, gz[row], minlength=width) / n + l2 * w if len(row) else l2 * w
         graw = np.array([gt.sum(), *[gt[j:].sum() * np.exp(raw[j]) for j in range(1, grades - 1)]]) / n
         g = np.concatenate([gw, graw])
@@ -80,6 +83,29 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, gra
     return w, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
 
 
+def copy_weights(words: list[np.ndarray], bands: int = 6, rows: int = 3) -> np.ndarray:
+    """1 / the most rows that share a key of ``rows`` hash minima with a row, over ``bands`` keys."""
+    mul = K.numbers(bands * rows, 61) | K.U64(1)
+    least = np.array([[(x * m).min() if len(x) else 0 for m in mul] for x in words], K.U64).reshape(len(words), bands, rows)
+    most = np.ones(len(words), np.int64)
+    for b in range(bands):
+        key = K.mix(K.mix(least[:, b, 0]) + least[:, b, 1])
+        for r in range(2, rows):
+            key = K.mix(key + least[:, b, r])
+        _, group, count = np.unique(key, return_inverse=True, return_counts=True)
+        most = np.maximum(most, count[group])
+    return 1.0 / most
+
+
+def association(word: np.ndarray, row: np.ndarray, n_words: int, toxic: np.ndarray, weight: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each word for toxic rows, with row weights; 0 for words that speak for the other rows."""
+    k = np.bincount(word, weight[row] * toxic[row], minlength=n_words)
+    n = np.bincount(word, weight[row], minlength=n_words)
+    base = np.clip((weight * toxic)[use].sum() / max(weight[use].sum(), 1e-9), 1e-6, 1 - 1e-6)
+    part = lambda x, q: np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(n * q, 1e-12)), 0.0)
+    return np.where(k > n * base, part(k, base) + part(n - k, 1 - base), 0.0)
+
+
 def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
     """Probability above which a text is rejected: the middle of the cuts with the best F1 on held-out rows; 0.5 if they cannot tell."""
     if not len(p) or toxic.all() or not toxic.any():
@@ -119,18 +145,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = K.mix(np.arange(len(y), dtype=K.U64) + K.U64(7)) % K.U64(4) == 0
     flat = np.concatenate(words)
     row = np.repeat(np.arange(len(y)), [len(x) for x in words])
-    uniq, count = np.unique(flat[~held[row]], return_counts=True)
-    # also needed: some tie to the label, else thousands of chance words drown the few that matter
-    used = uniq[count >= min(MIN_DOCS, max(2, len(y) // 50))]
+    weight = copy_weights(words)
+    mine = ~held[row]
+    uniq, inverse, count = np.unique(flat[mine], return_inverse=True, return_counts=True)
+    used = uniq[(count >= min(MIN_DOCS, max(2, len(y) // 50))) & (association(inverse, row[mine], len(uniq), y > 0, weight, ~held) >= LEAST_G)]
     place = np.minimum(np.searchsorted(used, flat), max(len(used) - 1, 0))
     hit = used[place] == flat if len(used) else np.zeros(len(flat), bool)
     row, place = row[hit], place[hit]
     new = np.cumsum(~held) - 1
     mine = ~held[row]
-    w, t = fit_ordinal(new[row[mine]], place[mine], y[~held], len(used))
-    strong = np.abs(w) > 0
+    w, t = fit_ordinal(new[row[mine]], place[mine], y[~held], len(used), weight[~held])
     p = logistic(np.bincount(row, w[place], minlength=len(y)) - t[0])[held]
-    return {"words": used[strong], "w": w[strong], "t": t, "cut": best_cut(p, y[held] > 0), "held_out": (p, y[held] > 0)}
+    return {"words": used, "w": w, "t": t, "cut": best_cut(p, y[held] > 0), "held_out": (p, y[held] > 0)}
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
