@@ -15,7 +15,7 @@ from .functions.quartiles import percentile_table, quartile_of, with_quartile
 from .operators import anomaly, clusters, composite, enrich, events, landcover, regions, sensitivity, stats
 from .operators.events import Rule
 from .oracle import ORACLE_SQL
-from .plans.panel import order_panel, read
+from .plans.panel import materialised, order_panel, read
 from .registry import Variable
 from .sources import ingest
 
@@ -47,12 +47,13 @@ def feats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_rows(spark: SparkSession, sf: str, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
-    f = feats(spark, sf)
+    f = materialised(feats(spark, sf))
     return events.intervals(f, rule), f
 
 
 def onsets(spark: SparkSession, sf: str) -> DataFrame:
-    return event_rows(spark, sf)[0]
+    """The events, written once: a few rows a place that plans below read more than once."""
+    return materialised(event_rows(spark, sf)[0])
 
 
 def located(cat: DataFrame) -> DataFrame:
@@ -268,11 +269,11 @@ def catalogue_bands(spark, sf):
 
 def enriched(spark, sf) -> DataFrame:
     """Events with a response and a predictor: greatest zu of 0..20 and mean z of -30..-1."""
-    p = zu_panel(spark, sf)
+    p = materialised(zu_panel(spark, sf))
     out = enrich.add_window(onsets(spark, sf), p, "zu", "u", "max", 0, 20, span=SPAN)
     out = enrich.add_window(out, p, "z", "z", "mean", -30, -1, span=SPAN)
     response, predictor = enrich.column_name("u", "max", 0, 20), enrich.column_name("z", "mean", -30, -1)
-    return out.select("px", "start", "end", F.round(f"`{response}`", 9).alias("response"), F.round(f"`{predictor}`", 9).alias("predictor"))
+    return materialised(out.select("px", "start", "end", F.round(f"`{response}`", 9).alias("response"), F.round(f"`{predictor}`", 9).alias("predictor")))
 
 
 def exceedance_report(spark, sf):

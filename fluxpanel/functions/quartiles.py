@@ -30,4 +30,5 @@ def percentile_table(df: DataFrame, col: str, levels: list[int] | None = None) -
     """percentile, value rows."""
     levels = levels or LEVELS
     one = df.agg(F.percentile(col, F.array(*[F.lit(x / 100) for x in levels])).alias("v"))
-    return one.select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1).alias("percentile"), "value")
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("percentile"), F.try_element_at("v", F.lit(i + 1)).alias("value")) for i, x in enumerate(levels)]))
+    return one.select(pairs.alias("p")).select("p.percentile", "p.value")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.panel import materialised
+
 BUCKET_DAYS = 64
 
 
@@ -28,23 +28,16 @@ def links(events: DataFrame, reach: int = 7, key: str = "key") -> DataFrame:
     return both.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fluxpanel-"))
-    return df.checkpoint()
-
-
 def cluster(events: DataFrame, reach: int = 7, key: str = "key") -> DataFrame:
     """The events with cluster_id, the least key of the cluster. Labels spread along links and jump along labels until none changes."""
-    edges = _saved(links(events, reach, key))
-    both = _saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = _saved(both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("l")))
+    edges = materialised(links(events, reach, key))
+    both = materialised(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = materialised(both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("l")))
     while True:
         near = both.join(label, F.col("b") == F.col("k")).groupBy("a").agg(F.min("l").alias("m"))
         step = label.join(near, F.col("k") == F.col("a")).select("k", F.least("l", "m").alias("n"), F.col("l").alias("old"))
         jump = step.alias("x").join(step.select(F.col("k").alias("k2"), F.col("n").alias("n2")), F.col("x.n") == F.col("k2"), "left").select("k", F.least("n", F.coalesce("n2", "n")).alias("l"), "old")
-        jump = _saved(jump)
+        jump = materialised(jump)
         label = jump.select("k", "l")
         if not jump.filter("l <> old").head(1):
             break

@@ -46,7 +46,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, first, second, by: list[
     counts = rows.groupBy(*by, "_v").agg(F.sum(F.col("_a").cast("bigint")).alias("a"), F.sum((~F.col("_a")).cast("bigint")).alias("b"))
     below = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     won = counts.withColumn("w", F.col("a") * (F.coalesce(F.sum("b").over(below), F.lit(0)) + F.col("b") * 0.5))
-    out = won.groupBy(*by).agg(F.sum("w").alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    out = won.groupBy(*by).agg(F.sum("w").alias("u"), F.coalesce(F.sum("a"), F.lit(0)).alias("n1"), F.coalesce(F.sum("b"), F.lit(0)).alias("n2"))
     return out.withColumn("p", F.try_divide(F.col("u"), (F.col("n1") * F.col("n2")).cast("double")))
 
 

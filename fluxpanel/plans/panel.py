@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,14 @@ CATALOGUE = T.StructType([T.StructField("px", T.IntegerType()), T.StructField("s
 FIRST, LAST = "1995-01-01", "2001-11-04"
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder that the session names in spark.checkpoint.dir (a temporary one where none is set), for plans that read them more than once."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fluxpanel-"))
+    return df.checkpoint()
+
+
 def nulls(df: DataFrame, *cols: str) -> DataFrame:
     """NaN is missing: NULL from here on."""
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in cols})
