@@ -20,7 +20,7 @@ TREES, SAMPLE = 100, 256
 KEEP_GOOD = 0.995
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def text_stats(col: pa.Array) -> np.ndarray:
@@ -36,7 +36,6 @@ def text_stats(col: pa.Array) -> np.ndarray:
         run = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
         rows[:, 1] = run(~K.SPACE[data] & ((data & 0xC0) != 0x80))
         rows[:, 2] = run(SYMBOLS[data])
-        rows[:, 6] = run((data >= 65) & (data <= 90))
         doc = np.repeat(np.arange(n), np.diff(woff))
         salt = K.numbers(n, 11)
         # lines: cut at each newline and at each text's edges
@@ -52,9 +51,8 @@ def text_stats(col: pa.Array) -> np.ndarray:
         full = words_before[1] > words_before[0]
         ls, le = ls[full], le[full]
         ldoc = np.searchsorted(at, ls, "right") - 1
-        rows[:, 5] = np.bincount(ldoc, minlength=n)
         _, first = np.unique(K.span_hashes(data, ls, le) ^ salt[ldoc], return_index=True)
-        rows[:, 3] = rows[:, 5] - np.bincount(ldoc[first], minlength=n)
+        rows[:, 3] = np.bincount(ldoc, minlength=n) - np.bincount(ldoc[first], minlength=n)
         first, w = K.windows(K.span_hashes(data, s, e), woff, 5, 5)
         if len(first):
             _, inv, count = np.unique(w ^ salt[doc[first]], return_inverse=True, return_counts=True)
@@ -64,11 +62,12 @@ def text_stats(col: pa.Array) -> np.ndarray:
 
 
 def features(stats: np.ndarray) -> np.ndarray:
-    """Numbers that the forest splits on; logarithms where a statistic grows with the text."""
-    n = np.maximum(stats[:, 0], 1).astype(float)
-    chars = np.maximum(stats[:, 1], 1).astype(float)
-    lines = np.maximum(stats[:, 5], 1).astype(float)
-    return np.column_stack([np.log1p(stats[:, 0]), np.log(chars / n), stats[:, 2] / n, stats[:, 3] / lines, stats[:, 4] / n, np.log(n / lines), stats[:, 6] / chars])
+    """Numbers that the forest splits on: symbols a word, and the logarithm of the mean word length, drawn towards five letters in short texts.
+
+    Repeats have base limits of their own; good texts that repeat a line would otherwise be the oddest rows of all.
+    """
+    n = stats[:, 0].astype(float)
+    return np.column_stack([stats[:, 2] / np.maximum(n, 1), np.log((stats[:, 1] + 5 * 20) / (n + 20))])
 
 
 def _harmonic(n: np.ndarray | float) -> np.ndarray:
@@ -139,7 +138,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_
     # the sample: the rows of smallest hash, TREES * SAMPLE at most
     fit = table.filter(~failed)
     grown = bounded_sample(fit.select("doc_id", *STATS), trees * sample, F.xxhash64(F.lit(17), F.col("doc_id")), fit.count()).toPandas()
-    forest = broadcast_value(spark, grow_forest(features(grown[STATS].to_numpy(np.int64)) if len(grown) else np.zeros((0, 7)), trees, sample))
+    forest = broadcast_value(spark, grow_forest(features(grown[STATS].to_numpy(np.int64)) if len(grown) else np.zeros((0, 2)), trees, sample))
 
     def score(batches):
         for b in batches:
