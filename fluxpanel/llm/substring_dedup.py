@@ -141,7 +141,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     kinds = dict(docs.dtypes)
     top = new_path(spark, "passages")
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # sets the number of buckets only
-    bits = min(20, max(8, (max(size, 1) // BUCKET_BYTES).bit_length()))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(20, max(8, (max(size, 1) // BUCKET_BYTES).bit_length(), (8 * partitions).bit_length()))  # several buckets a task, so that tasks are even
     shift = 64 - bits
     names = [f"c{i}" for i in range(len(carry))]
     narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
