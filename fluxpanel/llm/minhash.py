@@ -8,7 +8,7 @@
 3. Ties are verified on full sets; large groups are dealt to several tasks, each with the pivot's set. Verified ties
    give components.
 4. Where a group of candidates is in several components, a link between two texts that are not the pivot may be
-   missing. Its texts are dealt into blocks (large components into blocks of their own), every pair of blocks that
+   missing. A group is a cluster of candidates or, where that takes fewer comparisons, the texts tied to one pivot. Its texts are dealt into blocks (large components into blocks of their own), every pair of blocks that
    could join two components is compared on full sets in one task, and that task emits a spanning forest of the links
    it found, not all of them. Components over all links are the result.
 
@@ -199,6 +199,28 @@ def _verify_blocks(percent: int):
     return run
 
 
+def by_cheaper_groups(ties: DataFrame, where: DataFrame, block: int) -> DataFrame:
+    """(id, cluster, component) to compare: texts by their cluster or, where that takes fewer comparisons, by pivot.
+
+    A cluster is a chain of candidates and may grow with the corpus while each pivot has few ties. Candidates share a key, so
+    they share its pivot, and both ways compare them all; pivots whose texts are in one component already are left out.
+    """
+    cost = lambda n: F.col(n) * F.ceil(F.col(n) / F.lit(block))
+    spread = [F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")]
+    wide = written(where.groupBy("cluster").agg(*spread).filter((F.col("low") < F.col("high")) & (F.col("n") > block)).select("cluster", cost("n").alias("whole")), "wide")
+    if not wide.head(1):
+        return where
+    star = ties.select("id", "pivot").unionByName(ties.select(F.col("pivot").alias("id"), "pivot").distinct())
+    star = written(star.join(where.join(wide, "cluster").select("id", "cluster", "component"), "id"), "star")
+    mixed = written(star.groupBy("cluster", "pivot").agg(*spread).filter("low < high").select("cluster", F.col("pivot").alias("p"), cost("n").alias("part")), "mixed")
+    less = wide.join(mixed.groupBy("cluster").agg(F.sum("part").alias("parts")), "cluster", "left").filter(F.coalesce("parts", F.lit(0)) < F.col("whole"))
+    less = written(less.select("cluster"), "less")
+    pivots = written(mixed.join(less, "cluster").select("p"), "split")
+    # a pivot's number is a cluster's number only in a cluster that is split
+    split = star.join(pivots, F.col("pivot") == F.col("p")).select("id", F.col("pivot").alias("cluster"), "component")
+    return written(where.join(less, "cluster", "left_anti").select("id", "cluster", "component").unionByName(split), "where")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """id, n_shingles, component_id, kept of every row; ids are whole numbers.
 
@@ -247,7 +269,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # 4. candidate groups that are in several components
     cluster = written(components(ties, "id", "pivot"), "cluster")
     where = cluster.select("node", F.col("component").alias("cluster")).join(first, "node", "left").select(F.col("node").alias("id"), "cluster", F.coalesce("component", "node").alias("component"))
-    where = written(where, "where")
+    where = by_cheaper_groups(ties, written(where, "where"), block)
     parts = where.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     parts = written(parts.withColumn("big", F.col("n") >= block), "parts")
     from pyspark.sql import Window

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from fluxpanel.llm.exact_dedup import exact_dedup
-from fluxpanel.llm.minhash import near_dedup
+from fluxpanel.llm.minhash import by_cheaper_groups, near_dedup
 from fluxpanel.llm.substring_dedup import substring_dedup
 
 DOCS = "doc_id bigint, text string, lang string, keep_id string, group_size int"
@@ -81,7 +81,17 @@ def near_texts(seed, groups=6, members=9, length=60):
     return out
 
 
-@pytest.mark.parametrize("seed,size,percent,block", [(0, 3, 85, 768), (1, 5, 80, 768), (2, 3, 85, 4)])
+def test_near_candidates_are_compared_by_pivot_where_that_is_less(spark):
+    chain = [(i, i - 1) for i in range(1, 10)]  # ten texts in a row, each tied to the one before it
+    hub = [(i, 20) for i in range(21, 25)]  # four texts tied to one
+    same = [(i, i - 1) for i in range(31, 40)]  # a chain that is one component already
+    ties = spark.createDataFrame([*chain, *hub, *same], "id bigint, pivot bigint")
+    where = [*[(i, 0, i) for i in range(10)], *[(i, 20, i) for i in range(20, 25)], *[(i, 30, 30) for i in range(30, 40)]]
+    got = sorted(map(tuple, by_cheaper_groups(ties, spark.createDataFrame(where, "id bigint, cluster bigint, component bigint"), 2).collect()))
+    assert got == sorted([*[(i, p, i) for p in range(9) for i in (p, p + 1)], *where[10:]])
+
+
+@pytest.mark.parametrize("seed,size,percent,block", [(0, 3, 85, 768), (1, 5, 80, 768), (2, 3, 85, 4), (3, 3, 85, 2)])
 def test_near_components_equal_brute_force(spark, seed, size, percent, block):
     texts = near_texts(seed)
     n, comp = near_brute(texts, size, percent)
