@@ -2,7 +2,7 @@
 
 The histogram has at most ``capacity`` lengths whatever the corpus. The program (how often to use each multiset of lengths
 that fits a sequence, so that every length is used up) is solved by multiplicative weights: each round prices the lengths,
-a knapsack dynamic program finds the best configuration, and the weights of what it uses fall. Rounded down, that leaves
+a knapsack dynamic program finds the best configurations, and the weights of what they use fall. Rounded down, that leaves
 a rest that is packed by configurations too: the longest piece left, then the longest that still fits, used as often as
 the counts allow. All of it works on counts; pieces are dealt to places by their rank among the pieces of their length.
 """
@@ -24,43 +24,60 @@ CAPACITY = 1024
 ROUNDS = 1200
 
 
-def best_configuration(lengths: np.ndarray, value: np.ndarray, capacity: int) -> dict[int, int]:
-    """Multiset of lengths within the capacity of the greatest value (unbounded knapsack)."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(lengths[0]), capacity + 1):
-        k = np.searchsorted(lengths, c, "right")
-        gain = best[c - lengths[:k]] + value[:k]
-        j = int(gain.argmax())
-        best[c], pick[c] = (gain[j], j) if gain[j] > best[c - 1] else (best[c - 1], -1)
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            n = int(lengths[pick[c]])
-            out[n] = out.get(n, 0) + 1
-            c -= n
+def best_values(value: np.ndarray, capacity: int) -> np.ndarray:
+    """Greatest value of a multiset of lengths within each room from 0 to the capacity (unbounded knapsack); ``value`` is by length."""
+    back, room = np.zeros(capacity + 1), np.empty(capacity)
+    for c in range(1, capacity + 1):
+        gain = np.add(back[capacity - c + 1 :], value[1 : c + 1], out=room[:c])
+        back[capacity - c] = max(gain.max(), back[capacity - c + 1])
+    return back[::-1]
+
+
+def best_configuration(best: np.ndarray, value: np.ndarray, first: int, capacity: int) -> dict[int, int]:
+    """Multiset of lengths within the capacity of the greatest value among those with ``first``; the longest length where several are as good."""
+    out, room = {first: 1}, capacity - first
+    while room > 0:
+        if best[room] <= best[room - 1]:
+            room -= 1
+            continue
+        v = room - int((best[:room] + value[room:0:-1]).argmax())
+        out[v] = out.get(v, 0) + 1
+        room -= v
     return out
 
 
-def fractional(count: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.5, rate: float = 3.0) -> dict[tuple, float]:
-    """Configuration -> how often, nearly optimal for the covering program, by multiplicative weights."""
-    lengths = np.flatnonzero(count)
-    n = count[lengths].astype(float)
-    done, where, found = np.zeros(len(lengths)), {int(v): i for i, v in enumerate(lengths)}, {}
-    for _ in range(rounds if len(lengths) else 0):
-        price = np.exp(-rate * done) / n
-        if done.min() >= 1:
+def fractional(count: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.1, rate: float = 0.1, near: float = 0.02, power: float = 1.005) -> dict[tuple, float]:
+    """Configuration -> how often, nearly optimal for the program that uses each length up, by multiplicative weights.
+
+    Prices start in proportion to length, the dual solution where sequences can be filled, a little more for long pieces so
+    that short ones last. A round takes, from one knapsack table, configurations without a common length that are worth
+    1 - ``near`` of the best or more, each for ``step`` of its scarcest length or once; a length that is used up leaves the program.
+    """
+    n = count.astype(float)
+    left, lengths, found = n.copy(), np.flatnonzero(count), {}
+    for _ in range(rounds):
+        if not len(lengths):
             break
-        config = best_configuration(lengths, price, capacity)
-        config = {v: min(m, int(count[v])) for v, m in config.items()}
-        ix = np.array([where[v] for v in config])
-        a = np.array(list(config.values()), float)
-        times = step * (n[ix] / a).min()
-        key = tuple(sorted(config.items(), reverse=True))
-        found[key] = found.get(key, 0.0) + times
-        done[ix] += times * a / n[ix]
+        price = np.full(capacity + 1, -np.inf)
+        price[lengths] = lengths**power * np.exp(rate * left[lengths] / n[lengths])
+        best = best_values(price, capacity)
+        worth = price[lengths] + best[capacity - lengths]
+        order = np.lexsort((-lengths, -worth))
+        taken = np.zeros(capacity + 1, bool)
+        for v in lengths[order[worth[order] >= (1 - near) * best[capacity]]].tolist():
+            if taken[v]:
+                continue
+            config = {u: min(m, int(count[u])) for u, m in best_configuration(best, price, v, capacity).items()}
+            ix = np.array(list(config))
+            if taken[ix].any():
+                continue
+            a = np.array(list(config.values()), float)
+            times = min(max(step * (n[ix] / a).min(), 1.0), (left[ix] / a).min())
+            key = tuple(sorted(config.items(), reverse=True))
+            found[key] = found.get(key, 0.0) + times
+            left[ix] -= times * a
+            taken[ix] = True
+        lengths = lengths[left[lengths] > 1e-9 * n[lengths]]
     return found
 
 
@@ -88,21 +105,19 @@ def greedy(count: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
 
 
 def solve(count: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple, int]]:
-    """[(configuration, times)] that use up the histogram; the better of the rounded program and the greedy one alone."""
-    plain = greedy(count, capacity)
+    """[(configuration, times)] that use up the histogram: the program rounded down, and greedy ones for the rest of the rounding."""
     left, out = count.copy(), []
     # a piece that fills a sequence needs no program
     if left[capacity]:
         out.append((((capacity, 1),), int(left[capacity])))
         left[capacity] = 0
     for config, times in sorted(fractional(left, capacity, rounds).items(), key=lambda x: -x[1] * sum(v * m for v, m in x[0])):
-        k = min([int(times), *(int(left[v]) // m for v, m in config)])
+        k = min([int(times + 1e-6), *(int(left[v]) // m for v, m in config)])
         if k > 0:
             out.append((config, k))
             for v, m in config:
                 left[v] -= m * k
-    out += greedy(left, capacity)
-    return min(out, plain, key=lambda x: sum(t for _, t in x))
+    return out + greedy(left, capacity)
 
 
 def places(solution: list[tuple[tuple, int]], capacity: int) -> dict[int, tuple[np.ndarray, ...]]:

@@ -86,6 +86,22 @@ def test_program_beats_greedy_where_greedy_fails():
     assert sum(t for _, t in packing.solve(count)) <= greedy
 
 
+def skewed(seed, n):
+    """A histogram of nearly all lengths, most of them short, as of real documents."""
+    length = np.minimum(np.random.default_rng(seed).exponential(420, n).astype(int) + 1, 1024)
+    return np.bincount(length, minlength=1025)
+
+
+@pytest.mark.parametrize("times", [1, 50])
+def test_program_packs_all_but_its_rounding(monkeypatch, times):
+    count, plain, seen = skewed(0, 9000) * times, packing.greedy, []
+    monkeypatch.setattr(packing, "greedy", lambda left, capacity: seen.append(left.copy()) or plain(left, capacity))
+    got = sum(t for _, t in packing.solve(count))
+    tokens = [int((x * np.arange(1025)).sum()) for x in (*seen, count)]
+    assert len(seen) == 1 and tokens[0] < (0.1 if times == 1 else 0.01) * tokens[1]
+    assert got <= sum(t for _, t in plain(count, 1024)) + 1
+
+
 def test_pieces_are_gapless(spark):
     texts = fuzz(120, 5) + [None, "", "some words " * 3000, "x" * 5000]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, length int")
