@@ -21,7 +21,6 @@ from .shared import broadcast_value, written
 from .tokens import encoder
 
 CAPACITY = 1024
-ROUNDS = 1200
 
 
 def best_values(value: np.ndarray, capacity: int) -> np.ndarray:
@@ -46,18 +45,19 @@ def best_configuration(best: np.ndarray, value: np.ndarray, first: int, capacity
     return out
 
 
-def fractional(count: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.1, rate: float = 0.1, near: float = 0.02, power: float = 1.005) -> dict[tuple, float]:
+def fractional(count: np.ndarray, capacity: int, rounds: int | None = None, step: float = 0.1, rate: float = 0.1, near: float = 0.02, power: float = 1.005) -> dict[tuple, float]:
     """Configuration -> how often, nearly optimal for the program that uses each length up, by multiplicative weights.
 
     Prices start in proportion to length, the dual solution where sequences can be filled, a little more for long pieces so
     that short ones last. A round takes, from one knapsack table, configurations without a common length that are worth
     1 - ``near`` of the best or more, each for ``step`` of its scarcest length or once; a length that is used up leaves the program.
+    It ends when all are, unless ``rounds`` ends it before.
     """
     n = count.astype(float)
     left, lengths, found = n.copy(), np.flatnonzero(count), {}
-    for _ in range(rounds):
-        if not len(lengths):
-            break
+    done = 0
+    while len(lengths) and done != rounds:
+        done += 1
         price = np.full(capacity + 1, -np.inf)
         price[lengths] = lengths**power * np.exp(rate * left[lengths] / n[lengths])
         best = best_values(price, capacity)
@@ -104,7 +104,7 @@ def greedy(count: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
     return out
 
 
-def solve(count: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple, int]]:
+def solve(count: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[tuple, int]]:
     """[(configuration, times)] that use up the histogram: the program rounded down, and greedy ones for the rest of the rounding."""
     left, out = count.copy(), []
     # a piece that fills a sequence needs no program

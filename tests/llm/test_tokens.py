@@ -102,6 +102,16 @@ def test_program_packs_all_but_its_rounding(monkeypatch, times):
     assert got <= sum(t for _, t in plain(count, 1024)) + 1
 
 
+def test_program_uses_every_length_up():
+    count = skewed(1, 9000)
+    count[1024] = 0
+    used = np.zeros(1025)
+    for config, times in packing.fractional(count, 1024).items():
+        for v, m in config:
+            used[v] += m * times
+    assert np.allclose(used, count, rtol=1e-6)
+
+
 def test_pieces_are_gapless(spark):
     texts = fuzz(120, 5) + [None, "", "some words " * 3000, "x" * 5000]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, length int")
