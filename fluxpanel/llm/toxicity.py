@@ -4,8 +4,8 @@ P(grade > j) = logistic(w . x - t_j): one weight vector for all thresholds t_0 <
 bare words of a text (ASCII letters lower-cased), by 64-bit hash, of the words that occur in at least ``MIN_DOCS`` of the
 labelled texts of the training sample and that tell toxic texts from others there (log-likelihood ratio of LEAST_G or more).
 Texts that share a key of hash minima of their words, as copies do, share one row's weight. Grades from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality.
-Training takes at most ``SAMPLE`` labelled rows (picked by a hash of the id) on the driver: three quarters fit the
-weights, a quarter sets the rejection threshold. Every text is scored whole.
+The fit takes three quarters of at most ``SAMPLE`` labelled rows (picked by a hash of the id) on the driver. All other
+labelled rows set the rejection threshold: one pass scores them, and only counts by cut reach the driver. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import bounded_sample, broadcast_value
+from .shared import bounded_sample, broadcast_value, written
 
 SAMPLE = 12_000
 MIN_DOCS = 5
 LEAST_G = 10.0
 GRADES = 3
+GRID = np.linspace(0.02, 0.98, 97)
+#: Rows with a common key of hash minima from which the key's count is broadcast and not shuffled.
+MANY = 1000
 
 
 def word_sets(col: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -83,48 +86,96 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, wei
     return w, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
 
 
-def copy_weights(words: list[np.ndarray], bands: int = 6, rows: int = 3) -> np.ndarray:
-    """1 / the most rows that share a key of ``rows`` hash minima with a row, over ``bands`` keys."""
-    mul = K.numbers(bands * rows, 61) | K.U64(1)
-    least = np.array([[(x * m).min() if len(x) else 0 for m in mul] for x in words], K.U64).reshape(len(words), bands, rows)
-    most = np.ones(len(words), np.int64)
-    for b in range(bands):
-        key = K.mix(K.mix(least[:, b, 0]) + least[:, b, 1])
-        for r in range(2, rows):
-            key = K.mix(key + least[:, b, r])
+def minima_keys(row: np.ndarray, h: np.ndarray, n: int, bands: int = 6, rows: int = 3) -> np.ndarray:
+    """``bands`` keys of ``rows`` hash minima each of n word sets, given as (row, hash) ordered by row; minima of an empty set are 0."""
+    least = np.zeros((n, bands * rows), K.U64)
+    full, at = np.unique(row, return_index=True)
+    for j, m in enumerate(K.numbers(bands * rows, 61) | K.U64(1)):
+        if len(full):
+            least[full, j] = np.minimum.reduceat(h * m, at)
+    least = least.reshape(n, bands, rows)
+    key = K.mix(K.mix(least[:, :, 0]) + least[:, :, 1])
+    for r in range(2, rows):
+        key = K.mix(key + least[:, :, r])
+    return key
+
+
+def copy_weights(keys: np.ndarray) -> np.ndarray:
+    """1 / the most rows that share a key with a row."""
+    most = np.ones(len(keys), np.int64)
+    for key in keys.T:
         _, group, count = np.unique(key, return_inverse=True, return_counts=True)
         most = np.maximum(most, count[group])
     return 1.0 / most
 
 
-def association(word: np.ndarray, row: np.ndarray, n_words: int, toxic: np.ndarray, weight: np.ndarray, use: np.ndarray) -> np.ndarray:
+def association(word: np.ndarray, row: np.ndarray, n_words: int, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Log-likelihood ratio of each word for toxic rows, with row weights; 0 for words that speak for the other rows."""
     k = np.bincount(word, weight[row] * toxic[row], minlength=n_words)
     n = np.bincount(word, weight[row], minlength=n_words)
-    base = np.clip((weight * toxic)[use].sum() / max(weight[use].sum(), 1e-9), 1e-6, 1 - 1e-6)
+    base = np.clip((weight * toxic).sum() / max(weight.sum(), 1e-9), 1e-6, 1 - 1e-6)
     part = lambda x, q: np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(n * q, 1e-12)), 0.0)
     return np.where(k > n * base, part(k, base) + part(n - k, 1 - base), 0.0)
 
 
-def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
-    """Probability above which a text is rejected: the middle of the cuts with the best F1 on held-out rows; 0.5 if they cannot tell."""
-    if not len(p) or toxic.all() or not toxic.any():
+def best_cut(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """Probability above which a text is rejected: the middle of the cuts with the best F1; 0.5 if the rows cannot tell.
+
+    Both arrays have the weight of the rows by the number of cuts of GRID that they are above.
+    """
+    if not clean.sum() or not toxic.sum():
         return 0.5
-    grid = np.linspace(0.02, 0.98, 97)
-    hit = p[None, :] > grid[:, None]
-    tp = (hit & toxic).sum(1)
-    f1 = 2 * tp / np.maximum(hit.sum(1) + toxic.sum(), 1)
+    above = lambda x: x.sum() - np.cumsum(x)[:-1]
+    tp = above(toxic)
+    f1 = 2 * tp / (tp + above(clean) + toxic.sum())
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    return float(grid[best[len(best) // 2]])
+    return float(GRID[best[len(best) // 2]])
+
+
+def calibration(docs: DataFrame, labelled: DataFrame, model: dict, fitted: list, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of the clean and of the toxic labelled rows that took no part in the fit, by the number of cuts that they are above."""
+    spark = docs.sparkSession
+    kind = dict(docs.dtypes)[id_col]
+    shared = broadcast_value(spark, ({k: model[k] for k in ("words", "w", "t")}, frozenset(fitted)))
+
+    def levels(batches):
+        m, seen = shared.value
+        for b in batches:
+            b = b.filter(pa.array([x is not None and x not in seen for x in b.column("doc_id").to_pylist()], pa.bool_()))
+            for i in range(0, b.num_rows, 512):
+                c = b.slice(i, 512)
+                row, h = word_sets(c.column("text"))
+                place = np.minimum(np.searchsorted(m["words"], h), max(len(m["words"]) - 1, 0))
+                hit = m["words"][place] == h if len(m["words"]) else np.zeros(len(h), bool)
+                z = np.bincount(row[hit], m["w"][place[hit]], minlength=c.num_rows) if hit.any() else np.zeros(c.num_rows)
+                level = np.searchsorted(GRID, logistic(z - m["t"][0])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(level), pa.array(minima_keys(row, h, c.num_rows).view(np.int64).tolist(), pa.list_(pa.int64()))], ["doc_id", "level", "keys"])
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(levels, f"doc_id {kind}, level int, keys array<bigint>")
+    rows = rows.join(labelled.select(F.col("_l").alias("doc_id"), (F.col("toxic") > 0).alias("toxic")), "doc_id")
+    # equal rows are one row with their number, so that a group of copies stays small
+    rows = written(rows.groupBy("level", "toxic", "keys").agg(F.count(F.lit(1)).alias("n")), "calibration")
+    each = rows.select("*", F.posexplode("keys").alias("band", "key"))
+    shared_by = written(each.groupBy("band", "key").agg(F.sum("n").alias("most")).filter("most > 1"), "calibration-keys")
+    few, many = shared_by.filter(F.col("most") < MANY), F.broadcast(shared_by.filter(F.col("most") >= MANY))
+    hot = each.join(many, ["band", "key"])
+    cold = each.join(many, ["band", "key"], "left_anti").join(few, ["band", "key"], "left").withColumn("most", F.coalesce("most", F.lit(1)))
+    cols = ["level", "toxic", "keys", "n"]
+    most = hot.select(*cols, "most").unionByName(cold.select(*cols, "most")).groupBy(*cols).agg(F.max("most").alias("most"))
+    out = np.zeros((2, len(GRID) + 1))
+    for r in most.groupBy("level", "toxic").agg(F.sum(F.col("n") / F.col("most")).alias("weight")).collect():  # two for each cut at most
+        out[int(r["toxic"]), r["level"]] = r["weight"]
+    return out[0], out[1]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
     """The model: sorted word hashes, their weights, thresholds, cut. Without labelled rows nothing is toxic."""
     spark = docs.sparkSession
     labelled = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_l")).agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
-    picked = bounded_sample(labelled, sample, F.xxhash64(F.lit(23), F.col("_l")), labelled.count()).collect()
+    picked = bounded_sample(labelled, sample, F.xxhash64(F.lit(23), F.col("_l")), labelled.count()).withColumn("held", F.pmod(F.xxhash64(F.lit(29), F.col("_l")), F.lit(4)) == 0).collect()
     truth = {r["_l"]: int(r["toxic"] > 0) * (1 + int(r["quality"] == 0)) for r in picked}
-    ids = broadcast_value(spark, frozenset(truth))
+    fitted = [r["_l"] for r in picked if not r["held"]]
+    ids = broadcast_value(spark, frozenset(fitted))
     kind = dict(docs.dtypes)[id_col]
 
     def sets(batches):
@@ -135,28 +186,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 row, h = word_sets(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[row == i].tobytes() for i in range(b.num_rows)], pa.binary())], ["doc_id", "words"])
 
-    got = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(sets, f"doc_id {kind}, words binary").collect() if truth else []
+    got = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(sets, f"doc_id {kind}, words binary").collect() if fitted else []
     got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["words"])))
     words = [np.frombuffer(r["words"], K.U64) for r in got]
     y = np.array([truth[r["doc_id"]] for r in got], np.int64)
     ids.destroy()
     if not len(y):
-        return {"words": np.zeros(0, K.U64), "w": np.zeros(0), "t": np.full(GRADES - 1, 50.0), "cut": 0.5, "held_out": (np.zeros(0), np.zeros(0, bool))}
-    held = K.mix(np.arange(len(y), dtype=K.U64) + K.U64(7)) % K.U64(4) == 0
+        return {"words": np.zeros(0, K.U64), "w": np.zeros(0), "t": np.full(GRADES - 1, 50.0), "cut": 0.5}
     flat = np.concatenate(words)
     row = np.repeat(np.arange(len(y)), [len(x) for x in words])
-    weight = copy_weights(words)
-    mine = ~held[row]
-    uniq, inverse, count = np.unique(flat[mine], return_inverse=True, return_counts=True)
-    used = uniq[(count >= min(MIN_DOCS, max(2, len(y) // 50))) & (association(inverse, row[mine], len(uniq), y > 0, weight, ~held) >= LEAST_G)]
+    weight = copy_weights(minima_keys(row, flat, len(y)))
+    uniq, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    used = uniq[(count >= min(MIN_DOCS, max(2, len(y) // 50))) & (association(inverse, row, len(uniq), y > 0, weight) >= LEAST_G)]
     place = np.minimum(np.searchsorted(used, flat), max(len(used) - 1, 0))
     hit = used[place] == flat if len(used) else np.zeros(len(flat), bool)
-    row, place = row[hit], place[hit]
-    new = np.cumsum(~held) - 1
-    mine = ~held[row]
-    w, t = fit_ordinal(new[row[mine]], place[mine], y[~held], len(used), weight[~held])
-    p = logistic(np.bincount(row, w[place], minlength=len(y)) - t[0])[held]
-    return {"words": used, "w": w, "t": t, "cut": best_cut(p, y[held] > 0), "held_out": (p, y[held] > 0)}
+    w, t = fit_ordinal(row[hit], place[hit], y, len(used), weight)
+    model = {"words": used, "w": w, "t": t}
+    return model | {"cut": best_cut(*calibration(docs, labelled, model, fitted, id_col, text_col))}
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -162,6 +162,20 @@ def test_toxic_held_out_rows_are_found(spark):
     assert all(0 <= r["expected_severity"] <= 2 and r["toxic"] != r["kept"] for r in got.values())
 
 
+def test_all_labels_outside_the_fit_set_the_cut(spark, monkeypatch):
+    rows = toxic_rows(1200)
+    copies = [(10_000 + i, rows[1][1] + f" extra{i}", 0, 1) for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t, _, _ in rows + copies], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, x, q in rows + copies], "doc_id bigint, quality int, toxic int")
+    seen, best = [], toxicity.best_cut
+    monkeypatch.setattr(toxicity, "MANY", 50)
+    monkeypatch.setattr(toxicity, "best_cut", lambda *x: seen.append(x) or best(*x))
+    toxicity.train(df, labels, sample=400)
+    (clean, toxic), n = seen[0], len(rows)
+    assert 0.7 * n / 8 < toxic.sum() <= n / 8  # about 300 of 1,500 rows are fitted
+    assert 0.6 * n * 7 / 8 < clean.sum() < 0.85 * n * 7 / 8  # and the copies weigh as one row, nearly
+
+
 def test_ordinal_thresholds_ascend_and_share_weights():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (3000, 4))
