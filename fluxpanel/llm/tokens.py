@@ -2,13 +2,15 @@
 
 A text is cut into units where the tokenizer's own pre-tokenizer always starts anew: around white space and between a
 letter and another character, but never beside an apostrophe (contractions) or a character whose class is not plainly
-known here (ASCII without U+001C..U+001F, and the letters U+00C0..U+00FF). The library encodes each distinct unit once
+known here (ASCII without U+001C..U+001F, and the letters U+00C0..U+00FF). The string of an added token (<|endoftext|>) is
+a unit of its own, as the library takes it out of a text first. The library encodes each distinct unit once
 for a worker, and ids of whole texts are gathered by array work. Units are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +55,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that are not plain strings of the text are not supported")
+        names = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.kind = kind
         self._forget()
 
@@ -98,6 +104,17 @@ class Encoder:
             counts.append(np.diff(edges))
         return np.concatenate(ids), np.concatenate(counts)
 
+    def _added(self, raw: bytes, at: np.ndarray) -> list[tuple[int, int]]:
+        """Spans of the added tokens' strings that lie within one text."""
+        found, pos = [], 0
+        while self.added and (m := self.added.search(raw, pos)):
+            s, e = m.span()
+            whole = np.searchsorted(at, s, "right") == np.searchsorted(at, e, "left")
+            if whole:
+                found.append((s, e))
+            pos = e if whole else s + 1
+        return found
+
     def _slice(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
@@ -108,12 +125,17 @@ class Encoder:
         cut = np.zeros(len(data) + 1, bool)
         cut[1:-1] = CUT[self.kind][cls[:-1] * np.int8(5) + cls[1:]]
         cut[at] = True
+        raw, own = data.tobytes(), np.zeros(len(data), bool)
+        for s, e in self._added(raw, at):
+            cut[s : e + 1], own[s] = False, True
+            cut[[s, e]] = True
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(data))
         if self.kind == "words":
             full = (cls[starts] != WHITE) | (ends - starts > 1)
             starts, ends = starts[full], ends[full]
         key = K.span_hashes(data, starts, ends, lower=self.kind == "words")
+        key = np.where(own[starts], K.mix(key), key)  # the same letters in another case are no added token
         uniq, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         types = np.full(len(uniq), -1)
         if len(self.keys):
@@ -126,8 +148,7 @@ class Encoder:
             pure = letters[e] - letters[s] == e - s
             if self.kind == "spaces":
                 pure |= (data[s] == 32) & (e - s > 1) & (letters[e] - letters[s] == e - s - 1)
-            raw = data.tobytes()
-            types[new] = self._learn(uniq[new], [raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)], pure.tolist())
+            types[new] = self._learn(uniq[new], [raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)], (pure & ~own[s]).tolist())
         kind = types[inverse]
         length = self.length[kind]
         total = np.concatenate([[0], np.cumsum(length)])

@@ -30,6 +30,18 @@ def test_ids_equal_the_library(name, kind):
     assert ids.tolist() == [i for x in want for i in x]
 
 
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaces"), ("byte_bpe_50k.json", "whole")])
+def test_added_tokens_are_one_id(name, kind):
+    from tokenizers import Tokenizer
+
+    rnd, bits = random.Random(1), ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "ab", "'", "s", "é", "!", "\n"]
+    texts = ["ab <|endoftext|> c", "<|endof", "text|>", *("".join(rnd.choice(bits) for _ in range(rnd.randrange(12))) for _ in range(800))]
+    ids, counts = Encoder(tokenizer_path(name), kind).encode(pa.array(texts))
+    want = [e.ids for e in Tokenizer.from_file(tokenizer_path(name)).encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert {50256, 49407} & set(want[0])
+
+
 @pytest.mark.parametrize("kind", ["bit", "byte"])
 @pytest.mark.parametrize("top", [1, 255, 256, 49_999, 70_000, 2**32 - 1])
 def test_planes_round_trip(kind, top):
