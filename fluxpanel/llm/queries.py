@@ -42,7 +42,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    return sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

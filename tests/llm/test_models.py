@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from fluxpanel.llm import kernel as K
-from fluxpanel.llm import quality, segmentations, toxicity
+from fluxpanel.llm import quality, queries, segmentations, toxicity
 from fluxpanel.llm.queries import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
@@ -98,6 +98,14 @@ def test_rows_round_trip_and_repeat(spark):
     assert segmentations.sample_segmentations(df.limit(0), path).count() == 0
 
 
+def test_query_returns_the_segmentations(spark, tmp_path):
+    texts = ["there 漢", "", "some words\n", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op4_segmentations(spark, str(tmp_path))
+    assert {r["doc_id"] for r in rows.collect()} == {0, 1, 2, 3}
+    assert all(r["decoded"] == (texts[r["doc_id"]] or "") for r in segmentations.decode_ids(rows, tokenizer_path(MODEL)).collect())
+
+
 def stats_brute(text):
     text = text or ""
     words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
