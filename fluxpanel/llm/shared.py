@@ -1,23 +1,28 @@
 """Tables and files in the folder that driver and executors share.
 
-The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset (single-machine
-tests) a temporary folder is made and set. Every intermediate table goes there, so that a lost executor costs the
-tasks that ran on it and nothing else.
+The folder is the one the session names in ``spark.checkpoint.dir``. Where that is unset, a session with master ``local``
+(tests, one machine) gets a temporary folder; on a cluster that is an error, since a machine's own folder is lost with it.
+Every intermediate table goes there, so that a lost executor costs the tasks that ran on it and nothing else.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder, without a slash at its end."""
+    """URI of the shared folder, without a slash at its end; RuntimeError where a cluster's session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fluxpanel-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -50,12 +55,29 @@ def open_fs(uri: str):
 
 
 def put(uri: str, data: bytes) -> None:
-    """Writes a whole file: under another name first, so that a second attempt of a task never shows half a file."""
+    """Writes a whole file: under another name first, so that a second attempt of a task never shows half a file.
+
+    A name stands for its bytes: where an earlier attempt has put the file there already, that one stays.
+    """
     system, path = open_fs(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     with system.open_output_stream(part := f"{path}.{uuid.uuid4().hex}.part") as out:
         out.write(data)
-    system.move(part, path)
+    try:
+        system.move(part, path)
+    except OSError:  # some file systems refuse to move onto a file
+        if not system.get_file_info(path).is_file:
+            raise
+        system.delete_file(part)
+
+
+@contextmanager
+def streamed(uri: str) -> Iterator:
+    """An output stream to a file whose name no other attempt uses; what is written is not kept in memory."""
+    system, path = open_fs(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path) as out:
+        yield out
 
 
 def get(uri: str, offset: int = 0, length: int | None = None) -> bytes:
@@ -77,3 +99,19 @@ def bounded_sample(df: DataFrame, size: int, order: Column, total: int) -> DataF
 def broadcast_value(spark: SparkSession, value):
     """A driver-side model of bounded size for the tasks."""
     return spark.sparkContext.broadcast(value)
+
+
+def before_each(df: DataFrame, order: str, value: str, name: str = "before", group: int = 1024) -> DataFrame:
+    """Adds the sum of ``value`` over all rows of smaller ``order``, a whole number from 0 that no two rows share.
+
+    Sums within runs of ``group`` numbers, then over the runs: no task holds more than a run, or one row a run.
+    """
+    run = F.expr(f"`{order}` div {group}")
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_run", run)
+    runs = rows.groupBy("_run").agg(F.sum(value).alias("_sum")).withColumn("_far", F.expr(f"_run div {group}"))
+    far = runs.groupBy("_far").agg(F.sum("_sum").alias("_all"))
+    far = far.select("_far", F.coalesce(F.sum("_all").over(upto(F.lit(0)).orderBy("_far")), F.lit(0)).alias("_base"))
+    runs = runs.withColumn("_near", F.coalesce(F.sum("_sum").over(upto("_far").orderBy("_run")), F.lit(0))).join(far, "_far").select("_run", (F.col("_near") + F.col("_base")).alias("_start"))
+    rows = rows.withColumn("_in", F.coalesce(F.sum(value).over(upto("_run").orderBy(order)), F.lit(0))).join(runs, "_run")
+    return rows.withColumn(name, F.col("_start") + F.col("_in")).drop("_run", "_in", "_start")

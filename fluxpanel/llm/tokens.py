@@ -17,8 +17,9 @@ import pyarrow as pa
 
 from . import kernel as K
 
-KEPT = 2_000_000
-SLICE = 4 << 20
+#: Bytes of units and their ids that a worker keeps; beyond them it starts anew.
+KEPT_BYTES = 48 << 20
+SLICE = 1 << 20
 UNKNOWN, LETTER, OTHER, WHITE, QUOTE = range(5)
 CLASS = np.full(256, UNKNOWN, np.int8)
 CLASS[:128] = [LETTER if chr(b).isalpha() else OTHER for b in range(128)]
@@ -95,7 +96,7 @@ class Encoder:
         """(ids of all texts in a row, number of ids of each text); ``end`` is appended to each text. Null is empty."""
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for _, n, data, at in K.slices(K.texts(col), SLICE):
-            if self.count > KEPT:
+            if 32 * self.count + 4 * self.used > KEPT_BYTES:
                 self._forget()
             out, edges = self._slice(data, at)
             if end is not None:

@@ -1,5 +1,7 @@
 """Encoding, token files and packing against the tokenizers library itself."""
 
+import datetime as dt
+import io
 import random
 import zlib
 
@@ -7,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fluxpanel.llm import packing
+from fluxpanel.llm import packing, queries
 from fluxpanel.llm.queries import tokenizer_path
-from fluxpanel.llm.token_files import FileWriter, from_planes, read_token_files, to_planes, write_token_files
+from fluxpanel.llm.token_files import FileWriter, from_planes, packed, read_token_files, to_planes, unpacked, write_token_files
 from fluxpanel.llm.tokens import Encoder
 
 BITS = ["a", "B", " ", "  ", "\n", "\t", " \n", "é", " ", "'s", "'", "don't", "　", "漢字", "١", "²", "!!", "\x1c", "\r\n", "<|endoftext|>", "é", "İ", "ß", "x y", "12", "café", "×"]
@@ -51,7 +53,14 @@ def test_planes_round_trip(kind, top):
 
 
 def test_writer_without_documents():
-    assert FileWriter().finish().endswith(b"FPTB1\n")
+    sink = io.BytesIO()
+    FileWriter(sink).finish()
+    assert sink.getvalue().endswith(b"FPTB1\n")
+
+
+@pytest.mark.parametrize("ids", [[], [0], [65_535, 1], [65_536], [2**32 - 1, 3]])
+def test_packed_ids_round_trip(ids):
+    assert unpacked(packed(np.array(ids, np.uint32))).tolist() == ids
 
 
 def test_files_in_document_order(spark):
@@ -73,7 +82,48 @@ def test_files_with_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b c"), (None, None)], "doc_id bigint, text string")
     rows = read_token_files(write_token_files(df, tokenizer_path("word_bpe_49k.json"), "words")).collect()
     assert len(rows) == 4 and sorted(r["doc_id"] or 0 for r in rows) == [0, 0, 1, 1]
-    assert sorted(r["start"] for r in rows)[0] == 0
+    rows.sort(key=lambda r: r["start"])
+    assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1]]
+    assert [r["doc_id"] for r in rows] == [None, None, 1, 1]
+
+
+@pytest.mark.parametrize("kind,ids", [("string", ["b", "", None, "é\n"]), ("int", [3, 1, None, 2]), ("date", [dt.date(2001, 2, 3), dt.date(1999, 1, 1), None, dt.date(2000, 1, 1)])])
+def test_files_with_ids_of_other_types(spark, kind, ids):
+    df = spark.createDataFrame(list(zip(ids, ["a", "b c", None, "d"], strict=True)), f"doc_id {kind}, text string")
+    files = write_token_files(df, tokenizer_path("word_bpe_49k.json"), "words", file_docs=1)
+    assert files.count() == 4
+    rows = sorted(read_token_files(files, kind).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == sorted(ids, key=lambda x: (x is not None, x))
+    assert dict(read_token_files(files, kind).dtypes)["doc_id"] == kind
+
+
+TEXTS = [*fuzz(60, 9), None, "", "a <|endoftext|> b", "<|startoftext|><|endoftext|>", "long text " * 4000]
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, tmp_path_factory):
+    """A folder with a table of documents: shuffled ids, special strings, a long text."""
+    ids = random.Random(4).sample(range(500), len(TEXTS))
+    top = tmp_path_factory.mktemp("sf")
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, TEXTS, strict=True)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{top}/documents.parquet")
+    return str(top), dict(zip(ids, TEXTS, strict=True))
+
+
+def library(name, texts):
+    """Ids by a fresh tokenizer with nothing set."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path(name))
+    return {i: np.array([*fresh.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in texts.items()}
+
+
+def test_token_file_query_equals_a_fresh_tokenizer(spark, sf_dir):
+    want, at = library("word_bpe_49k.json", sf_dir[1]), 0
+    rows = {r["doc_id"]: r for r in queries.op2_token_files(spark, sf_dir[0]).collect()}
+    assert len(rows) == len(want)
+    for i in sorted(want):
+        assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (at, len(want[i]), zlib.crc32(want[i].tobytes()))
+        at += len(want[i])
 
 
 @pytest.mark.parametrize("seed", [0, 1, 2])
