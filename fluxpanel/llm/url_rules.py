@@ -1,35 +1,40 @@
 """URL rules in DataFrame functions only: host and path rules, then patterns found by their rarest literal token.
 
-Each pattern names literal tokens that every URL it matches has in it as whole tokens. Token counts over all URLs say
-which of them is the rarest; the pattern is filed under that one. A URL's tokens fetch the patterns filed under them,
-and only those run. The rule set is a list the caller passes on the driver, so its index is a literal of the plan and
-nothing is shuffled but the token counts.
+Both kinds of rules are tables of any size. A host rule is found by an equi-join for each number of labels that hosts of
+rules have; a row takes part in each join once, so a URL with very many labels costs no more than another. A pattern
+names literal tokens that every URL it matches has in it as whole tokens. Token counts over all URLs say which of them is
+the rarest, and the pattern is filed under that one. The tokens of the URLs that no host rule decides fetch the
+patterns filed under them by a join, only those run, and the URLs that one matches (each once) are joined back. Small
+tables are broadcast by Spark's own size limit, larger ones are shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_RULES = 20_000
 #: (host, path, verdict)
 HOST_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Patterns over the lower-cased URL, written in the syntax that Java and RE2 share, with their literal tokens.
+#: Patterns over the lower-cased URL, written in the syntax that Java and RE2 share, with their literal tokens: hosts of
+#: casinos, bets, link farms, trackers, pills and adult pages, log-in pages, second and later pages of a list, programs.
 PATTERNS = [
-    (r"://([^/?#]*\.)?spam-farm\.", ["spam", "farm"]),
-    (r"://([^/?#]*\.)?cheap-pills\.", ["cheap", "pills"]),
     (r"://([^/?#]*[.-])?casino[.-]", ["casino"]),
+    (r"://([^/?#]*[.-])?(free|sure)-bets\.", ["bets"]),
+    (r"://([^/?#]*\.)?spam-farm\.", ["spam", "farm"]),
+    (r"://([^/?#]*\.)?ads?-track\.", ["track"]),
+    (r"://([^/?#]*[.-])?(cheap|online)-pills\.", ["pills"]),
+    (r"://([^/?#]*\.)?adult-[a-z0-9]+\.", ["adult"]),
     (r"://([^/?#]*[.-])?phishing[.-]", ["phishing"]),
     (r"/free-money(/|$|[?#])", ["free", "money"]),
     (r"/wp-login\.php($|[?#])", ["wp", "login", "php"]),
+    (r"[?&]page=[0-9]+(&|#|$)", ["page"]),
     (r"[?&]affiliate_id=[0-9]+", ["affiliate", "id"]),
-    (r"[?&]utm_source=feed(&|#|$).*[?&#]ref=x", ["utm", "source", "feed", "ref"]),
     (r"/download/[^?#]*\.exe($|[?#])", ["download", "exe"]),
-    (r"://[^/?#]*\.example\.org/de/[0-9]+\.html\?page=[0-9]+", ["example", "org", "de", "html", "page"]),
 ]
 
 
@@ -48,63 +53,80 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER), "[^a-z0-9]+"), lambda t: t != ""))
 
 
-def _index(entries: dict[str, list[tuple]], fields: list[str]) -> Column:
-    """A literal map from key to an array of structs; the number of rules is bounded."""
-    pairs = []
-    for key, rows in entries.items():
-        pairs += [F.lit(key), F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, row, strict=True)]) for row in rows])]
-    return F.create_map(*pairs)
+def host_rule_table(spark: SparkSession, rules=HOST_RULES) -> DataFrame:
+    """host, path, verdict rows of a list; a table stays as it is."""
+    return rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string, verdict string")
 
 
-def host_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """struct(n, rule, verdict) of the longest rule that fits, or null."""
-    entries = defaultdict(list)
-    for h, p, verdict in rules:
-        entries[h].append((len(h) + len(p), f"{h}{p}", p, verdict))
-    index = _index(entries, ["n", "rule", "path", "verdict"])
-    labels = F.split(host, r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    found = F.flatten(F.transform(ends, lambda e: F.coalesce(F.try_element_at(index, e), F.array().cast("array<struct<n:int,rule:string,path:string,verdict:string>>"))))
-    return F.array_max(F.filter(found, lambda r: F.startswith(path, r["path"])))
+def pattern_table(spark: SparkSession, patterns=PATTERNS) -> DataFrame:
+    """pattern, tokens rows of a list, or of a table; ValueError where a pattern has no literal tokens, or one that is no run of a-z and 0-9."""
+    if not isinstance(patterns, DataFrame):
+        for pattern, _ in patterns:
+            re.compile(pattern)
+        patterns = spark.createDataFrame(list(patterns), "pattern string, tokens array<string>")
+    good = (F.size("tokens") > 0) & F.forall("tokens", lambda t: F.coalesce(t.rlike("^[a-z0-9]+$"), F.lit(False)))
+    bad = patterns.filter(~F.coalesce(good, F.lit(False))).head(1)
+    if bad:
+        raise ValueError(f"pattern without literal tokens: {bad[0]['pattern']}")
+    return patterns.select("pattern", "tokens")
 
 
-def rarest_tokens(urls: DataFrame, url_col: str, patterns: list[tuple[str, list[str]]]) -> dict[str, list[tuple]]:
-    """Rarest token -> patterns, by the number of URLs that have the token. At most one count for each literal token comes to the driver."""
-    literal = sorted({t for _, ts in patterns for t in ts})
-    counts = {r["t"]: r["n"] for r in urls.select(F.explode(F.array_intersect(tokens_of(F.col(f"`{url_col}`")), F.array(*map(F.lit, literal)))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    entries = defaultdict(list)
-    for pattern, ts in patterns:
-        entries[min(ts, key=lambda t: (counts.get(t, 0), t))].append((pattern,))
-    return entries
+def with_host_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds _rule, struct(n, rule, verdict) of the longest rule that fits ``host`` and ``path``, or null; ``block`` wins among equal rules.
+
+    The rules of one host are one array. A suffix of d labels meets the rules whose host has d labels, for each d that occurs (a host
+    name has 127 labels at most, so that bounds the joins).
+    """
+    one = F.struct((F.length("host") + F.length("path")).alias("n"), F.concat("host", "path").alias("rule"), "path", "verdict")
+    rules = rules.filter("host is not null and path is not null and verdict is not null")
+    # written, so that its size is known where a join is chosen
+    by_host = written(rules.groupBy(F.size(F.split("host", r"\.")).alias("depth"), "host").agg(F.collect_set(one).alias("rules")), "host-rules")
+    depths = sorted(r["depth"] for r in by_host.select("depth").distinct().limit(128).collect())
+    if len(depths) > 127:
+        raise ValueError("hosts of rules have more numbers of labels than host names can have")
+    found = [F.lit(None).cast("struct<n:int,rule:string,path:string,verdict:string>")]
+    for d in depths:
+        at = by_host.filter(F.col("depth") == d).select(F.col("host").alias(f"_h{d}"), F.col("rules").alias(f"_r{d}"))
+        rows = rows.join(at, F.substring_index("host", ".", -d) == F.col(f"_h{d}"), "left")
+        found.append(F.array_max(F.filter(F.col(f"_r{d}"), lambda r: F.startswith(F.col("path"), r["path"]))))
+    return rows.withColumn("_rule", F.array_max(F.array(*found))).drop(*[f"_{x}{d}" for d in depths for x in "hr"])
+
+
+def rarest_tokens(urls: DataFrame, url_col: str, patterns: DataFrame) -> DataFrame:
+    """pattern, token: the literal token that the fewest URLs have, the first by name where several are as rare."""
+    literal = patterns.select(F.explode("tokens").alias("t")).distinct()
+    counts = urls.select(F.explode(tokens_of(F.col(f"`{url_col}`"))).alias("t")).join(literal, "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    each = patterns.select("pattern", F.explode("tokens").alias("t")).join(counts, "t", "left")
+    return each.groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t")).alias("m")).select("pattern", F.col("m.t").alias("token"))
+
+
+def matched(urls: DataFrame, index: DataFrame) -> DataFrame:
+    """The distinct URLs (column ``url``) that a pattern matches: each runs the patterns filed under one of its tokens, and no others."""
+    fetched = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(index, "token")
+    return fetched.filter(F.rlike(F.translate("url", UPPER, LOWER), F.col("pattern"))).select("url").distinct()
 
 
 def judge_urls(pages: DataFrame, url_col: str = "url", host_rules=HOST_RULES, patterns=PATTERNS) -> DataFrame:
     """The rows with host, path, rule, verdict and by (host, pattern or default).
 
-    A host rule decides where one fits, the longest first. Else a pattern that matches blocks the URL, and without one
-    it is allowed. A null URL, or one without ``://``, has an empty host and path and is tested by the patterns alone (null
-    matches none). Input columns named like an output column are replaced. Rows stay as they are, repeated ones too.
+    ``host_rules`` (host, path, verdict) and ``patterns`` (pattern, tokens) are lists or tables of any number of rows. A host
+    rule decides where one fits, the longest first. Else a pattern that matches blocks the URL, and without one it is
+    allowed. A null URL is allowed (by default); one without ``://`` has an empty host and path and is tested by the patterns alone,
+    unless a rule has an empty host. URLs are read whole, however long. Rows stay as they are, repeated ones too; equal URLs have equal verdicts. An empty table
+    gives no rows. Input columns named like an output column are replaced.
     """
-    if len(host_rules) + len(patterns) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; the index is a literal of the plan")
-    for pattern, ts in patterns:
-        re.compile(pattern)
-        if not ts or any(not re.fullmatch("[a-z0-9]+", t) for t in ts):
-            raise ValueError(f"pattern without literal tokens: {pattern}")
+    spark = pages.sparkSession
     url = F.col(f"`{url_col}`")
-    host, path = host_of(url), path_of(url)
-    no_rule = F.lit(None).cast("struct<n:int,rule:string,path:string,verdict:string>")
-    rule = host_rule(F.col("host"), F.col("path"), host_rules) if host_rules else no_rule
-    low = F.translate(url, UPPER, LOWER)
-    if patterns:
-        index = _index(rarest_tokens(pages, url_col, patterns), ["pattern"])
-        fetched = F.flatten(F.transform(tokens_of(url), lambda t: F.coalesce(F.try_element_at(index, t), F.array().cast("array<struct<pattern:string>>"))))
-        hit = F.coalesce(F.exists(fetched, lambda r: F.rlike(low, r["pattern"])), F.lit(False))
-    else:
-        hit = F.lit(False)
     keep = [c for c in pages.columns if c not in {"host", "path", "rule", "verdict", "by"}]
-    out = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"), hit.alias("_hit"))
-    out = out.withColumn("_rule", rule)
-    by = F.when(F.col("_rule").isNotNull(), "host").when(F.col("_hit"), "pattern").otherwise("default")
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_hit"), "block").otherwise("allow"))
-    return out.select(*[F.col(f"`{c}`") for c in keep], "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), by.alias("by"))
+    names = [f"c{i}" for i in range(len(keep))]
+    rows = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
+    ruled = with_host_rule(rows, host_rule_table(spark, host_rules))
+    decided, rest = ruled.filter("_rule is not null"), ruled.filter("_rule is null")
+    index = written(rarest_tokens(pages, url_col, pattern_table(spark, patterns)), "url-index")
+    blocked = written(matched(rest.filter("url is not null"), index), "url-matched").select(F.col("url").alias("_blocked"))
+    rest = rest.join(blocked, F.col("url") == F.col("_blocked"), "left")
+    out = decided.withColumn("_blocked", F.lit(None).cast("string")).unionByName(rest)
+    hit = F.col("_blocked").isNotNull()
+    by = F.when(F.col("_rule").isNotNull(), "host").when(hit, "pattern").otherwise("default")
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(hit, "block").otherwise("allow"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), by.alias("by"))

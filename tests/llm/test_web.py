@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,7 @@ URLS = [
     None, "", "no scheme", "http://example.com", "http://example.com/", "https://www.Example.com/en/1", "http://example.com/en/1", "http://blog.example.com/en/x", "http://a.net/es/", "http://net/fr/x?y",
     "http://notexample.com/en/", "http://a.org/en/", "http://spam-farm.example.org/x", "http://x.spam-farm.org", "http://spamfarm.org/", "http://a.org/free-money", "http://a.org/free-moneys", "http://a.org/x?utm_source=feed&ref=x",
     "http://a.org/x?utm_source=feeds&ref=x", "http://a.org/download/b/c.EXE?z", "http://CASINO.org/", "a://b://net/es/", "http://a.net?/es/", "http://a.net#/fr/", "http://big-casino-x.org/\nq",
+    "http://a.org/en/3?page=2&ref=x", "http://a.org/en/3?PAGE=2", "http://a.org/en/3?page=x", "http://m.adult-x.org/",
 ]
 
 
@@ -84,18 +86,63 @@ def verdict(url):
 
 
 def test_verdicts_equal_all_rules_run(spark):
-    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "page_id bigint, url string, rule string")
-    rows = {r["page_id"]: r for r in url_rules.judge_urls(df).collect()}
-    for i, u in enumerate(URLS):
-        assert tuple(rows[i][c] for c in ("host", "path", "rule", "verdict")) == verdict(u), u
+    df = spark.createDataFrame([(i % len(URLS), u, "clash") for i, u in enumerate(URLS + URLS[:7])], "page_id bigint, url string, rule string")
+    rows = url_rules.judge_urls(df).collect()
+    assert len(rows) == len(URLS) + 7
+    for r in rows:
+        u = URLS[r["page_id"]]
+        assert tuple(r[c] for c in ("host", "path", "rule", "verdict")) == verdict(u), u
+    assert {r["by"] for r in rows} == {"host", "pattern", "default"}
     assert url_rules.judge_urls(df.limit(0)).count() == 0
     assert url_rules.judge_urls(df, host_rules=[], patterns=[]).filter("verdict = 'block'").count() == 0
 
 
+def test_thousands_of_rules_equal_running_all(spark):
+    rnd = random.Random(8)
+    word = lambda: rnd.choice(["a", "b", "shop", "news", "x1"]) + str(rnd.randrange(900))
+    patterns = [(f"[/.]{(w := word())}-{(v := word())}([/.?]|$)", [w, v]) for _ in range(4000)] + [(f"[?&]{(w := word())}=[0-9]+", [w]) for _ in range(1000)]
+    hosts = [(".".join(word() for _ in range(rnd.randrange(1, 4))), rnd.choice(["/", "/en/", "/en/x"]), rnd.choice(["allow", "block"])) for _ in range(2000)]
+    urls = []
+    for _ in range(600):
+        p, (h, path, _v) = rnd.choice(patterns)[1], rnd.choice(hosts)
+        urls.append(rnd.choice([f"http://{h}{path}1", f"http://w.{h}/en/", f"https://q.org/{'-'.join(p)}/z", f"https://{'-'.join(p)}.org/z", f"http://q.net/?{p[0]}=7", f"http://q.net/{p[0]}"]))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    rows = url_rules.judge_urls(df, host_rules=spark.createDataFrame(hosts, "host string, path string, verdict string"), patterns=spark.createDataFrame(patterns, "pattern string, tokens array<string>")).collect()
+    compiled = [re.compile(p) for p, _ in patterns]
+    for r in rows:
+        m = re.match(r"(?s)^(.*?)://([^/?#]*)([^?#]*)", urls[r["page_id"]])
+        fits = [(len(h + p), h + p, v) for h, p, v in hosts if (m[2] == h or m[2].endswith("." + h)) and m[3].startswith(p)]
+        want = max(fits)[1:] if fits else (None, "block" if any(p.search(urls[r["page_id"]]) for p in compiled) else "allow")
+        assert (r["rule"], r["verdict"]) == want, urls[r["page_id"]]
+    assert len({r["verdict"] for r in rows if r["rule"] is None}) == 2
+
+
+def test_very_long_urls(spark):
+    urls = ["http://" + "a." * 20_000 + "com/en/", "http://q.org/" + "b-" * 50_000 + "/free-money", "x" * 200_000]
+    began = time.time()
+    rows = {r["url"]: r for r in url_rules.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+    assert [rows[u]["verdict"] for u in urls] == ["allow", "block", "allow"] and rows[urls[0]]["rule"] == "com/"
+    assert time.time() - began < 30
+
+
+def test_rules_that_cannot_be_filed(spark):
+    df = spark.createDataFrame([("http://a/",)], "url string")
+    for tokens in ([], ["a-b"], ["A"]):
+        with pytest.raises(ValueError):
+            url_rules.judge_urls(df, patterns=[("x", tokens)])
+    with pytest.raises(ValueError):
+        url_rules.judge_urls(df, patterns=spark.createDataFrame([("x", None)], "pattern string, tokens array<string>"))
+
+
 def test_patterns_are_filed_under_the_rarest_token(spark):
     df = spark.createDataFrame([("http://spam.a/",), ("http://spam.b/",), ("http://farm.c/",)], "url string")
-    index = url_rules.rarest_tokens(df, "url", [("spam-farm", ["spam", "farm"])])
-    assert list(index) == ["farm"]
+    index = url_rules.rarest_tokens(df, "url", url_rules.pattern_table(spark, [("spam-farm", ["spam", "farm"]), ("none", ["spam", "none"])]))
+    assert {tuple(r) for r in index.collect()} == {("spam-farm", "farm"), ("none", "none")}
+
+
+def test_patterns_decide_pages_without_a_host_rule(spark):
+    rows = queries.op9_url_filters(spark, "/root/testdata/sf0.01").filter("rule is null")
+    assert rows.filter("verdict = 'block'").count() > 0 and rows.filter("verdict = 'allow'").count() > 0
 
 
 def test_pipeline_stages(spark, tmp_path):
