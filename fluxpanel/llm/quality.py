@@ -2,7 +2,8 @@
 
 The statistics are made in one pass and written; the forest is grown on the driver from ``TREES`` x ``SAMPLE`` rows that
 a hash of the id picks among the rows that pass the base limits (a bounded sample, as the method has it: each tree sees
-``SAMPLE`` rows). Every row is then scored. The threshold is a percentile of the scores of all labelled good rows.
+``SAMPLE`` rows). Every row is then scored once. The threshold comes from the scores of all labelled rows, good and bad ones,
+that pass the base limits.
 """
 
 from __future__ import annotations
@@ -16,11 +17,17 @@ from . import kernel as K
 from .shared import bounded_sample, broadcast_value, written
 
 TREES, SAMPLE = 100, 256
-#: Share of the labelled good rows that the threshold keeps.
+#: Relative chance of each of ``features`` to be split on. Most texts repeat nothing, so that splits on repeats alone would isolate good texts.
+CHANCE = (1.0, 1.0, 0.25, 0.25, 0.25)
+#: Share of repeated lines or words that counts as none.
+USUAL = 0.1
+#: Scores are counted by this many steps; a share of good rows rejected costs as much as so many times that share of bad rows kept.
+STEPS, GOOD_COST = 2000, 5.0
+#: Share of the labelled good rows that the threshold keeps where no bad ones are labelled.
 KEEP_GOOD = 0.995
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
 def text_stats(col: pa.Array) -> np.ndarray:
@@ -52,7 +59,8 @@ def text_stats(col: pa.Array) -> np.ndarray:
         ls, le = ls[full], le[full]
         ldoc = np.searchsorted(at, ls, "right") - 1
         _, first = np.unique(K.span_hashes(data, ls, le) ^ salt[ldoc], return_index=True)
-        rows[:, 3] = np.bincount(ldoc, minlength=n) - np.bincount(ldoc[first], minlength=n)
+        rows[:, 5] = np.bincount(ldoc, minlength=n)
+        rows[:, 3] = rows[:, 5] - np.bincount(ldoc[first], minlength=n)
         first, w = K.windows(K.span_hashes(data, s, e), woff, 5, 5)
         if len(first):
             _, inv, count = np.unique(w ^ salt[doc[first]], return_inverse=True, return_counts=True)
@@ -62,12 +70,11 @@ def text_stats(col: pa.Array) -> np.ndarray:
 
 
 def features(stats: np.ndarray) -> np.ndarray:
-    """Numbers that the forest splits on: symbols a word, and the logarithm of the mean word length, drawn towards five letters in short texts.
-
-    Repeats have base limits of their own; good texts that repeat a line would otherwise be the oddest rows of all.
-    """
-    n = stats[:, 0].astype(float)
-    return np.column_stack([stats[:, 2] / np.maximum(n, 1), np.log((stats[:, 1] + 5 * 20) / (n + 20))])
+    """Numbers that the forest splits on, from all statistics: symbols a word; the logarithm of the mean word length, drawn towards five letters
+    in short texts; the shares of repeated lines and of repeated words above ``USUAL``; the logarithm of the number of words."""
+    n, chars, symbols, dup, repeat, lines = stats.astype(float).T
+    over = lambda x, of: np.maximum(x / np.maximum(of, 1) - USUAL, 0.0)
+    return np.column_stack([symbols / np.maximum(n, 1), np.log((chars + 5 * 20) / (n + 20)), over(dup, lines), over(repeat, n), np.log1p(n)])
 
 
 def _harmonic(n: np.ndarray | float) -> np.ndarray:
@@ -75,9 +82,9 @@ def _harmonic(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow_forest(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> dict[str, np.ndarray]:
+def grow_forest(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 0, chance: tuple = ()) -> dict[str, np.ndarray]:
     """Random splits in flat arrays: feature (-1: leaf), cut, left child (the right one follows it), path length."""
-    rng = np.random.default_rng(seed)
+    rng, chance = np.random.default_rng(seed), np.array(chance or np.ones(x.shape[1]))
     feature, cut, left, depth, roots = [], [], [], [], []
     sample = min(sample, len(x))
     limit = int(np.ceil(np.log2(max(sample, 2))))
@@ -92,7 +99,7 @@ def grow_forest(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: i
             if d >= limit or len(rows) < 2 or not len(open_):
                 depth[node] = d + float(_harmonic(len(rows)))
                 continue
-            f = int(rng.choice(open_))
+            f = int(rng.choice(open_, p=chance[open_] / chance[open_].sum()))
             c = float(rng.uniform(low[f], high[f]))
             feature[node], cut[node], left[node] = f, c, len(feature)
             for side in (rows[:, f] < c, rows[:, f] >= c):
@@ -116,18 +123,35 @@ def forest_scores(forest: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.exp2(-total / max(len(forest["roots"]), 1) / forest["scale"]) if len(forest["roots"]) else total
 
 
+def best_step(good: np.ndarray, bad: np.ndarray, keep_good: float = KEEP_GOOD) -> int:
+    """Score step (of STEPS) from which rows are rejected, given the labelled rows by step of their score.
+
+    The greatest share of bad rows rejected less GOOD_COST times the share of good rows rejected; the middle one of equal ones.
+    Without bad rows, the lowest step that keeps ``keep_good`` of the good ones; without good rows, none.
+    """
+    if not good.sum():
+        return STEPS + 1
+    lost = np.append(np.cumsum(good[::-1])[::-1], 0) / good.sum()
+    if not bad.sum():
+        return int(np.flatnonzero(lost <= 1 - keep_good + 1e-12)[0])
+    gain = np.append(np.cumsum(bad[::-1])[::-1], 0) / bad.sum() - GOOD_COST * lost
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    return int(best[len(best) // 2])
+
+
 def _stats_batches(batches):
     for b in batches:
         stats = text_stats(b.column("text"))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(stats[:, i]) for i in range(len(STATS))]], ["doc_id", *STATS])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, sample: int = SAMPLE, keep_good: float = KEEP_GOOD) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """doc_id, STATS, base_failed, score and kept of every row.
 
-    ``labels`` has doc_id and quality (1: good); null labels and labels of no row are not used. Without labelled good
-    rows the forest rejects nothing. A null text has no words and fails the base limits. Rows with a null id are judged
-    like others. Repeated rows give repeated rows.
+    ``labels`` has doc_id and quality (1: good, 0: bad); null labels, labels of no row and ids with labels of both kinds are not used.
+    Without labelled good rows the forest rejects nothing. A null text has no words and fails the base limits. A row whose
+    score ties with the threshold's step is rejected like those above. Rows with a null id are judged like others. Repeated rows give repeated rows
+    with one verdict. Texts are read whole, however long. Columns other than the two named are not read, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)
@@ -138,17 +162,20 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_
     # the sample: the rows of smallest hash, TREES * SAMPLE at most
     fit = table.filter(~failed)
     grown = bounded_sample(fit.select("doc_id", *STATS), trees * sample, F.xxhash64(F.lit(17), F.col("doc_id")), fit.count()).toPandas()
-    forest = broadcast_value(spark, grow_forest(features(grown[STATS].to_numpy(np.int64)) if len(grown) else np.zeros((0, 2)), trees, sample))
+    forest = broadcast_value(spark, grow_forest(features(grown[STATS].to_numpy(np.int64).reshape(-1, len(STATS))), trees, sample, chance=CHANCE))
 
     def score(batches):
         for b in batches:
             stats = np.column_stack([b.column(c).to_numpy() for c in STATS]) if b.num_rows else np.zeros((0, len(STATS)), np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest_scores(forest.value, features(stats)))], [*b.schema.names, "score"])
 
-    scored = table.mapInArrow(score, schema + ", score double")
-    limit = None
+    scored = written(table.mapInArrow(score, schema + ", score double"), "scored")
+    step = F.floor(F.col("score") * F.lit(STEPS)).cast("int")
+    limit = STEPS + 1
     if labels is not None:
-        good = labels.filter("quality = 1").select(F.col("doc_id").alias("_g")).distinct()
-        limit = scored.filter(~failed).join(good, F.col("doc_id") == F.col("_g"), "left_semi").agg(F.percentile_approx("score", F.lit(keep_good), F.lit(100_000)).alias("q")).first()["q"]
-    kept = ~failed & (F.col("score") <= F.lit(limit if limit is not None else 2.0))
-    return scored.select("doc_id", *STATS, failed.alias("base_failed"), "score", kept.alias("kept"))
+        known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("_l")).agg(F.min("quality").alias("least"), F.max("quality").alias("most")).filter("least = most")
+        counts = np.zeros((2, STEPS + 1))
+        for r in scored.filter(~failed).join(known, F.col("doc_id") == F.col("_l")).groupBy(step.alias("step"), "least").count().collect():  # two for each step at most
+            counts[int(r["least"]), r["step"]] = r["count"]
+        limit = best_step(counts[1], counts[0])
+    return scored.select("doc_id", *STATS, failed.alias("base_failed"), "score", (~failed & (step < F.lit(limit))).alias("kept"))

@@ -1,11 +1,14 @@
 """Toxicity by cumulative-link ordinal regression on the set of words of each text.
 
 P(grade > j) = logistic(w . x - t_j): one weight vector for all thresholds t_0 <= t_1 <= ... Features are the distinct
-bare words of a text (ASCII letters lower-cased), by 64-bit hash, of the words that occur in at least ``MIN_DOCS`` of the
-labelled texts of the training sample and that tell toxic texts from others there (log-likelihood ratio of LEAST_G or more).
-Texts that share a key of hash minima of their words, as copies do, share one row's weight. Grades from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality.
-The fit takes three quarters of at most ``SAMPLE`` labelled rows (picked by a hash of the id) on the driver. All other
-labelled rows set the rejection threshold: one pass scores them, and only counts by cut reach the driver. Every text is scored whole.
+bare words of a text (ASCII letters lower-cased), by 64-bit hash, of the words that occur in at least ``MIN_DOCS`` of the texts of
+the training sample. Words speak for or against toxicity; an absolute penalty, in proportion to each word's spread and to what
+chance alone gives the best of so many words, leaves most of them at zero. Texts that share a key of hash minima of their words,
+as copies do, share one row's weight. Grades from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality. The labels have no degrees
+of toxicity: grade 2 says that a toxic text is bad in another way too, and the expected severity is a mean over these grades.
+The fit takes three quarters of at most ``SAMPLE`` labelled ids (picked by a hash of the id), one row each, ``SAMPLE_WORDS`` words in
+all and ``WIDE`` a text at most, on the driver. All other labelled rows set the rejection threshold: one pass scores them, and only
+counts by cut reach the driver. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .shared import bounded_sample, broadcast_value, written
 
-SAMPLE = 12_000
+#: Bounds of the sample that is fitted: labelled ids, distinct words of all texts, distinct words of one text.
+SAMPLE, SAMPLE_WORDS, WIDE = 12_000, 4_000_000, 40_000
 MIN_DOCS = 5
-LEAST_G = 10.0
+#: Absolute penalty, as a share of the largest slope that chance alone is likely to give one of the words.
+PENALTY = 0.6
 GRADES = 3
-GRID = np.linspace(0.02, 0.98, 97)
 #: Rows with a common key of hash minima from which the key's count is broadcast and not shuffled.
 MANY = 1000
 
@@ -54,38 +58,51 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray | None = None, grades: int = GRADES, l2: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds that maximise the likelihood, by Adam on the full batch; thresholds are kept ascending by positive steps."""
+#: Probabilities that the rejection threshold is chosen from.
+GRID = logistic(np.linspace(-6, 4, 101))
+
+
+def fit_ordinal(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray | None = None, grades: int = GRADES, penalty: np.ndarray | float = 0.0, l2: float = 1e-5, steps: int = 200, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds that minimise the mean negative log likelihood + sum(penalty |w|) + l2 / 2 sum(w^2).
+
+    Adam on the full batch with a falling rate, each step followed by the penalty's own in the same metric; thresholds are kept
+    ascending by positive steps.
+    """
     weight = np.ones(len(y)) if weight is None else weight
     n = max(weight.sum(), 1e-9)
-    w = np.zeros(width)
     # share of rows above each grade gives the first thresholds
     share = np.clip([((y > j) * weight).sum() / n for j in range(grades - 1)], 1e-3, 1 - 1e-3)
     t = -np.log(share / (1 - share))
-    raw = np.concatenate([t[:1], np.log(np.maximum(np.diff(t), 1e-2))])
-    theta = np.concatenate([w, raw])
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    theta = np.concatenate([np.zeros(width), t[:1], np.log(np.maximum(np.diff(t), 1e-2))])
+    m, v, at = np.zeros_like(theta), np.zeros_like(theta), np.arange(len(y))
     for k in range(1, steps + 1):
         w, raw = theta[:width], theta[width:]
         t = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
         z = np.bincount(row, w[col], minlength=len(y)) if len(row) else np.zeros(len(y))
         above = np.column_stack([np.ones(len(y)), logistic(z[:, None] - t), np.zeros(len(y))])
-        at = np.arange(len(y))
         p = np.maximum(above[at, y] - above[at, y + 1], 1e-12)
         slope = above * (1 - above)
         gz = -weight * (slope[at, y] - slope[at, y + 1]) / p
-        gt = np.zeros(grades - 1)
-        for j in range(grades - 1):
-            gt[j] = (weight * ((y == j + 1) * slope[:, j + 1] / p - (y == j) * slope[:, j + 1] / p)).sum()
+        gt = np.array([(weight * ((y == j + 1) * slope[:, j + 1] / p - (y == j) * slope[:, j + 1] / p)).sum() for j in range(grades - 1)])
         gw = np.bincount(col, gz[row], minlength=width) / n + l2 * w if len(row) else l2 * w
         graw = np.array([gt.sum(), *[gt[j:].sum() * np.exp(raw[j]) for j in range(1, grades - 1)]]) / n
         g = np.concatenate([gw, graw])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        step = rate * (1.02 - k / steps) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        theta = theta - step * m / (1 - 0.9**k)
+        theta[:width] = np.sign(theta[:width]) * np.maximum(np.abs(theta[:width]) - step[:width] * penalty, 0.0)
     w, raw = theta[:width], theta[width:]
     return w, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
 
 
+def penalties(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray, strength: float = PENALTY) -> np.ndarray:
+    """By word: ``strength`` times the size that the likelihood's slope at zero has by chance for the best of ``width`` words with that word's spread."""
+    n = max(weight.sum(), 1e-9)
+    share = np.bincount(col, weight[row], minlength=width) / n
+    toxic = (weight * (y > 0)).sum() / n
+    return strength * np.sqrt(share * np.maximum(1 - share, 0.0) * toxic * (1 - toxic) * 2 * np.log(max(width, 2)) / n)
+
+
 def minima_keys(row: np.ndarray, h: np.ndarray, n: int, bands: int = 6, rows: int = 3) -> np.ndarray:
     """``bands`` keys of ``rows`` hash minima each of n word sets, given as (row, hash) ordered by row; minima of an empty set are 0."""
     least = np.zeros((n, bands * rows), K.U64)
@@ -109,15 +126,6 @@ def copy_weights(keys: np.ndarray) -> np.ndarray:
     return 1.0 / most
 
 
-def association(word: np.ndarray, row: np.ndarray, n_words: int, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each word for toxic rows, with row weights; 0 for words that speak for the other rows."""
-    k = np.bincount(word, weight[row] * toxic[row], minlength=n_words)
-    n = np.bincount(word, weight[row], minlength=n_words)
-    base = np.clip((weight * toxic).sum() / max(weight.sum(), 1e-9), 1e-6, 1 - 1e-6)
-    part = lambda x, q: np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(n * q, 1e-12)), 0.0)
-    return np.where(k > n * base, part(k, base) + part(n - k, 1 - base), 0.0)
-
-
 def best_cut(clean: np.ndarray, toxic: np.ndarray) -> float:
     """Probability above which a text is rejected: the middle of the cuts with the best F1; 0.5 if the rows cannot tell.
 
@@ -168,47 +176,70 @@ def calibration(docs: DataFrame, labelled: DataFrame, model: dict, fitted: list,
     return out[0], out[1]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
-    """The model: sorted word hashes, their weights, thresholds, cut. Without labelled rows nothing is toxic."""
-    spark = docs.sparkSession
-    labelled = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_l")).agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
-    picked = bounded_sample(labelled, sample, F.xxhash64(F.lit(23), F.col("_l")), labelled.count()).withColumn("held", F.pmod(F.xxhash64(F.lit(29), F.col("_l")), F.lit(4)) == 0).collect()
-    truth = {r["_l"]: int(r["toxic"] > 0) * (1 + int(r["quality"] == 0)) for r in picked}
-    fitted = [r["_l"] for r in picked if not r["held"]]
-    ids = broadcast_value(spark, frozenset(fitted))
+def word_rows(docs: DataFrame, ids: list, id_col: str, text_col: str, wide: int = WIDE) -> DataFrame:
+    """doc_id, n, words (hashes, ascending) of the texts with the given ids and ``wide`` distinct words at most: one row an id, the least words of those that share it."""
+    wanted = broadcast_value(docs.sparkSession, frozenset(ids))
     kind = dict(docs.dtypes)[id_col]
 
     def sets(batches):
         for b in batches:
-            keep = [i for i, x in enumerate(b.column("doc_id").to_pylist()) if x in ids.value]
-            if keep:
-                b = b.take(pa.array(keep))
-                row, h = word_sets(b.column("text"))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[row == i].tobytes() for i in range(b.num_rows)], pa.binary())], ["doc_id", "words"])
-
-    got = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(sets, f"doc_id {kind}, words binary").collect() if fitted else []
-    got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["words"])))
-    words = [np.frombuffer(r["words"], K.U64) for r in got]
-    y = np.array([truth[r["doc_id"]] for r in got], np.int64)
-    ids.destroy()
-    if not len(y):
-        return {"words": np.zeros(0, K.U64), "w": np.zeros(0), "t": np.full(GRADES - 1, 50.0), "cut": 0.5}
+            keep = [i for i, x in enumerate(b.column("doc_id").to_pylist()) if x in wanted.value]
+            for i in range(0, len(keep), 256):
+                c = b.take(pa.array(keep[i : i + 256]))
+                row, h = word_sets(c.column("text"))
+                at = np.searchsorted(row, np.arange(c.num_rows + 1))
+                count = np.diff(at)
+                raw, ok = h.tobytes(), np.flatnonzero(count <= wide)
+                yield pa.RecordBatch.from_arrays([c.column("doc_id").take(pa.array(ok)), pa.array(count[ok]), pa.array([raw[8 * at[j] : 8 * at[j + 1]] for j in ok.tolist()], pa.binary())], ["doc_id", "n", "words"])
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(sets, f"doc_id {kind}, n bigint, words binary")
+    return written(rows.groupBy("doc_id").agg(F.min(F.struct("n", "words")).alias("r")).select("doc_id", "r.n", "r.words"), "word-rows")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> dict:
+    """The model: sorted word hashes, their weights, thresholds, cut.
+
+    ``labels`` has doc_id, toxic and quality; labels without an id or a toxic flag, and those of no row, are not used. Labels of
+    one id count as toxic, and as of low quality, if one of them is. A null text has no words. Without labelled rows nothing is toxic.
+    """
+    labelled = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_l")).agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
+    order = F.xxhash64(F.lit(23), F.col("_l"))
+    picked = bounded_sample(labelled, sample, order, labelled.count()).withColumns({"order": order, "held": F.pmod(F.xxhash64(F.lit(29), F.col("_l")), F.lit(4)) == 0}).collect()
+    truth = {r["_l"]: (r["order"], int(r["toxic"] > 0) * (1 + int(r["quality"] == 0))) for r in picked if not r["held"]}
+    none = {"words": np.zeros(0, K.U64), "w": np.zeros(0), "t": np.full(GRADES - 1, 50.0), "cut": 0.5}
+    if not truth:
+        return none
+    table = word_rows(docs, list(truth), id_col, text_col)
+    # the rows of smallest hash, as many as have ``sample_words`` words in all
+    sizes = sorted((truth[r["doc_id"]][0], r["doc_id"], r["n"]) for r in table.select("doc_id", "n").collect())
+    fitted = [x for x, total in zip(sizes, np.cumsum([n for _, _, n in sizes]).tolist(), strict=True) if total <= sample_words]
+    if not fitted:
+        return none
+    got = table.withColumn("order", F.xxhash64(F.lit(23), F.col("doc_id"))).filter(F.col("order") <= F.lit(fitted[-1][0])).select("order", "doc_id", "words").toArrow()
+    at, ids = np.argsort(got.column("order").to_numpy(), kind="stable").tolist(), got.column("doc_id").to_pylist()
+    words = [np.frombuffer(got.column("words")[i].as_buffer(), K.U64) for i in at]
+    y = np.array([truth[ids[i]][1] for i in at], np.int64)
+    fitted = [ids[i] for i in at]
     flat = np.concatenate(words)
-    row = np.repeat(np.arange(len(y)), [len(x) for x in words])
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in words])
+    del got, words
     weight = copy_weights(minima_keys(row, flat, len(y)))
     uniq, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    used = uniq[(count >= min(MIN_DOCS, max(2, len(y) // 50))) & (association(inverse, row, len(uniq), y > 0, weight) >= LEAST_G)]
-    place = np.minimum(np.searchsorted(used, flat), max(len(used) - 1, 0))
-    hit = used[place] == flat if len(used) else np.zeros(len(flat), bool)
-    w, t = fit_ordinal(row[hit], place[hit], y, len(used), weight)
-    model = {"words": used, "w": w, "t": t}
+    use = count >= min(MIN_DOCS, max(2, len(y) // 50))
+    place = np.where(use, np.cumsum(use) - 1, -1).astype(np.int32)[inverse]
+    del flat, inverse
+    row, col, used = row[place >= 0], place[place >= 0], uniq[use]
+    w, t = fit_ordinal(row, col, y, len(used), weight, penalty=penalties(row, col, y, len(used), weight))
+    model = {"words": used[w != 0], "w": w[w != 0], "t": t}
     return model | {"cut": best_cut(*calibration(docs, labelled, model, fitted, id_col, text_col))}
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (the id by default) with expected_severity, p_toxic, grade (most likely), toxic and kept.
 
-    A null or empty text has no features and the base rate's score. Rows stay as they are.
+    A null or empty text has no features and the base rate's score. A text is toxic where p_toxic is above the cut; one that
+    ties with it stays. Texts are scored whole, however long. Rows stay as they are: repeated rows and rows with a null id are scored like
+    others, an empty table gives no rows. Columns of the input named like an output column are left out of ``carry``.
     """
     made = ["expected_severity", "p_toxic", "grade", "toxic", "kept"]
     carry = [c for c in (carry or [id_col]) if c not in made]
@@ -232,5 +263,5 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Trains on the labelled rows and scores every row."""
+    """Trains on the labelled rows and scores every row; ``train`` and ``score_toxicity`` say what nulls, ties, repeated rows and clashing names give."""
     return score_toxicity(docs, train(docs, labels, id_col, text_col), id_col, text_col, carry)

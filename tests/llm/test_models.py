@@ -1,6 +1,7 @@
 """Segmentations, quality rules and toxicity against brute force and held-out rows."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -121,6 +122,7 @@ def test_statistics_equal_brute_force():
     texts += [None, "", "\n\n", "tail\n", "a b c d e " * 3000]
     got = quality.text_stats(pa.array(texts))
     assert got[:, :5].tolist() == [stats_brute(t) for t in texts]
+    assert got[:, 5].tolist() == [len([x for x in (t or "").split("\n") if x.strip(" \t\x0b\x0c\r\n")]) for t in texts]
 
 
 def test_forest_isolates_outliers():
@@ -133,6 +135,91 @@ def test_forest_isolates_outliers():
     assert np.isfinite(quality.forest_scores(quality.grow_forest(same), same)).all()
 
 
+def harmonic_brute(n):
+    return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+
+def score_brute(forest, x):
+    """The score of one row, by a walk down each tree."""
+    total = 0.0
+    for node in forest["roots"].tolist():
+        while forest["feature"][node] >= 0:
+            node = int(forest["left"][node]) + int(x[forest["feature"][node]] >= forest["cut"][node])
+        total += float(forest["depth"][node])
+    return 2 ** (-total / len(forest["roots"]) / float(forest["scale"]))
+
+
+def depth_brute(forest, node, rows, d, limit):
+    """Checks each node of a tree: leaves hold the depth and the expected rest for their rows, cuts lie within the rows' range."""
+    f = int(forest["feature"][node])
+    if f < 0:
+        assert d == limit or len(rows) < 2 or (rows.max(0) == rows.min(0)).all()
+        assert abs(float(forest["depth"][node]) - d - harmonic_brute(len(rows))) < 1e-9
+        return
+    c, left = float(forest["cut"][node]), int(forest["left"][node])
+    assert rows[:, f].min() <= c <= rows[:, f].max()
+    depth_brute(forest, left, rows[rows[:, f] < c], d + 1, limit)
+    depth_brute(forest, left + 1, rows[rows[:, f] >= c], d + 1, limit)
+
+
+def test_path_lengths_equal_brute_force():
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(64, 5)), 1)
+    forest = quality.grow_forest(x, trees=7, sample=64, chance=quality.CHANCE)
+    for root in forest["roots"].tolist():
+        depth_brute(forest, root, x, 0, 6)
+    fresh = rng.normal(size=(200, 5)) * 2
+    assert np.allclose(quality.forest_scores(forest, fresh), [score_brute(forest, r) for r in fresh])
+    assert set(forest["feature"].tolist()) == {-1, 0, 1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_threshold_is_the_best_of_all(seed):
+    rng = np.random.default_rng(seed)
+    good, bad = rng.integers(0, 900, 80), rng.integers(500, 1500, 15)
+    count = lambda x: np.bincount(x, minlength=quality.STEPS + 1)
+    got = quality.best_step(count(good), count(bad))
+    gain = lambda k: (bad >= k).mean() - quality.GOOD_COST * (good >= k).mean()
+    assert gain(got) >= max(map(gain, range(quality.STEPS + 2))) - 1e-9
+    alone = quality.best_step(count(good), count(bad[:0]), keep_good=0.9)
+    assert (good >= alone).mean() <= 0.1 < (good >= alone - 1).mean()
+    assert quality.best_step(count(good[:0]), count(bad)) > quality.STEPS
+
+
+def test_quality_query_equals_brute_force(spark, tmp_path, monkeypatch):
+    rnd, texts = random.Random(6), []
+    for i in range(500):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(5, 160))]
+        if i % 10 == 0:
+            w = [x + rnd.choice(["###", "$$$", " | "]) for x in w]
+        if i % 17 == 0:
+            w += ["\n" + " ".join(w[:6])] * 2
+        texts.append(" ".join(w))
+    texts += [None, "", texts[20], texts[20], " \n ", "one two three four five " * 4000]
+    ids = [*range(500), None, 501, 502, 502, 503, 504]
+    spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts, strict=True)], "doc_id bigint, text string, score string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i % 10 > 0)) for i in range(0, 400)] + [(401, 0), (401, 1), (None, 1), (9999, 0), (402, None)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    grown, grow = [], quality.grow_forest
+    monkeypatch.setattr(quality, "grow_forest", lambda *a, **k: grown.append(grow(*a, **k)) or grown[-1])
+    rows = queries.op6_quality_rules(spark, str(tmp_path)).collect()
+    by_text, base = {}, {}
+    for i, t in zip(ids, texts, strict=True):
+        s = [*stats_brute(t), len([x for x in (t or "").split("\n") if x.strip(" \t\x0b\x0c\r\n")])]
+        fails = s[0] < 10 or 100 * s[4] > 20 * s[0]
+        by_text.setdefault(i, []).append((s, fails, None if fails else score_brute(grown[0], quality.features(np.array([s]))[0])))
+    step = lambda x: math.floor(x * quality.STEPS)
+    good = [step(v[2]) for i, q in labels[:400] for v in by_text[i] if q and not v[1]]
+    bad = [step(v[2]) for i, q in labels[:400] for v in by_text[i] if not q and not v[1]]
+    gains = {k: np.mean([b >= k for b in bad]) - quality.GOOD_COST * np.mean([g >= k for g in good]) for k in range(quality.STEPS + 2)}
+    best = [k for k, g in gains.items() if g >= max(gains.values()) - 1e-12]
+    limit = best[len(best) // 2]
+    want = sorted((repr(i), *s[:5], fails, not fails and step(x) < limit) for i, v in by_text.items() for s, fails, x in v)
+    got = sorted((repr(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in rows)
+    assert got == want
+    assert sum(not r["kept"] and not r["base_failed"] for r in rows) >= 35
+
+
 def test_quality_rows(spark):
     rnd = random.Random(1)
     texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(30, 200))) for _ in range(400)]
@@ -195,6 +282,73 @@ def test_ordinal_thresholds_ascend_and_share_weights():
     assert np.abs(w - [2.0, -1.5, 0.0, 1.0]).max() < 0.3 and np.abs(t - [0.5, 2.0]).max() < 0.3
 
 
+def loss_brute(x, y, weight, w, t, penalty, l2):
+    """Weighted mean negative log likelihood by the cumulative links, row by row, and the penalties."""
+    edge, total = [-math.inf, *t, math.inf], 0.0
+    above = lambda z: 1 / (1 + math.exp(-z)) if z < 700 else 1.0
+    for r, g, c in zip(x, y, weight, strict=True):
+        z = sum(a * b for a, b in zip(r, w, strict=True))
+        p = [1.0 if e == -math.inf else 0.0 if e == math.inf else above(z - e) for e in edge]
+        total -= c * math.log(p[g] - p[g + 1])
+    return total / sum(weight) + sum(q * abs(a) for q, a in zip(penalty, w, strict=True)) + l2 / 2 * sum(a * a for a in w)
+
+
+def test_fit_is_the_least_of_the_penalised_likelihood():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2, (300, 5))
+    y = np.digitize(x @ np.array([2.5, -2.0, 0.0, 0.0, 1.0]) + rng.logistic(size=300), [0.5, 2.0])
+    weight, penalty = rng.uniform(0.2, 1.0, 300), np.array([0.01, 0.01, 0.08, 0.08, 0.01])
+    row, col = np.nonzero(x)
+    w, t = toxicity.fit_ordinal(row, col, y, 5, weight, penalty=penalty, l2=1e-3, steps=800)
+    best = loss_brute(x, y, weight, w, t, penalty, 1e-3)
+    assert w[0] > 0 > w[1] and w[2] == 0  # words of both signs, and those that chance explains at zero
+    for i in range(5):
+        for d in (-0.03, 0.03):
+            near = w.copy()
+            near[i] += d
+            assert loss_brute(x, y, weight, near, t, penalty, 1e-3) > best - 2e-5
+    for d in ([0.03, 0], [-0.03, 0], [0, 0.03], [0, -0.03]):
+        assert loss_brute(x, y, weight, w, t + np.array(d), penalty, 1e-3) > best - 2e-5
+
+
+def test_scores_equal_brute_force(spark):
+    texts = ["Vile, vile rotten", "kind words", None, "", "kind vile", "x " * 60_000 + "vile"]
+    words = toxicity.word_sets(pa.array(["kind vile rotten"]))[1]
+    weight = {h: w for h, w in zip(toxicity.word_sets(pa.array(["kind"]))[1].tolist() + toxicity.word_sets(pa.array(["vile"]))[1].tolist() + toxicity.word_sets(pa.array(["rotten"]))[1].tolist(), [-1.5, 2.0, 0.5], strict=True)}
+    model = {"words": words, "w": np.array([weight[h] for h in words.tolist()]), "t": np.array([0.5, 2.25]), "cut": 0.6}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(4, "kind vile")], "doc_id int, text string")
+    rows = toxicity.score_toxicity(df, model).collect()
+    assert len(rows) == 7
+    link = lambda z: 1 / (1 + math.exp(-z))
+    sums = [2.5, -1.5, 0.0, 0.0, 0.5, 2.0]
+    for r in rows:
+        a, b = link(sums[r["doc_id"]] - 0.5), link(sums[r["doc_id"]] - 2.25)
+        assert abs(r["expected_severity"] - ((a - b) + 2 * b)) < 1e-12 and abs(r["p_toxic"] - a) < 1e-12
+        assert r["grade"] == max(range(3), key=lambda g: [1 - a, a - b, b][g]) and r["toxic"] == (a > 0.6) != r["kept"]
+
+
+def test_the_sample_is_bounded_in_rows_and_words(spark, monkeypatch):
+    rows = [(i % 2, f"a b c{i}") for i in range(3001)] + [(2, " ".join(f"w{i}" for i in range(5000)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1), (2, 1, 1)], "doc_id bigint, quality int, toxic int")
+    one = toxicity.word_rows(df, [0, 1, 2], "doc_id", "text", wide=1000).collect()
+    assert sorted(r["doc_id"] for r in one) == [0, 1] and all(r["n"] == 3 for r in one)
+    seen, plain = [], toxicity.minima_keys
+    monkeypatch.setattr(toxicity, "minima_keys", lambda row, h, n, **k: seen.append((n, len(h))) or plain(row, h, n, **k))
+    many = spark.createDataFrame([(i, f"a b c{i}") for i in range(200)], "doc_id bigint, text string")
+    lots = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    toxicity.train(many, lots, sample_words=31)
+    assert seen[0] == (10, 30)
+    seen.clear()
+    toxicity.train(df, labels, sample=2)
+    assert all(n <= 2 for n, _ in seen)
+
+
+def test_ties_at_the_cut_stay(spark):
+    model = {"words": np.zeros(0, np.uint64), "w": np.zeros(0), "t": np.array([0.0, 1.0]), "cut": 0.5}
+    assert toxicity.score_toxicity(spark.createDataFrame([(1, "a")], "doc_id int, text string"), model).first()["kept"]
+
+
 def test_toxicity_edge_tables(spark):
     df = spark.createDataFrame([(1, None, "c"), (None, "", "c"), (1, "x " * 40_000, "c")], "doc_id bigint, text string, kept string")
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id bigint, quality int, toxic int")
