@@ -47,6 +47,12 @@ def removed(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a path of the shared folder is there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def open_fs(uri: str):
     """(file system, path) for a shared path, on the driver or in a task."""
     from pyarrow import fs
@@ -76,7 +82,7 @@ def streamed(uri: str) -> Iterator:
     """An output stream to a file whose name no other attempt uses; what is written is not kept in memory."""
     system, path = open_fs(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         yield out
 
 

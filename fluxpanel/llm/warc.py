@@ -1,7 +1,7 @@
 """WARC archives with a two-level capture index.
 
 Records are gzip members of ``.warc.gz`` files. The index has one entry a record: its key (host labels reversed, then the
-path), page id, file, offset and length. Entries are range-sorted by key; a task writes one index file: blocks of
+path), page id, file, offset, length and date. Entries are range-sorted by key; a task writes one index file: blocks of
 ``ENTRIES`` entries, each compressed by itself, and the sparse directory of the blocks' first keys at the file's end. The
 driver holds the first key of each index file only. A lookup searches those by bisection, then a file's directory, then
 one block, and reads the record by a range read of the archive.
@@ -17,6 +17,7 @@ import re
 import struct
 import uuid
 import zlib
+from contextlib import ExitStack
 
 import pyarrow as pa
 import zstandard
@@ -24,15 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import get, new_path, open_fs, put, written
+from .shared import get, new_path, open_fs, put, streamed, written
 
 ENTRIES = 1500
 FILE_BYTES = 48 << 20
-READ_BYTES = 8 << 20
+#: Bytes of an archive that are read at once, and that a task reads in all where there are more of them than tasks.
+READ_BYTES, TASK_BYTES = 2 << 20, 128 << 20
 LEAST_REVISIT = 100
 NO_ID = -(1 << 63)
 MAGIC = b"FPCX1\n"
+#: Date of records whose rows have none.
 DATE = "2020-01-01T00:00:00Z"
+ENTRY = "key string, id bigint, file string, offset bigint, length bigint, date string"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URL = re.compile(r"(?s)^(.*?)://([^/?#]*)([^#]*)")
 
@@ -84,46 +88,55 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, payload
 
 
-def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes a record for each row; index entries key, id, file, offset, length.
+def entry_batch(rows: list) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "id", "file", "offset", "length", "date"])
+
+
+def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date_col: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes a record for each row; index entries key, id, file, offset, length, date.
 
     Of rows with equal payloads of LEAST_REVISIT bytes or more, those with the smallest id are responses and the others
     revisit it; a group without ids has responses only. A null payload is empty, a null URL leaves its header out. Ids are
-    whole numbers. Rows stay apart, repeated ones too.
+    whole numbers. ``date_col`` is a timestamp (UTC); a null one, or none, gives DATE. Rows stay apart, repeated ones too. A payload of any length is
+    one record. Other columns are not read, whatever their names. An empty table gives no entries.
     """
     top = new_path(pages.sparkSession, "warc")
     body = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
-    rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{url_col}`").alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
+    date = F.date_format(F.col(f"`{date_col}`"), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col else F.lit(None).cast("string")
+    rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{url_col}`").alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"), F.coalesce(date, F.lit(DATE)).alias("date"))
     sized = rows.filter(F.octet_length("body") >= LEAST_REVISIT)
     groups = written(sized.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").select("d", "first"), "payloads")
-    rows = rows.join(groups, F.col("digest") == F.col("d"), "left").select("id", "url", "body", "digest", F.when(F.coalesce(F.col("id") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("refers"))
+    rows = rows.join(groups, F.col("digest") == F.col("d"), "left").select("id", "url", "body", "digest", "date", F.when(F.coalesce(F.col("id") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("refers"))
 
     def write(batches):
-        part, attempt, k, held, size = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, [], 0
+        part, attempt, k, size, name, out, open_file = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, 0, "", None, ExitStack()
         entries: list[tuple] = []
 
-        def flush():
-            nonlocal k, held, size, entries
-            name = f"{top}/part-{part:06d}-{k:05d}-{attempt}.warc.gz"
-            put(name, b"".join(held))
-            cols = list(zip(*entries, strict=True))
-            out = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array([name] * len(entries), pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["key", "id", "file", "offset", "length"])
-            k, held, size, entries = k + 1, [], 0, []
-            return out
-
-        for b in batches:
-            bodies = b.column("body").cast(pa.large_string()).cast(pa.large_binary())
-            for i, url, digest, refers, body in zip(b.column("id").to_pylist(), b.column("url").to_pylist(), b.column("digest").to_pylist(), b.column("refers").to_pylist(), bodies, strict=True):
-                raw = record(i, url, body.as_py(), digest, refers, refers is not None)
-                entries.append((url_key(url), i, size, len(raw)))
-                held.append(raw)
-                size += len(raw)
-                if size >= file_bytes:
-                    yield flush()
-        if held:
-            yield flush()
-
-    return written(rows.mapInArrow(write, "key string, id bigint, file string, offset bigint, length bigint"), "captures")
+        def finished():
+            nonlocal k, size, out, entries
+            open_file.close()
+            done, k, size, out, entries = entry_batch(entries), k + 1, 0, None, []
+            return done
+
+        with open_file:
+            for b in batches:
+                bodies = b.column("body").cast(pa.large_string()).cast(pa.large_binary())
+                for i, url, digest, refers, date, body in zip(*[b.column(c).to_pylist() for c in ("id", "url", "digest", "refers", "date")], bodies, strict=True):
+                    if out is None:
+                        name = f"{top}/part-{part:06d}-{k:05d}-{attempt}.warc.gz"
+                        out = open_file.enter_context(streamed(name))
+                    raw = record(i, url, body.as_py(), digest, refers, refers is not None, date)
+                    out.write(raw)
+                    entries.append((url_key(url), i, name, size, len(raw), date))
+                    size += len(raw)
+                    if size >= file_bytes:
+                        yield finished()
+            if out is not None:
+                yield finished()
+
+    return written(rows.mapInArrow(write, ENTRY), "captures")
 
 
 def write_index(entries: DataFrame, block: int = ENTRIES) -> list[tuple[str, int, str]]:
@@ -143,7 +156,7 @@ def write_index(entries: DataFrame, block: int = ENTRIES) -> list[tuple[str, int
             rows = rows[n:]
 
         for b in batches:
-            rows += [list(r) for r in zip(*[b.column(c).to_pylist() for c in ("key", "id", "file", "offset", "length")], strict=True)]
+            rows += [list(r) for r in zip(*[b.column(c).to_pylist() for c in ("key", "id", "file", "offset", "length", "date")], strict=True)]
             while len(rows) >= block:
                 flush(block)
         if rows:
@@ -193,9 +206,9 @@ class IndexFile:
 
 
 def lookup(index: list[tuple[str, int, str]], wanted: DataFrame) -> DataFrame:
-    """Captures of keys: rows of ``wanted`` have key and id (null: all captures of the key). Gives key, id, file, offset, length.
+    """Captures of keys: rows of ``wanted`` have key and id (null: all captures of the key). Gives key, id, file, offset, length, date.
 
-    Each pair is searched for once, however often it is asked for.
+    Each pair is searched for once, however often it is asked for. A task searches one index file, or a few.
     """
     spark = wanted.sparkSession
     top = spark.sparkContext.broadcast(index)
@@ -221,18 +234,21 @@ def lookup(index: list[tuple[str, int, str]], wanted: DataFrame) -> DataFrame:
                 if k != now:
                     now, opened = k, IndexFile(top.value[k][2])
                 out += opened.find((key, low), (key, high))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array([None if i == NO_ID else i for i in cols[1]], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["key", "id", "file", "offset", "length"])
+            yield entry_batch([(key, None if i == NO_ID else i, *rest) for key, i, *rest in out])
 
     asked = wanted.select("key", F.coalesce("id", F.lit(NO_ID)).alias("low"), F.coalesce("id", F.lit(2**63 - 1)).alias("high")).distinct()
     found = asked.mapInArrow(files_of, "file_no int, key string, low bigint, high bigint")
     # index files are cut by range, so each has its share of the entries
-    found = found.repartition("file_no").sortWithinPartitions("file_no", "key", "low")
-    return found.mapInArrow(search, "key string, id bigint, file string, offset bigint, length bigint")
+    found = found.repartition(max(1, len(index)), "file_no").sortWithinPartitions("file_no", "key", "low")
+    return found.mapInArrow(search, ENTRY)
 
 
-def read_records(entries: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of the records at the entries, by range reads; entries next to one another share a read."""
+def read_records(entries: DataFrame, tasks: int | None = None) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of the records at the entries, by range reads; entries next to one another share a read.
+
+    An entry stands for far more bytes than it has, so the number of ``tasks`` is given (the session's shuffle partitions by default).
+    """
+    tasks = tasks or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def read(batches):
         for b in batches:
@@ -254,7 +270,7 @@ def read_records(entries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     near = entries.select("file", "offset", "length").withColumn("part", F.expr(f"offset div {READ_BYTES}"))
-    near = near.repartition("file", "part").sortWithinPartitions("file", "offset")
+    near = near.repartition(tasks, "file", "part").sortWithinPartitions("file", "offset")
     return near.mapInArrow(read, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
@@ -269,6 +285,12 @@ def keys_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") ->
 
 
 def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Archives all rows and reads every capture back through the index."""
-    index = write_index(write_archive(pages, id_col, url_col, payload_col))
-    return read_records(lookup(index, keys_of(pages, id_col, url_col)))
+    """Archives all rows and reads every capture back through the index: a row for each row, repeated ones too.
+
+    Nulls, equal payloads, very long ones, ties and columns of other names are as ``write_archive`` has them; of equal payloads with one
+    smallest id all rows of that id are responses. An empty table gives no rows.
+    """
+    captures = write_archive(pages, id_col, url_col, payload_col)
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    return read_records(lookup(write_index(captures), keys_of(pages, id_col, url_col)), tasks)
