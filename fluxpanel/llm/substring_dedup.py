@@ -4,7 +4,8 @@ COVER is a perfect difference set modulo PERIOD: for any two places i, j some sh
 cover. So two equal windows of ``window`` words share an anchor of ``window - PERIOD + 1`` words that starts at a cover place
 in both, and only 4 of 13 places need an anchor.
 
-1. Texts are stored in chunks in the shared folder. Each chunk sends its distinct anchors, by hash, to buckets; a bucket
+1. Texts are stored in chunks in the shared folder. A table has the chunks of the tasks that finished, so that whatever runs
+   again later finds the same ones. Each chunk sends its distinct anchors, by hash, to buckets; a bucket
    sends back those that other chunks have too.
 2. Each chunk extends its repeated anchors to the windows around them and keeps the earliest of each window it holds. It
    sends one row of numbers for each distinct window to buckets; a bucket finds the earliest chunk and sends back which
@@ -12,8 +13,8 @@ in both, and only 4 of 13 places need an anchor.
 3. Each chunk removes the words of the windows it lost, to itself or to others.
 
 A passage in very many texts costs each chunk one entry, so no bucket gets more than chunks of a key. Nothing is paired.
-Anchors have 64-bit hashes (a clash costs some work, never a result), windows 96-bit ones. Chunks have fixed names by
-task and place, so a task that runs again writes the same files.
+Anchors have 64-bit hashes (a clash costs some work, never a result), windows 96-bit ones. Rows between chunks and buckets are
+far smaller than the work they stand for, so the numbers of tasks are given and not left to the rows' size.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import get, new_path, put
+from .shared import get, new_path, put, written
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
 CHUNK_BYTES = 6 << 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
+#: Chunks for a task where there are more of them than tasks.
+TASK_CHUNKS = 16
 LAST = np.iinfo(np.int64).max
 ROW = "bucket int, chunk string, base int, data binary"
 
@@ -129,9 +132,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     """Columns ``carry`` (the id by default) with n_words, n_removed, kept_sha256 and, on request, kept_text.
 
     A word goes if a run of ``window`` words over it also starts earlier: in a text of a smaller id, or earlier in the same
-    text. Rows that share an id are ordered by the place they are read from; null ids come last. A null text has no
+    text. Rows that share an id, repeated rows too, are ordered by the place they are read from; null ids come last. A null text has no
     words (n_words 0, the digest of nothing). kept_text is the text without the words removed and the white space
-    after them, unchanged (null too) where nothing is removed. Ids are whole numbers. An empty table gives no rows.
+    after them, unchanged (null too) where nothing is removed. Ids are whole numbers. A text of any length is worked on whole, in one
+    chunk of its own. Columns of the input named like an output column are left out of ``carry``. An empty table gives no rows.
     """
     if window < PERIOD + 1:
         raise ValueError(f"windows need more than {PERIOD} words")
@@ -140,25 +144,20 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     carry = [c for c in (carry or [id_col]) if c not in made]
     kinds = dict(docs.dtypes)
     top = new_path(spark, "passages")
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # sets the number of buckets only
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(20, max(8, (max(size, 1) // BUCKET_BYTES).bit_length(), (8 * partitions).bit_length()))  # several buckets a task, so that tasks are even
-    shift = 64 - bits
     names = [f"c{i}" for i in range(len(carry))]
     narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
 
-    def first_pass(batches):
-        part, k, held, held_bytes = TaskContext.get().partitionId(), 0, [], 0
+    def stored(batches):
+        part, attempt, k, held, held_bytes = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, [], 0
 
         def flush():
             nonlocal k, held, held_bytes
-            table = pa.Table.from_batches(held)
-            chunk = f"{part:06d}-{k:06d}"
+            chunk = f"{part:06d}-{k:06d}-{attempt}"
+            _save(f"{top}/{chunk}.texts", pa.Table.from_batches(held))
+            row = pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([held_bytes], pa.int64())], ["chunk", "bytes"])
             k, held, held_bytes = k + 1, [], 0
-            _save(f"{top}/{chunk}.texts", table)
-            h, woff = _words(table.column("text"))
-            keys = np.unique(anchors(h, woff, window)[1])
-            return _batch([_row(_home(chunk, bits), chunk, -1, b""), *[_row(b, chunk, 0, keys[i:j].tobytes()) for b, i, j in _send(keys, shift)]])
+            return row
 
         for b in batches:
             at = 0
@@ -174,6 +173,19 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         if held:
             yield flush()
 
+    chunks = written(narrow.mapInArrow(stored, "chunk string, bytes bigint"), "chunks")
+    count, size = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(count, max(partitions, count // TASK_CHUNKS)))
+    bits = min(30, max(8, (size // BUCKET_BYTES).bit_length(), (8 * partitions).bit_length()))  # several buckets a task, so that tasks are even
+    shift = 64 - bits
+
+    def first_pass(batches):
+        for b in batches:
+            for chunk in b.column("chunk").to_pylist():
+                h, woff = _words(_load(f"{top}/{chunk}.texts").column("text"))
+                keys = np.unique(anchors(h, woff, window)[1])
+                yield _batch([_row(_home(chunk, bits), chunk, -1, b""), *[_row(b, chunk, 0, keys[i:j].tobytes()) for b, i, j in _send(keys, shift)]])
+
     def repeated_anchors(batches):
         for _, rows in _groups(batches, "bucket"):
             out = [r for r in rows if r[2] < 0]
@@ -269,10 +281,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
             yield from pa.Table.from_arrays(out, fields).to_batches(max_chunksize=2000)
 
     def by(df: DataFrame, key: str) -> DataFrame:
-        return df.repartition(key).sortWithinPartitions(key)
+        return df.repartition(tasks if key == "chunk" else partitions, key).sortWithinPartitions(key)
 
-    one = by(narrow.mapInArrow(first_pass, ROW), "bucket").mapInArrow(repeated_anchors, ROW)
+    one = by(chunks.select("chunk").repartition(tasks).mapInArrow(first_pass, ROW), "bucket").mapInArrow(repeated_anchors, ROW)
     two = by(by(one, "chunk").mapInArrow(second_pass, ROW), "bucket").mapInArrow(later_windows, ROW)
     schema = ", ".join([*[f"{n} {kinds[c]}" for n, c in zip(names, carry, strict=True)], "n_words bigint, n_removed bigint, kept_sha256 string", *["kept_text string"] * with_text])
     return by(two, "chunk").mapInArrow(third_pass, schema).toDF(*carry, *made)
-
