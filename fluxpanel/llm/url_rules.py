@@ -68,7 +68,8 @@ def pattern_table(spark: SparkSession, patterns=PATTERNS) -> DataFrame:
     bad = patterns.filter(~F.coalesce(good, F.lit(False))).head(1)
     if bad:
         raise ValueError(f"pattern without literal tokens: {bad[0]['pattern']}")
-    return patterns.select("pattern", "tokens")
+    # written, so that its size is known where a join is chosen
+    return written(patterns.select("pattern", "tokens"), "url-patterns")
 
 
 def with_host_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
