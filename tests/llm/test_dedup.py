@@ -5,8 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from fluxpanel.llm.exact_dedup import exact_dedup
+from fluxpanel.llm.exact_dedup import exact_dedup, judged, tested
 from fluxpanel.llm.minhash import by_cheaper_groups, near_dedup
 from fluxpanel.llm.substring_dedup import substring_dedup
 
@@ -36,11 +37,29 @@ def test_exact_groups(spark):
 @pytest.mark.parametrize("bits", [1 << 15, 64])
 def test_exact_saturated_filter_and_hot_group(spark, bits):
     texts = ["hot"] * 300 + [f"text {i // 2}" for i in range(300)]
-    rows = exact_dedup(frame(spark, texts), max_bits=bits).collect()
+    table = spark.createDataFrame([(i, i, t, i) for i, t in enumerate(texts)], "c0 bigint, id bigint, digest string, row bigint")
+    rows = judged(table, bits, 2).collect()
     assert len(rows) == 600 and sum(r["kept"] for r in rows) == 151
     assert {r["group_size"] for r in rows if r["keep_id"] == 0} == {300}
 
 
+def test_exact_ranges_of_digests(spark):
+    texts = ["hot"] * 300 + [f"text {i // 2}" for i in range(300)]
+    rows = exact_dedup(frame(spark, texts), max_bits=1 << 13).collect()  # four ranges, a filter each
+    assert len(rows) == 600 and sum(r["kept"] for r in rows) == 151
+    assert {r["group_size"] for r in rows if r["keep_id"] == 0} == {300}
+    assert exact_dedup(frame(spark, ["a", "a", None]), max_bits=1 << 13).count() == 3  # with ranges that have no rows
+
+
+def test_unique_rows_pass_straight_through(spark):
+    n, ranges = 8000, 8
+    table = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    part = table.filter(F.pmod(F.xxhash64(F.lit(-1), "digest"), F.lit(ranges)) == 0)
+    assert n / ranges * 0.8 < part.count() < n / ranges * 1.2
+    assert tested(part, 1 << 14, 2).filter("maybe").count() <= 0.03 * n / ranges  # 16 bits a row of the range
+    assert tested(table, 1 << 10, 2).filter("maybe").count() > 0.9 * n  # one small filter for all would let none pass
+
+
 def test_exact_repeated_rows_null_ids_and_empty_table(spark):
     df = frame(spark, ["a", "a", "a", "b"], [5, 5, None, None])
     rows = exact_dedup(df, carry=["doc_id", "lang"]).collect()
