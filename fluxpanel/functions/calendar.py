@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from calendar import month_name
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INITIALS = "JFMAMJJASOND"
-
 
 def season_months(abbr: str) -> list[int]:
-    """Months of a season given by the initials of two or more months in a row, e.g. DJF -> [12, 1, 2]."""
-    at = (INITIALS * 2).find(abbr)
-    if len(abbr) < 2 or at < 0:
-        raise KeyError(f"not a season of two or more months in a row: {abbr}")
-    return [(at + i) % 12 + 1 for i in range(len(abbr))]
+    """Months of a season given by the initials of two to twelve months in a row, e.g. DJF -> [12, 1, 2]; the first such run of the year."""
+    if 2 <= len(abbr) <= 12:
+        for first in range(1, 13):
+            run = [m if m <= 12 else m - 12 for m in range(first, first + len(abbr))]
+            if all(month_name[m].startswith(c) for m, c in zip(run, abbr, strict=True)):
+                return run
+    raise KeyError(f"not a season of two or more months in a row: {abbr}")
 
 
 def in_season(day: Column, abbr: str) -> Column:

@@ -3,14 +3,15 @@
 1. One pass makes each text's set size, a digest of its set and ``BANDS`` band keys of ``ROWS`` minima each. Texts of one
    set count as one from here on.
 2. Texts that share a band key are candidates. Each is tied to the smallest text under its key only, so the ties grow
-   with the rows, not with their pairs. Sets of candidates alone are made in a second pass (a bitmap of at most
-   2**27 bits picks them; a false positive costs a row).
+   with the rows, not with their pairs. Sets of candidates alone are made in a second pass: a bitmap of 32 bits a candidate,
+   MAX_BITS at most, picks them; a false positive costs a set that is written and not used, never a result.
 3. Ties are verified on full sets; large groups are dealt to several tasks, each with the pivot's set. Verified ties
    give components.
 4. Where a group of candidates is in several components, a link between two texts that are not the pivot may be
-   missing. A group is a cluster of candidates or, where that takes fewer comparisons, the texts tied to one pivot. Its texts are dealt into blocks (large components into blocks of their own), every pair of blocks that
-   could join two components is compared on full sets in one task, and that task emits a spanning forest of the links
-   it found, not all of them. Components over all links are the result.
+   missing. A group is a cluster of candidates or, where that takes fewer comparisons, the texts tied to one pivot. Its
+   texts are dealt into blocks (large components into blocks of their own), every pair of blocks that could join two
+   components is compared on full sets, and each pair emits a spanning forest of the links it found, not all of them.
+   Components over all links are the result.
 
 Only pairs that share no band key by chance are missed: (1 - s**ROWS)**BANDS, 2e-8 at similarity 0.85 and 3e-6 at 0.8.
 """
@@ -27,8 +28,9 @@ from .components import components
 from .shared import broadcast_value, written
 
 ROWS, BANDS = 4, 24
-BLOCK = 768
-MAX_BITS = 1 << 27
+#: Texts of a block: a task gets one pair of blocks or several.
+BLOCK = 256
+MAX_BITS = 1 << 30
 COLUMNS = 4096
 
 
@@ -88,8 +90,8 @@ def _scan(size: int):
 
 
 def _bitmap(ids: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """(bits, bytes) with the hashed places of the ids set; at most MAX_BITS / 8 bytes come to the driver."""
-    bits = min(MAX_BITS, max(1 << 15, 1 << (16 * max(n, 1) - 1).bit_length()))
+    """(bits, bytes) with the hashed places of n ids set; at most MAX_BITS / 8 bytes come to the driver."""
+    bits = min(MAX_BITS, max(1 << 15, 1 << (32 * max(n, 1) - 1).bit_length()))
     rows = ids.select(F.xxhash64("id").bitwiseAND(F.lit(bits - 1)).alias("p")).groupBy(F.shiftright("p", 15).alias("s")).agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("b"))
     out = np.zeros(bits // 8, np.uint8)
     for r in rows.toLocalIterator():
@@ -227,7 +229,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are linked when 100 * |A and B| >= percent * |A or B| for their sets of ``size``-word shingles, A-Z lower-cased.
     A text of fewer words has its whole sequence as its one shingle; a null, empty or blank text has none and is linked
     with nothing. Ids should be unique; where rows share one, each row is judged by its own text, but an id that stands for several
-    texts joins their components. A row with a null id has a null component and is kept. An empty table gives no rows.
+    texts joins their components. Of a component, the row (or rows) of the smallest id is kept; equal texts are one component. A row with a null id has a null
+    component and is kept. Texts are read whole, however long. Columns other than the two named are not read, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -241,9 +244,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = reps.select("id", F.explode("bands").alias("key"))
     pivots = written(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select(F.col("key").alias("k"), "pivot"), "pivots")
     ties = written(keys.join(pivots, F.col("key") == F.col("k")).filter("id <> pivot").select("id", "pivot").distinct(), "ties")
-    inside = ties.select("id").unionByName(ties.select(F.col("pivot").alias("id"))).distinct()
-    total = table.count()
-    bits, bitmap = _bitmap(inside, total)
+    inside = written(ties.select("id").unionByName(ties.select(F.col("pivot").alias("id"))).distinct(), "inside")
+    bits, bitmap = _bitmap(inside, inside.count())
     chosen = broadcast_value(spark, bitmap)
 
     def sets_of(batches):
@@ -286,7 +288,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     rows = rows.filter(F.col("own").isNull() | (F.col("other") < F.col("pools") + F.col("at")) | (F.col("other") >= F.col("pools") + F.col("at") + F.col("own")))
     units = rows.select("id", "component", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
-    units = units.join(sets, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    # the pairs of blocks of a cluster are dealt to the tasks in turn, from a place that its hash gives: their number is what makes a cluster heavy
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.pmod(F.expr("j * (j + 1) div 2 + i"), F.lit(tasks)) + F.pmod(F.xxhash64("cluster"), F.lit(tasks))
+    units = units.join(sets, "id").repartitionById(tasks, F.pmod(turn, F.lit(tasks)).cast("int")).sortWithinPartitions("cluster", "i", "j")
     # links between components join whole components; most often there are few
     more = components(units.mapInArrow(_verify_blocks(percent), "a bigint, b bigint"))
     more = more.select(F.col("node").alias("c"), F.col("component").alias("joined"))

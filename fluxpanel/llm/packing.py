@@ -32,16 +32,25 @@ def best_values(value: np.ndarray, capacity: int) -> np.ndarray:
     return back[::-1]
 
 
-def best_configuration(best: np.ndarray, value: np.ndarray, first: int, capacity: int) -> dict[int, int]:
-    """Multiset of lengths within the capacity of the greatest value among those with ``first``; the longest length where several are as good."""
+def best_configuration(best: np.ndarray, value: np.ndarray, first: int, capacity: int, count: np.ndarray) -> dict[int, int]:
+    """Multiset of lengths within the capacity and the counts, of the greatest value among those with ``first``; the longest length where several are as good.
+
+    The table knows no counts: where a length runs out, the walk goes on with the best of the others.
+    """
     out, room = {first: 1}, capacity - first
+    free = value if count[first] > 1 else np.where(np.arange(capacity + 1) == first, -np.inf, value)
     while room > 0:
         if best[room] <= best[room - 1]:
             room -= 1
             continue
-        v = room - int((best[:room] + value[room:0:-1]).argmax())
+        worth = best[:room] + free[room:0:-1]
+        v = room - int(worth.argmax())
+        if worth[room - v] == -np.inf:
+            break
         out[v] = out.get(v, 0) + 1
         room -= v
+        if out[v] >= count[v]:
+            free = np.where(np.arange(capacity + 1) == v, -np.inf, free)
     return out
 
 
@@ -67,7 +76,7 @@ def fractional(count: np.ndarray, capacity: int, rounds: int | None = None, step
         for v in lengths[order[worth[order] >= (1 - near) * best[capacity]]].tolist():
             if taken[v]:
                 continue
-            config = {u: min(m, int(count[u])) for u, m in best_configuration(best, price, v, capacity).items()}
+            config = best_configuration(best, price, v, capacity, count)
             ix = np.array(list(config))
             if taken[ix].any():
                 continue
@@ -104,8 +113,8 @@ def greedy(count: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
     return out
 
 
-def solve(count: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[tuple, int]]:
-    """[(configuration, times)] that use up the histogram: the program rounded down, and greedy ones for the rest of the rounding."""
+def rounded(count: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> tuple[list[tuple[tuple, int]], np.ndarray]:
+    """([(configuration, times)] of the program rounded down, what it leaves of the histogram)."""
     left, out = count.copy(), []
     # a piece that fills a sequence needs no program
     if left[capacity]:
@@ -117,6 +126,12 @@ def solve(count: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None
             out.append((config, k))
             for v, m in config:
                 left[v] -= m * k
+    return out, left
+
+
+def solve(count: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[tuple, int]]:
+    """[(configuration, times)] that use up the histogram: the program rounded down, and greedy ones for the rest of the rounding."""
+    out, left = rounded(count, capacity, rounds)
     return out + greedy(left, capacity)
 
 
@@ -148,7 +163,13 @@ def cut(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def pack(docs: DataFrame, tokenizer: str, kind: str, end: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; a null text is empty (one id, the end). An empty table gives no rows."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
+
+    A null or empty text is one id, the end. A text of any length is encoded whole and cut into pieces; all but its first have ``capacity`` ids.
+    Rows stay apart, whatever their ids: repeated rows and rows with a null id have pieces of their own. Pieces of one length may
+    change places, so ties do not matter to the number of sequences. Columns other than the two named are not read,
+    whatever their names. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     id_type = dict(docs.dtypes)[id_col]
     cols = ["piece", "start", "length", "ids_crc32", "part", "rank"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.panel import materialised
+from ..plans.panel import discarded, materialised
 
 BUCKET_DAYS = 64
 
@@ -29,17 +29,24 @@ def links(events: DataFrame, reach: int = 7, key: str = "key") -> DataFrame:
 
 
 def cluster(events: DataFrame, reach: int = 7, key: str = "key") -> DataFrame:
-    """The events with cluster_id, the least key of the cluster. Labels spread along links and jump along labels until none changes."""
-    edges = materialised(links(events, reach, key))
-    both = materialised(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = materialised(both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("l")))
+    """The events with cluster_id, the least key of the cluster.
+
+    Labels spread along links and jump along labels until none changes. They only fall, and each round at least doubles how far
+    the least one has come, so the rounds end; a round's labels are deleted once the next are written.
+    """
+    edges = materialised(links(events, reach, key), "links")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = materialised(both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
     while True:
         near = both.join(label, F.col("b") == F.col("k")).groupBy("a").agg(F.min("l").alias("m"))
         step = label.join(near, F.col("k") == F.col("a")).select("k", F.least("l", "m").alias("n"), F.col("l").alias("old"))
-        jump = step.alias("x").join(step.select(F.col("k").alias("k2"), F.col("n").alias("n2")), F.col("x.n") == F.col("k2"), "left").select("k", F.least("n", F.coalesce("n2", "n")).alias("l"), "old")
-        jump = materialised(jump)
+        # the label that a node's new label had before this round
+        jump = step.join(label.select(F.col("k").alias("k2"), F.col("l").alias("l2")), F.col("n") == F.col("k2"), "left").select("k", F.least("n", F.coalesce("l2", "n")).alias("l"), "old")
+        jump = materialised(jump, "labels")
+        done = not jump.filter("l <> old").head(1)
+        discarded(label)
         label = jump.select("k", "l")
-        if not jump.filter("l <> old").head(1):
+        if done:
             break
     return events.join(label.select(F.col("k").alias(key), "l"), key, "left").withColumn("cluster_id", F.coalesce("l", key)).drop("l")
 
@@ -47,3 +54,8 @@ def cluster(events: DataFrame, reach: int = 7, key: str = "key") -> DataFrame:
 def add_clusters(catalogue: DataFrame, clusters: DataFrame) -> DataFrame:
     """Catalogue rows with the cluster of the event at (px, start)."""
     return catalogue.join(clusters.select("px", "start", "cluster_id"), ["px", "start"], "left")
+
+
+def sizes(clusters: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """cluster, n: events of each cluster."""
+    return clusters.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import centred_mean
@@ -12,12 +12,17 @@ def column_name(var: str, kind: str, first: int, last: int, weighted: bool = Fal
     return f"{prefix}_{var}_{kind}_{first}_{last}{'_nweighted' * weighted}{f'_smooth{smooth}' if smooth else ''}"
 
 
-def _windowed(catalogue: DataFrame, panel: DataFrame, first: int, last: int, cols: list[str], span: tuple) -> tuple[DataFrame, DataFrame]:
-    """(events whose window lies in the record and ends before its last day, their window's rows)."""
+def inside(first: int, last: int, span: tuple) -> Column:
+    """Whether a start lies in the record and so does its window, which must end before the last day."""
     lo, hi = (F.lit(str(x)).cast("date") for x in span)
-    inside = catalogue.select("px", "start").distinct().filter((F.col("start") >= lo) & (F.col("start") <= hi) & (F.date_add("start", first) >= lo) & (F.date_add("start", last + 1) <= hi))
-    days = inside.withColumn("day", F.explode(F.sequence(F.date_add("start", first), F.date_add("start", last))))
-    return inside, days.join(panel.select("px", "day", *cols), ["px", "day"], "left")
+    return (F.col("start") >= lo) & (F.col("start") <= hi) & (F.date_add("start", first) >= lo) & (F.date_add("start", last + 1) <= hi)
+
+
+def _windowed(catalogue: DataFrame, panel: DataFrame, first: int, last: int, cols: list[str], span: tuple) -> DataFrame:
+    """The panel's rows in the windows that lie in the record. The join is an inner one, so that few events are broadcast, or cut the panel before it is shuffled."""
+    starts = catalogue.select("px", "start").filter(inside(first, last, span)).distinct()
+    days = starts.withColumn("day", F.explode(F.sequence(F.date_add("start", first), F.date_add("start", last))))
+    return panel.select("px", "day", *cols).join(days, ["px", "day"])
 
 
 def span_of(panel: DataFrame) -> tuple:
@@ -29,10 +34,11 @@ def add_window(catalogue: DataFrame, panel: DataFrame, value: str, var: str, kin
     span = span or span_of(panel)
     if smooth:
         panel = panel.withColumn(value, centred_mean(value, smooth, 2))
-    _, rows = _windowed(catalogue, panel, first, last, [value], span)
-    fn = {"mean": F.avg, "min": F.min, "max": F.max, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0))}[kind]
-    out = rows.groupBy("px", "start").agg(fn(value).alias(column_name(var, kind, first, last, smooth=smooth)))
-    return catalogue.join(out, ["px", "start"], "left")
+    rows = _windowed(catalogue, panel, first, last, [value], span)
+    name = column_name(var, kind, first, last, smooth=smooth)
+    out = rows.groupBy("px", "start").agg({"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}[kind](value).alias(name))
+    out = catalogue.join(out, ["px", "start"], "left")
+    return out.withColumn(name, F.when(inside(first, last, span), F.coalesce(F.col(f"`{name}`"), F.lit(0.0)))) if kind == "sum" else out
 
 
 def add_weighted_window(catalogue: DataFrame, panel: DataFrame, value: str, n: str, var: str, kind: str, first: int, last: int, least: float, smooth: int | None = None, span: tuple | None = None, compat_argmin: bool = False) -> DataFrame:
@@ -46,7 +52,7 @@ def add_weighted_window(catalogue: DataFrame, panel: DataFrame, value: str, n: s
     if smooth:
         panel = panel.select("px", "day", centred_mean(value, smooth, 2).alias(value), centred_mean(n, smooth, 2).alias(n))
     panel = panel.withColumn(value, F.when(F.col(n) >= least, F.col(value)))
-    _, rows = _windowed(catalogue, panel, first, last, [value, n], span)
+    rows = _windowed(catalogue, panel, first, last, [value, n], span)
     x, w = F.col(value), F.col(n).cast("double")
     valid = F.count(x) > 0
     if kind == "mean":

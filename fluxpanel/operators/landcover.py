@@ -34,10 +34,9 @@ def in_group(rows: DataFrame, land_cover: DataFrame, key: DataFrame, group: str,
 
 def group_name(code: Column, key: DataFrame, groups: list[str] = TOP_LAND_COVERS) -> Column:
     """Name of the group that a code belongs to; NULL outside of all."""
-    known = {r["land_cover"] for r in key.collect()}
+    flags = {r["land_cover"]: r["flag"] for r in key.collect()}  # one row a class of the legend
     out = F.lit(None).cast("string")
-    for g in reversed([g for g in groups if set(members(g)) & known]):
-        flags = {r["land_cover"]: r["flag"] for r in key.collect()}
+    for g in reversed([g for g in groups if set(members(g)) & set(flags)]):
         out = F.when(code.isin([flags[m] for m in members(g) if m in flags]), F.lit(g)).otherwise(out)
     return out
 

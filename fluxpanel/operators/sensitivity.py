@@ -17,7 +17,7 @@ def sensitivity(events: DataFrame, panel: DataFrame, moisture: str, var: str, by
     unsmoothed composite; after: least smoothed moisture, and least (or, if it increases, greatest) smoothed variable, of the
     lags whose smoothed count reaches ``least``. n is the variable's smoothed count at that lag, the first of equal ones.
     """
-    rows = aligned(events, panel, lags, [moisture, var])
+    rows = aligned(events, panel, lags, [moisture, var], by)
     comp = rows.groupBy(*by, "lag").agg(F.avg(moisture).alias("m"), F.count(moisture).alias("mn"), F.avg(var).alias("x"), F.count(var).alias("xn"))
     lo, hi = -(smooth // 2), smooth // 2
     over = lambda c, fn: roll(c, fn, lo, hi, 1, tuple(by), "lag")

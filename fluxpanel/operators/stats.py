@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quartiles import edges_of, quartile_of, with_quartile
+from ..functions.quartiles import quartile_of, with_quartile
+from ..plans.panel import materialised
 
 
 def exceedance(df: DataFrame, value: str, quartile_by: str, threshold: float) -> DataFrame:
@@ -23,7 +24,7 @@ def density(df: DataFrame, value: str, by: str, low: float, high: float, points:
     shape = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_s"))
     shape = shape.withColumn("_total", F.sum("_n").over(Window.partitionBy())).withColumn("_h", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     step = (high - low) / (points - 1)
-    grid = rows.join(F.broadcast(shape), by).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.lit(low) + F.col("i") * F.lit(step))
+    grid = rows.join(shape, by).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.lit(low) + F.col("i") * F.lit(step))
     z = (F.col("x") - F.col("_v")) / F.col("_h")
     one = F.exp(-0.5 * z * z) / (F.col("_h") * math.sqrt(2 * math.pi) * F.col("_total"))
     return grid.filter("_h > 0").groupBy(by, "i", "x").agg(F.sum(one).alias("density")).drop("i")
@@ -62,17 +63,23 @@ def bootstrap(df: DataFrame, value: str, quartile_by: str, cluster: str, iterati
     ``reverse`` gives 1 - p. Equal rows are counted, not repeated: draws of one cluster in one iteration become a weight.
     """
     spark = df.sparkSession
-    rows = df.dropna(subset=[value, quartile_by]).select(F.col(cluster).alias("_c"), F.col(value).alias("_v"), F.col(quartile_by).alias("_q"))
-    ids = rows.select("_c").distinct()
-    numbered = ids.withColumn("_k", F.row_number().over(Window.orderBy("_c")) - 1)  # one row a cluster of a region
-    n = numbered.count()
+    rows = materialised(df.dropna(subset=[value, quartile_by]).select(F.col(cluster).alias("_c"), F.col(value).alias("_v"), F.col(quartile_by).alias("_q")), "bootstrap")
+    clusters, n = numbered(rows.select("_c").distinct(), "_c", "_k")
     if n < least_clusters:
         raise ValueError(f"{n} clusters; {least_clusters} are needed")
     draws = spark.range(iterations).select(F.col("id").cast("int").alias("iter"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
     draws = draws.withColumn("_k", draw(F.col("iter"), F.col("slot"), n)).groupBy("iter", "_k").agg(F.count(F.lit(1)).alias("times"))
-    taken = draws.join(numbered, "_k").join(rows, "_c")
-    edges = taken.groupBy("iter").agg(F.percentile("_q", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("times")).alias("_edges"))
-    cut = taken.join(edges, "iter").withColumn("quartile", quartile_of(F.col("_q"), F.col("_edges"))).filter("quartile in (1, 4)")
+    taken = draws.join(clusters, "_k").join(rows, "_c").select("iter", "_v", "_q", "times")
+    # quartile edges by running sums over each iteration's sorted rows, which spill where a table of its values would not
+    whole = Window.partitionBy("iter")
+    ranked = taken.withColumns({"upto": F.sum("times").over(whole.orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("times").over(whole)})
+    picks = []
+    for i, share in enumerate((0.25, 0.5, 0.75)):
+        at = F.lit(share) * (F.col("total") - 1)
+        value_at = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("times") <= k), F.col("_q"))).over(whole)
+        lo, hi = F.floor(at), F.ceil(at)
+        picks.append(F.when(lo == hi, value_at(lo)).otherwise((hi - at) * value_at(lo) + (at - lo) * value_at(hi)).alias(f"e{i}"))
+    cut = ranked.select("iter", "_v", "_q", "times", F.array(*picks).alias("_edges")).withColumn("quartile", quartile_of(F.col("_q"), F.col("_edges"))).filter("quartile in (1, 4)")
     counts = cut.groupBy("iter", "_v").agg(F.sum(F.when(F.col("quartile") == 1, F.col("times")).otherwise(0)).alias("a"), F.sum(F.when(F.col("quartile") == 4, F.col("times")).otherwise(0)).alias("b"))
     below = Window.partitionBy("iter").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     won = counts.withColumn("w", F.col("a") * (F.coalesce(F.sum("b").over(below), F.lit(0)) + F.col("b") * 0.5))
@@ -80,6 +87,23 @@ def bootstrap(df: DataFrame, value: str, quartile_by: str, cluster: str, iterati
     return won.groupBy("iter").agg((1 - p if reverse else p).alias("p"))
 
 
+def numbered(ids: DataFrame, col: str, name: str) -> tuple[DataFrame, int]:
+    """(the distinct ids with their number from 0 in ascending order, how many there are): numbered within ranges, then moved by the ranges before."""
+    table = materialised(ids.repartitionByRange(col).withColumn("_part", F.spark_partition_id()), "numbered")
+    within = table.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(col)) - 1)
+    before, total = [], 0
+    for part, n in sorted(tuple(r) for r in table.groupBy("_part").count().collect()):  # a row for each range
+        before.append((part, total))
+        total += n
+    moved = df_of(ids, before)
+    return within.join(moved, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before"), total
+
+
+def df_of(like: DataFrame, before: list[tuple[int, int]]) -> DataFrame:
+    """_part, _before rows."""
+    return like.sparkSession.createDataFrame(before, "_part int, _before bigint")
+
+
 def observed(df: DataFrame, value: str, quartile_by: str, reverse: bool = False) -> DataFrame:
     """u, p, n1, n2 on the rows as they are."""
     rows = with_quartile(df.dropna(subset=[value, quartile_by]), quartile_by)
@@ -92,4 +116,7 @@ def bound(samples: DataFrame, level: float = 0.05) -> DataFrame:
     return samples.agg(F.percentile("p", F.lit(level)).alias("bound"), F.count("p").alias("n"))
 
 
-__all__ = ["bootstrap", "bound", "density", "draw", "edges_of", "exceedance", "histogram", "mann_whitney", "observed"]
+def cluster_summary(df: DataFrame, value: str, quartile_by: str, cluster: str) -> DataFrame:
+    """n_clusters, n_events, largest: what a bootstrap over the clusters has to draw from."""
+    sizes = df.dropna(subset=[value, quartile_by]).groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("n_events"), F.max("n").alias("largest"))

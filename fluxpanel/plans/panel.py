@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PANEL = T.StructType([T.StructField("px", T.IntegerType()), T.StructField("day", T.DateType()), T.StructField("value", T.DoubleType()), T.StructField("n", T.DoubleType())])
-CATALOGUE = T.StructType([T.StructField("px", T.IntegerType()), T.StructField("start", T.DateType()), T.StructField("end", T.DateType()), T.StructField("length", T.IntegerType()), T.StructField("max_intensity", T.DoubleType())])
 #: First and last day of the calendar of the order panel.
 FIRST, LAST = "1995-01-01", "2001-11-04"
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder that the session names in spark.checkpoint.dir (a temporary one where none is set), for plans that read them more than once."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fluxpanel-"))
-    return df.checkpoint()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir; a temporary one on a single machine, else RuntimeError."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="fluxpanel-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/fluxpanel/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows written once as a Parquet table in the shared folder and read back, for plans that read them more than once: each reads only its columns."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that is no longer read."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def nulls(df: DataFrame, *cols: str) -> DataFrame:
@@ -34,11 +57,17 @@ def densify(values: DataFrame, places: DataFrame, first: str, last: str, px: str
 
 
 def common_span(*frames: DataFrame, day: str = "day") -> tuple:
-    """Latest first day and earliest last day of several panels."""
+    """Latest first day and earliest last day of several panels; one row of each comes to the driver."""
     ends = [f.agg(F.min(day), F.max(day)).first() for f in frames]
     return max(e[0] for e in ends), min(e[1] for e in ends)
 
 
+def clipped(*frames: DataFrame, day: str = "day") -> list[DataFrame]:
+    """The panels within their common span, both ends included."""
+    lo, hi = common_span(*frames, day=day)
+    return [f.filter(F.col(day).between(F.lit(lo), F.lit(hi))) for f in frames]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -59,11 +59,14 @@ LAND_COVER_GROUPS = {
     "all_needleleaved_evergreen": ["tree_needleleaved_evergreen_closed_to_open", "tree_needleleaved_evergreen_closed", "tree_needleleaved_evergreen_open"],
     "all_needleleaved_deciduous": ["tree_needleleaved_deciduous_closed_to_open", "tree_needleleaved_deciduous_closed", "tree_needleleaved_deciduous_open"],
     "all_closed_tree_cover": ["tree_broadleaved_deciduous_closed", "tree_needleleaved_evergreen_closed", "tree_needleleaved_deciduous_closed"],
-}
-_EVERGREEN = "tree_broadleaved_evergreen_closed_to_open"
-LAND_COVER_GROUPS["all_broadleaved"] = [_EVERGREEN, *LAND_COVER_GROUPS["all_broadleaved_deciduous"]]
-LAND_COVER_GROUPS["all_needleleaved"] = [LAND_COVER_GROUPS["all_needleleaved_evergreen"][0], *LAND_COVER_GROUPS["all_needleleaved_deciduous"]]
-LAND_COVER_GROUPS["all_tree_cover"] = [*LAND_COVER_GROUPS["all_broadleaved"], *LAND_COVER_GROUPS["all_needleleaved_evergreen"], *LAND_COVER_GROUPS["all_needleleaved_deciduous"], "tree_mixed"]
+    "all_broadleaved": ["tree_broadleaved_evergreen_closed_to_open", "tree_broadleaved_deciduous_closed_to_open", "tree_broadleaved_deciduous_closed", "tree_broadleaved_deciduous_open"],
+    "all_needleleaved": ["tree_needleleaved_evergreen_closed_to_open", "tree_needleleaved_deciduous_closed_to_open", "tree_needleleaved_deciduous_closed", "tree_needleleaved_deciduous_open"],
+    "all_tree_cover": [
+        "tree_broadleaved_evergreen_closed_to_open", "tree_broadleaved_deciduous_closed_to_open", "tree_broadleaved_deciduous_closed", "tree_broadleaved_deciduous_open",
+        "tree_needleleaved_evergreen_closed_to_open", "tree_needleleaved_evergreen_closed", "tree_needleleaved_evergreen_open",
+        "tree_needleleaved_deciduous_closed_to_open", "tree_needleleaved_deciduous_closed", "tree_needleleaved_deciduous_open", "tree_mixed",
+    ],
+}
 
 #: The four groups shown on maps.
 TOP_LAND_COVERS = ["all_cropland_rainfed", "all_shrubland", "grassland", "all_sparse_vegetation"]
@@ -74,7 +77,7 @@ REGIONS = {"southern_africa": (12.5, 37.5, -30.0, -12.5), "west_africa": (-18.0,
 #: Lower edges of the latitude bands, in the order in which an export lists them.
 BANDS = [("north1", 0.0, 20.0), ("north2", 20.0, 40.0), ("north3", 40.0, 50.0), ("north4", 50.0, 60.0), ("north5", 60.0, 70.0), ("north6", 70.0, None), ("south1", None, -30.0), ("south2", -30.0, 0.0)]
 
-#: Observations that a daily value needs: a fifth of 625.
+#: Fixed value: observations that a daily value needs, a fifth of 625.
 LEAST_OBSERVATIONS = 125
 
 

@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..registry import Variable
+from ..functions.grid import rounded
+from ..operators.regions import banded
+from ..registry import LEAST_OBSERVATIONS, Variable
 
 
-def apply_rule(df: DataFrame, rule: Variable, value: str = "value", ts: str = "ts", south: float = -60, north: float = 80, west: float = -180, east: float = 180) -> DataFrame:
-    """Fill values become NULL, times shift, rows outside the map go (both ends in), values become float32, day is the date."""
+def filled(df: DataFrame, rule: Variable, value: str = "value", ts: str = "ts") -> DataFrame:
+    """Fill values and NaN become NULL, times shift."""
     v = F.when(~F.isnan(value), F.col(value))
     if rule.below is not None:
         v = F.when(v < rule.below, v)
     if rule.above is not None:
         v = F.when(v > rule.above, v)
     shifted = F.col(ts) + F.expr(f"interval {rule.shift_hours} hours") if rule.shift_hours else F.col(ts)
-    out = df.filter(F.col("lat").between(south, north) & F.col("lon").between(west, east))
-    return out.withColumn(value, v.cast("float")).withColumn(ts, shifted).withColumn("day", F.to_date(ts))
+    return df.withColumn(value, v).withColumn(ts, shifted)
+
+
+def cropped(df: DataFrame, south: float = -60, north: float = 80, west: float = -180, east: float = 180) -> DataFrame:
+    """Rows within the map, both ends included."""
+    return df.filter(F.col("lat").between(south, north) & F.col("lon").between(west, east))
+
+
+def apply_rule(df: DataFrame, rule: Variable, value: str = "value", ts: str = "ts", south: float = -60, north: float = 80, west: float = -180, east: float = 180) -> DataFrame:
+    """Fill values become NULL, times shift, rows outside the map go (both ends in), values become float32, day is the date."""
+    out = filled(cropped(df, south, north, west, east), rule, value, ts)
+    return out.withColumn(value, F.col(value).cast("float")).withColumn("day", F.to_date(ts))
 
 
 def half_cell_regrid(df: DataFrame, value: str = "value", keys: tuple[str, ...] = ("day",), row: str = "row", col: str = "col") -> DataFrame:
@@ -37,7 +53,7 @@ def valid_places(static: DataFrame) -> DataFrame:
     return static.filter((F.col("land") == 1) & (F.coalesce(F.col("rainforest"), F.lit(0)) == 0))
 
 
-def least_count(df: DataFrame, value: str, n: str, least: float = 125, zero_counts: bool = False) -> DataFrame:
+def least_count(df: DataFrame, value: str, n: str, least: float = LEAST_OBSERVATIONS, zero_counts: bool = False) -> DataFrame:
     """Values with fewer observations are missing; with ``zero_counts`` their count is 0."""
     ok = F.coalesce(F.col(n) >= least, F.lit(False))
     out = df.withColumn("_ok", ok).withColumn(value, F.when(F.col("_ok"), F.col(value)))
@@ -68,22 +84,84 @@ def write_once(df: DataFrame, path: str) -> bool:
     return True
 
 
+#: Headings of a catalogue file.
+HEADINGS = {"lat": "latitude (degrees north)", "lon": "longitude (degrees east)", "start": "start date", "end": "end date", "length": "length", "max_intensity": "maximum intensity"}
+KINDS = {"lat": "double", "lon": "double", "start": "date", "end": "date", "length": "int", "max_intensity": "double"}
+
+
 def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A catalogue file with its headings, under short names."""
-    schema = "lat double, lon double, start date, end date, length int, max_intensity double"
-    return spark.read.csv(path, header=True, schema=schema)
+    """A catalogue file with its headings, under short names; any other columns, as enrichment adds them, are numbers under their own names."""
+    short = {v: k for k, v in HEADINGS.items()}
+    rows = spark.read.csv(path, header=True)
+    return rows.select(*[F.col(f"`{c}`").cast(KINDS[short[c]] if c in short else "double").alias(short.get(c, c)) for c in rows.columns])
 
 
-def write_catalogue_csv(df: DataFrame, path: str) -> None:
-    names = {"lat": "latitude (degrees north)", "lon": "longitude (degrees east)", "start": "start date", "end": "end date", "length": "length", "max_intensity": "maximum intensity"}
-    extra = [c for c in df.columns if c not in names and c != "px"]
-    df.select(*[F.col(c).alias(n) for c, n in names.items()], *[F.col(f"`{c}`") for c in extra]).write.csv(path, header=True)
+def write_catalogue_csv(df: DataFrame, path: str, bands: bool = False) -> None:
+    """A catalogue with its headings and any further columns; with ``bands`` its files, read by name, list the rows by latitude band."""
+    extra = [c for c in df.columns if c not in HEADINGS and c not in ("px", "band", "band_order")]
+    if bands:
+        df = banded(df).orderBy("band_order", "lat", "lon", "start")
+    df.select(*[F.col(c).alias(n) for c, n in HEADINGS.items()], *[F.col(f"`{c}`") for c in extra]).write.csv(path, header=True)
 
 
 def read_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """One float a line."""
-    return spark.read.text(path).select(F.col("value").try_cast("double").alias("value")).filter("value is not null")
+    """One float a line; a line that is no number is NULL."""
+    return spark.read.text(path).select(F.col("value").try_cast("double").alias("value"))
 
 
 def write_numbers(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string")).write.text(path)
+
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """i, j, value of the two-dimensional .npy maps at a path; NaN is NULL. Files are read where the tasks run."""
+
+    def cells(batches):
+        for b in batches:
+            for raw in b.column("content").to_pylist():
+                a = np.load(io.BytesIO(raw))
+                i, j = np.indices(a.shape)
+                v = a.astype(float).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(v, mask=np.isnan(v))], ["i", "j", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(cells, "i int, j int, value double")
+
+
+def write_map(df: DataFrame, rows: int, cols: int, path: str, i: str = "i", j: str = "j", value: str = "value") -> None:
+    """One .npy file of a coarse map, NaN where there is no row; the map of at most 10 million cells is put together on the driver."""
+    if rows * cols > 10_000_000:
+        raise ValueError("too many cells for one file; write a table")
+    out = np.full((rows, cols), np.nan)
+    for r in df.filter(F.col(value).isNotNull()).select(i, j, value).collect():
+        out[r[0], r[1]] = r[2]
+    sink = io.BytesIO()
+    np.save(sink, out)
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        stream.write(bytearray(sink.getvalue()))
+    finally:
+        stream.close()
+
+
+def files_with(spark: SparkSession, folder: str, part: str) -> list[str]:
+    """Names of the files of a folder that have ``part`` in them, ascending (a year, a quartile)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(x.getPath().getName() for x in found if part in x.getPath().getName())
+
+
+def read_files_with(spark: SparkSession, folder: str, part: str) -> DataFrame:
+    """The tables of a folder whose names have ``part`` in them, as one; FileNotFoundError without any."""
+    names = files_with(spark, folder, part)
+    if not names:
+        raise FileNotFoundError(f"no file with {part} in {folder}")
+    return spark.read.parquet(*[f"{folder}/{n}" for n in names])
+
+
+def described(df: DataFrame, comments: dict[str, str], coords: tuple[str, ...] = ("lat", "lon")) -> DataFrame:
+    """The rows with comments (names, units) on their columns and coordinates to three places."""
+    out = df.withColumns({c: rounded(F.col(c)) for c in coords if c in df.columns})
+    for c, text in comments.items():
+        out = out.withMetadata(c, {"comment": text})
+    return out

@@ -10,7 +10,8 @@ import glob
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-BLOCK = 40
+#: Latitudes of a partition, times of a batch.
+BLOCK, TIMES = 40, 16
 
 
 class NetcdfSource(DataSource):
@@ -52,14 +53,24 @@ class NetcdfReader(DataSourceReader):
         return out
 
     def read(self, partition):
+        """Arrow batches of ``TIMES`` times and the partition's latitudes."""
         import netCDF4
         import numpy as np
 
         lat, lon, time = self.names
         with self._open(partition.path) as data:
-            times = netCDF4.num2date(data[time][:], data[time].units, only_use_cftime_datetimes=False, only_use_python_datetimes=True)
-            lats, lons = data[lat][partition.first : partition.last], data[lon][:]
-            block = np.ma.filled(data[self.variable][:, partition.first : partition.last, :].astype(float), np.nan)
-            for t, i, j in np.ndindex(block.shape):
-                v = float(block[t, i, j])
-                yield float(lats[i]), float(lons[j]), times[t], None if np.isnan(v) else v
+            times = np.array(netCDF4.num2date(data[time][:], data[time].units, only_use_cftime_datetimes=False, only_use_python_datetimes=True), "datetime64[us]")
+            lats, lons = np.asarray(data[lat][partition.first : partition.last], float), np.asarray(data[lon][:], float)
+            for t in range(0, len(times), TIMES):
+                block = np.ma.filled(data[self.variable][t : t + TIMES, partition.first : partition.last, :].astype(float), np.nan)
+                yield cells(block, times[t : t + TIMES], lats, lons)
+
+
+def cells(block, times, lats, lons):
+    """A (time, latitude, longitude) block as a batch of lat, lon, ts, value rows; NaN is NULL."""
+    import numpy as np
+    import pyarrow as pa
+
+    t, i, j = block.shape
+    value = block.ravel()
+    return pa.RecordBatch.from_arrays([pa.array(np.tile(np.repeat(lats, j), t)), pa.array(np.tile(lons, t * i)), pa.array(np.repeat(times, i * j)), pa.array(value, mask=np.isnan(value))], ["lat", "lon", "ts", "value"])

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from fluxpanel.llm import packing, queries
@@ -141,11 +142,25 @@ def test_solution_uses_the_histogram_up(seed):
     assert sum(t for _, t in solution) <= 1.02 * least + 1
 
 
-def test_program_beats_greedy_where_greedy_fails():
+@pytest.mark.parametrize("seed,lengths", [(0, [570, 522, 389, 342, 201, 180]), (3, [700, 410, 330, 310, 290]), (5, [601, 423, 333, 180, 120])])
+def test_program_needs_fewer_sequences_where_greedy_fails(seed, lengths):
     count = np.zeros(1025, int)
-    count[[510, 257, 258, 256]] = [60, 60, 30, 60]  # two sequences of 510+257+257 and so on
-    greedy = sum(t for _, t in packing.greedy(count, 1024))
-    assert sum(t for _, t in packing.solve(count)) <= greedy
+    count[lengths] = np.random.default_rng(seed).integers(200, 900, len(lengths))
+    assert sum(t for _, t in packing.solve(count)) < sum(t for _, t in packing.greedy(count, 1024))
+
+
+@pytest.mark.parametrize("sf,most", [("sf0.01", 964), ("sf0.1", 9872)])
+def test_sequences_come_from_the_program(sf, most):
+    """On the lengths of all documents: few sequences, nearly all of them configurations of the program."""
+    col = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    counts = Encoder(tokenizer_path("byte_bpe_50k.json"), "spaces").encode(col, 2)[1]
+    count = np.bincount(packing.cut(counts, 1024)[3], minlength=1025)
+    program, left = packing.rounded(count)
+    total = sum(t for _, t in packing.solve(count))
+    assert total <= most
+    partly = sum(t for c, t in program if len(c) > 1)
+    assert sum(t for _, t in program) > (0.9 if sf == "sf0.1" else 0.7) * total and partly > 0
+    assert (left >= 0).all()
 
 
 def skewed(seed, n):
@@ -174,6 +189,30 @@ def test_program_uses_every_length_up():
     assert np.allclose(used, count, rtol=1e-6)
 
 
+def test_packing_query_equals_a_fresh_tokenizer(spark, sf_dir):
+    want, by_doc, by_seq = library("byte_bpe_50k.json", sf_dir[1]), {}, {}
+    for r in queries.op8_best_fit_packing(spark, sf_dir[0]).collect():
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(by_doc) == set(want)
+    for i, ids in want.items():
+        at = 0
+        for k, r in enumerate(sorted(by_doc[i], key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"]) == (k, at) and (k == 0 or r["length"] == 1024)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for pieces in by_seq.values():
+        assert [o for o, _ in sorted(pieces)] == [0, *np.cumsum([n for _, n in sorted(pieces)])[:-1]] and sum(n for _, n in pieces) <= 1024
+
+
+def test_pieces_of_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b c", 9), (1, "a b c", 9), (None, "a b c", 9), (None, None, 9)], "doc_id bigint, text string, offset int")
+    rows = packing.pack(df, tokenizer_path("byte_bpe_50k.json"), "spaces").collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in rows) == [(0, 1), (0, 4), (1, 4), (1, 4)]
+    assert sorted(r["offset"] for r in rows) == [0, *np.cumsum([r["length"] for r in sorted(rows, key=lambda r: r["offset"])])[:-1]]
+
+
 def test_pieces_are_gapless(spark):
     texts = fuzz(120, 5) + [None, "", "some words " * 3000, "x" * 5000]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, length int")
