@@ -71,7 +71,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-def tested(table: DataFrame, bits: int, hashes: int) -> DataFrame:
+def marked(table: DataFrame, bits: int, hashes: int) -> DataFrame:
     """The rows with ``maybe``: whether all places of the digest are hit by two rows or more. The bitmap of ``bits`` bits is broadcast."""
     cols = table.columns
     bitmap = F.broadcast(written(repeated_places(table, "digest", bits, hashes), "bloom"))
@@ -88,7 +88,7 @@ def tested(table: DataFrame, bits: int, hashes: int) -> DataFrame:
 def judged(table: DataFrame, bits: int, hashes: int) -> DataFrame:
     """The rows of one range of digests with keep_id, group_size and kept."""
     cols = [c for c in table.columns if c != "row"]
-    rows = tested(table, bits, hashes)
+    rows = marked(table, bits, hashes)
     alone = rows.filter("not maybe").select(*cols, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     again = rows.filter("maybe").drop("maybe")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from fluxpanel.llm.exact_dedup import exact_dedup, judged, tested
+from fluxpanel.llm.exact_dedup import exact_dedup, judged, marked
 from fluxpanel.llm.minhash import by_cheaper_groups, near_dedup
 from fluxpanel.llm.substring_dedup import substring_dedup
 
@@ -56,8 +56,8 @@ def test_unique_rows_pass_straight_through(spark):
     table = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
     part = table.filter(F.pmod(F.xxhash64(F.lit(-1), "digest"), F.lit(ranges)) == 0)
     assert n / ranges * 0.8 < part.count() < n / ranges * 1.2
-    assert tested(part, 1 << 14, 2).filter("maybe").count() <= 0.03 * n / ranges  # 16 bits a row of the range
-    assert tested(table, 1 << 10, 2).filter("maybe").count() > 0.9 * n  # one small filter for all would let none pass
+    assert marked(part, 1 << 14, 2).filter("maybe").count() <= 0.03 * n / ranges  # 16 bits a row of the range
+    assert marked(table, 1 << 10, 2).filter("maybe").count() > 0.9 * n  # one small filter for all would let none pass
 
 
 def test_exact_repeated_rows_null_ids_and_empty_table(spark):
