@@ -2,13 +2,15 @@
 
 The histogram has at most ``capacity`` lengths whatever the corpus. The program (how often to use each multiset of lengths
 that fits a sequence, so that every length is used up) is solved by multiplicative weights: each round prices the lengths,
-a knapsack dynamic program finds the best configurations, and the weights of what they use fall. Rounded down, that leaves
+a knapsack dynamic program finds the best configurations, and the weights of what they use fall; each phase of such rounds multiplies the
+prices of lengths that ended in sequences of little worth. Rounded down, that leaves
 a rest that is packed by configurations too: the longest piece left, then the longest that still fits, used as often as
 the counts allow. All of it works on counts; pieces are dealt to places by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -54,21 +56,25 @@ def best_configuration(best: np.ndarray, value: np.ndarray, first: int, capacity
     return out
 
 
-def fractional(count: np.ndarray, capacity: int, rounds: int | None = None, step: float = 0.1, rate: float = 0.1, near: float = 0.02, power: float = 1.005) -> dict[tuple, float]:
-    """Configuration -> how often, nearly optimal for the program that uses each length up, by multiplicative weights.
+def first_prices(capacity: int, power: float = 1.005) -> np.ndarray:
+    """In proportion to length, the dual solution where sequences can be filled, a little more for long pieces so that short ones last."""
+    return np.arange(capacity + 1.0) ** power
 
-    Prices start in proportion to length, the dual solution where sequences can be filled, a little more for long pieces so
-    that short ones last. A round takes, from one knapsack table, configurations without a common length that are worth
+
+def fractional(count: np.ndarray, capacity: int, rounds: int | None = None, base: np.ndarray | None = None, step: float = 0.1, rate: float = 0.1, near: float = 0.02) -> dict[tuple, float]:
+    """Configuration -> how often, for the program that uses each length up: one phase, at prices that start from ``base`` and fall with what is left of a length.
+
+    A round takes, from one knapsack table, configurations without a common length that are worth
     1 - ``near`` of the best or more, each for ``step`` of its scarcest length or once; a length that is used up leaves the program.
     It ends when all are, unless ``rounds`` ends it before.
     """
-    n = count.astype(float)
+    n, base = count.astype(float), first_prices(capacity) if base is None else base
     left, lengths, found = n.copy(), np.flatnonzero(count), {}
     done = 0
     while len(lengths) and done != rounds:
         done += 1
         price = np.full(capacity + 1, -np.inf)
-        price[lengths] = lengths**power * np.exp(rate * left[lengths] / n[lengths])
+        price[lengths] = base[lengths] * np.exp(rate * left[lengths] / n[lengths])
         best = best_values(price, capacity)
         worth = price[lengths] + best[capacity - lengths]
         order = np.lexsort((-lengths, -worth))
@@ -90,6 +96,29 @@ def fractional(count: np.ndarray, capacity: int, rounds: int | None = None, step
     return found
 
 
+def repriced(base: np.ndarray, found: dict[tuple, float], count: np.ndarray) -> np.ndarray:
+    """Prices for the next phase: each times the mean of 1 / worth of the sequences that its length is in.
+
+    Lengths that end in sequences of little worth get dearer. Where all sequences are worth the same, prices stay, and are the program's dual solution.
+    """
+    share = np.zeros(len(base))
+    for config, times in found.items():
+        worth = sum(base[v] * m for v, m in config)
+        for v, m in config:
+            share[v] += times * m / worth
+    out, ix = base.copy(), np.flatnonzero((count > 0) & (share > 0))
+    out[ix] *= share[ix] / count[ix] * (count[ix] @ base[ix]) / (share[ix] @ base[ix])
+    return out
+
+
+def least(count: np.ndarray, capacity: int, base: np.ndarray) -> int:
+    """A number of sequences that no packing goes below, by volume and by the prices as a dual solution."""
+    if not count.any():
+        return 0
+    worth = best_values(np.where(count > 0, base, -np.inf), capacity)[capacity]
+    return math.ceil(max(count @ np.arange(capacity + 1) / capacity, count @ base / worth) * (1 - 1e-9))
+
+
 def greedy(count: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
     """Configurations that use up the counts: the longest left, then the longest that fits, as often as they last."""
     left, out = count.copy(), []
@@ -113,14 +142,10 @@ def greedy(count: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
     return out
 
 
-def rounded(count: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> tuple[list[tuple[tuple, int]], np.ndarray]:
-    """([(configuration, times)] of the program rounded down, what it leaves of the histogram)."""
+def rounded_down(count: np.ndarray, found: dict[tuple, float]) -> tuple[list[tuple[tuple, int]], np.ndarray]:
+    """([(configuration, times)] rounded down, what they leave of the histogram)."""
     left, out = count.copy(), []
-    # a piece that fills a sequence needs no program
-    if left[capacity]:
-        out.append((((capacity, 1),), int(left[capacity])))
-        left[capacity] = 0
-    for config, times in sorted(fractional(left, capacity, rounds).items(), key=lambda x: -x[1] * sum(v * m for v, m in x[0])):
+    for config, times in sorted(found.items(), key=lambda x: -x[1] * sum(v * m for v, m in x[0])):
         k = min([int(times + 1e-6), *(int(left[v]) // m for v, m in config)])
         if k > 0:
             out.append((config, k))
@@ -129,10 +154,38 @@ def rounded(count: np.ndarray, capacity: int = CAPACITY, rounds: int | None = No
     return out, left
 
 
+def program(count: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None, phases: int = 10, gap: float = 0.0005) -> tuple[list[tuple[tuple, int]], np.ndarray, list[tuple[tuple, int]]]:
+    """([(configuration, times)] of the program rounded down, what it leaves of the histogram, [(configuration, times)] for that rest).
+
+    Each phase uses the histogram up and reprices the lengths. Phases end when their sequences are within ``gap`` (and one) of the lower bound;
+    the one of the fewest counts.
+    """
+    full, count = int(count[capacity]), np.where(np.arange(capacity + 1) == capacity, 0, count)  # a piece that fills a sequence needs no program
+    base, bound, fewest, best = first_prices(capacity), 0, np.inf, None
+    for _ in range(phases):
+        bound = max(bound, least(count, capacity, base))
+        found = fractional(count, capacity, rounds, base)
+        out, left = rounded_down(count, found)
+        rest = greedy(left, capacity)
+        total = sum(t for _, t in out + rest)
+        if total < fewest:
+            fewest, best = total, (out, left, rest)
+        if fewest <= bound + gap * (bound + full) + 1:
+            break
+        base = repriced(base, found, count)
+    out, left, rest = best
+    return ([(((capacity, 1),), full)] if full else []) + out, left, rest
+
+
+def rounded(count: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> tuple[list[tuple[tuple, int]], np.ndarray]:
+    """([(configuration, times)] of the program rounded down, what it leaves of the histogram)."""
+    return program(count, capacity, rounds)[:2]
+
+
 def solve(count: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[tuple, int]]:
     """[(configuration, times)] that use up the histogram: the program rounded down, and greedy ones for the rest of the rounding."""
-    out, left = rounded(count, capacity, rounds)
-    return out + greedy(left, capacity)
+    out, _, rest = program(count, capacity, rounds)
+    return out + rest
 
 
 def places(solution: list[tuple[tuple, int]], capacity: int) -> dict[int, tuple[np.ndarray, ...]]:

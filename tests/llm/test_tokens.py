@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import itertools
 import random
 import zlib
 
@@ -142,11 +143,29 @@ def test_solution_uses_the_histogram_up(seed):
     assert sum(t for _, t in solution) <= 1.02 * least + 1
 
 
-@pytest.mark.parametrize("seed,lengths", [(0, [570, 522, 389, 342, 201, 180]), (3, [700, 410, 330, 310, 290]), (5, [601, 423, 333, 180, 120])])
-def test_program_needs_fewer_sequences_where_greedy_fails(seed, lengths):
+def optimum(count):
+    """The program's exact value, by the simplex method on its dual over all configurations."""
+    lengths = np.flatnonzero(count)
+    configs = np.array([a for a in itertools.product(*[range(1024 // v + 1) for v in lengths]) if 0 < np.dot(a, lengths) <= 1024], float)
+    m, n = configs.shape
+    table = np.block([[configs, np.eye(m), np.ones((m, 1))], [-count[lengths][None], np.zeros((1, m + 1))]])
+    while (j := int(table[-1, :-1].argmin())) >= 0 and table[-1, j] < -1e-9:
+        ok = table[:m, j] > 1e-9
+        i = int(np.where(ok, table[:m, -1] / np.where(ok, table[:m, j], 1), np.inf).argmin())
+        table[i] /= table[i, j]
+        rest = np.arange(m + 1) != i
+        table[rest] -= table[rest, j][:, None] * table[i]
+    return table[-1, -1]
+
+
+@pytest.mark.parametrize("seed,lengths", [(0, [570, 522, 389, 342, 201, 180]), (3, [700, 410, 330, 310, 290]), (5, [601, 423, 333, 180, 120]), (7, [530, 370, 250, 249, 240, 125])])
+def test_program_reaches_its_optimum(seed, lengths):
+    """Greedy takes 1440, 1006 and 982 sequences for the first three: it is at the optimum of the first two itself, so only the others tell them apart."""
     count = np.zeros(1025, int)
     count[lengths] = np.random.default_rng(seed).integers(200, 900, len(lengths))
-    assert sum(t for _, t in packing.solve(count)) < sum(t for _, t in packing.greedy(count, 1024))
+    got, plain = (sum(t for _, t in x) for x in (packing.solve(count), packing.greedy(count, 1024)))
+    assert got <= np.ceil(optimum(count) - 1e-6) + 1 and got <= plain
+    assert seed != 5 or got < plain
 
 
 @pytest.mark.parametrize("sf,most", [("sf0.01", 964), ("sf0.1", 9872)])
