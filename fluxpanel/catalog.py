@@ -15,7 +15,8 @@ from .functions.quartiles import percentile_table, quartile_of, with_quartile
 from .operators import anomaly, clusters, composite, enrich, events, landcover, regions, sensitivity, stats
 from .operators.events import Rule
 from .oracle import ORACLE_SQL
-from .plans.panel import materialised, order_panel, read
+from .plans import jobs
+from .plans.panel import clipped, materialised, new_path, order_panel, order_values, read
 from .registry import Variable
 from .sources import ingest
 
@@ -358,6 +359,115 @@ def event_type_daily(spark, sf):
     return r(out.select("px", "day", "n", "mean_5d"), "mean_5d")
 
 
+# --- sources and sinks, each written to the shared folder and read back
+
+
+def catalogue_csv(spark, sf):
+    path = new_path(spark, "catalogue")
+    ingest.write_catalogue_csv(located(r(catalogue(spark, sf), "max_intensity")), path)
+    return ingest.read_catalogue_csv(spark, path)
+
+
+def enriched_csv(spark, sf):
+    """The enriched catalogue by latitude bands, with its further column."""
+    rows, path = _enrich("max")(spark, sf), new_path(spark, "enriched")
+    rows = located(rows).withColumn("length", F.datediff("end", "start")).withColumn("max_intensity", F.lit(None).cast("double"))
+    ingest.write_catalogue_csv(rows, path, bands=True)
+    return ingest.read_catalogue_csv(spark, path).select("lat", "lon", "start", "end", "length", "value")
+
+
+def numbers_text(spark, sf):
+    path = new_path(spark, "numbers")
+    ingest.write_numbers(r(panel(spark, sf), "v", digits=9), "v", path)
+    return ingest.read_numbers(spark, path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_map_npy(spark, sf):
+    """Events by place as a two-dimensional map file."""
+    path = new_path(spark, "map") + "/events.npy"
+    counts = onset_count_map(spark, sf).withColumns({"i": F.floor(F.col("px") / 5).cast("int"), "j": (F.col("px") % 5).cast("int")})
+    ingest.write_map(counts, 5, 5, path, value="n_events")
+    return ingest.read_map(spark, path)
+
+
+def year_tables(spark, sf):
+    """Three years of a table written by year; a second job leaves the table alone."""
+    path = new_path(spark, "years")
+    ingest.write_years(r(panel(spark, sf), "v", digits=9).select("px", "day", "v"), path)
+    if not ingest.exists(spark, path) or ingest.write_once(panel(spark, sf).limit(0), path):
+        raise RuntimeError("a finished table was written again")
+    return ingest.read_years(spark, path, 1996, 1998, ["px", "day", "v"])
+
+
+def files_by_name(spark, sf):
+    """The years 1997 and 1998 by the names of their folders."""
+    path = new_path(spark, "years")
+    ingest.write_years(r(panel(spark, sf), "v", digits=9).select("px", "day", "v"), path)
+    rows = ingest.read_files_with(spark, path, "=1997").unionByName(ingest.read_files_with(spark, path, "=1998"))
+    return rows.groupBy("px").agg(F.count(F.lit(1)).alias("days"), F.count("v").alias("observed"))
+
+
+# --- whole jobs
+
+
+JOB = Variable("v", below=45.0, shift_hours=-12, regrid=True, first_year=1996, last_year=1999)
+
+
+def anomaly_job(spark, sf):
+    """Raw values through fill limit, time shift, regridding, land mask, crop and anomaly to tables by year, read back."""
+    raw = panel(spark, sf).select(F.col("day").cast("timestamp").alias("ts"), F.floor(F.col("px") / 5).cast("int").alias("row"), (F.col("px") % 5).cast("int").alias("col"), F.col("v").alias("value"))
+    nations = read(spark, sf, "nation").select(F.col("n_nationkey").alias("px"), F.floor(F.col("n_nationkey") / 5).cast("int").alias("row"), (F.col("n_nationkey") % 5).cast("int").alias("col"), (F.col("n_regionkey") / 4.0).alias("land_fraction"))
+    kept = nations.filter("row < 4 and col < 4").select("px")
+    path = new_path(spark, "anomalies")
+    jobs.save_anomalies(raw, JOB, kept, path, land=nations.drop("px"), south=20.0, west=-180.0, step=20.0, cols=5)
+    return r(ingest.read_years(spark, path, 1996, 1999, ["px", "day", "value", "z"]), "value", "z", digits=5)
+
+
+def composites_all(spark, sf):
+    """Composites of two variables by land cover and quartile, 120 lags, in one pass over the panel."""
+    cover, key = land_cover(spark, sf)
+    both = materialised(zu_panel(spark, sf).select("px", "day", "z", "zu"))
+    stack = jobs.stacked({"v": both.select("px", "day", F.col("z"))}).unionByName(jobs.stacked({"u": both.select("px", "day", F.col("zu"))}, "zu"))
+    rows = materialised(peaks(spark, sf))
+    return r(jobs.all_composites(rows, stack, cover, key, lags=120, quartiles="peak", first=YEARS[0], last=YEARS[1]).filter("composite_n > 0"), "composite_mean")
+
+
+def composite_wide(spark, sf):
+    return r(composite.composite(onsets(spark, sf), zu_panel(spark, sf), "zu", 240), "composite_mean")
+
+
+def common_span(spark, sf):
+    """Two panels of unlike spans, cut to the days that both cover."""
+    v = order_values(spark, sf).select("px", "day", "v")
+    a, b = clipped(v.filter("day >= date'1996-02-10'"), v.filter("day <= date'1999-10-20'"))
+    return a.groupBy("px").agg(F.min("day").alias("first"), F.count(F.lit(1)).alias("n")).join(b.groupBy("px").agg(F.max("day").alias("last")), "px")
+
+
+def valid_places(spark, sf):
+    static = read(spark, sf, "nation").select(F.col("n_nationkey").alias("px"), (F.col("n_regionkey") > 0).cast("int").alias("land"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey") % 2).alias("rainforest"))
+    return ingest.valid_places(static).select("px")
+
+
+def nearest_pixels(spark, sf):
+    """The cell of each customer's made-up point, with its coordinates to three places."""
+    points = read(spark, sf, "customer").select("c_custkey", (F.lit(-59.95) + F.col("c_custkey") % 1000 * F.lit(0.1370001)).alias("lat"), (F.lit(-179.9) + F.col("c_custkey") % 700 * F.lit(0.5110003)).alias("lon"))
+    out = points.withColumn("pixel", grid.pixel_id(F.col("lat"), F.col("lon")))
+    return ingest.described(out, {"pixel": "cell of the quarter-degree grid"})
+
+
+def sensitivity_map(spark, sf):
+    """The sensitivity of every box of the map, those without events too."""
+    return sensitivity.on_grid(box_sensitivity(spark, sf), 4, 4)
+
+
+def event_clusters_wide(spark, sf):
+    return clusters.cluster(keyed(spark, sf)).select("px", "start", "cluster_id")
+
+
+def cluster_sizes(spark, sf):
+    return clusters.sizes(clusters.cluster(keyed(spark, sf), reach=1))
+
+
 QUERIES = {
     "panel_daily": panel_daily,
     "rolling_centred_mean": rolling_centred_mean,
@@ -416,6 +526,21 @@ QUERIES = {
     "quality_threshold": quality_threshold,
     "tile_counts": tile_counts,
     "event_type_daily": event_type_daily,
+    "catalogue_csv": catalogue_csv,
+    "enriched_csv": enriched_csv,
+    "numbers_text": numbers_text,
+    "count_map_npy": count_map_npy,
+    "year_tables": year_tables,
+    "files_by_name": files_by_name,
+    "anomaly_job": anomaly_job,
+    "composites_all": composites_all,
+    "composite_wide": composite_wide,
+    "common_span": common_span,
+    "valid_places": valid_places,
+    "nearest_pixels": nearest_pixels,
+    "sensitivity_map": sensitivity_map,
+    "event_clusters_wide": event_clusters_wide,
+    "cluster_sizes": cluster_sizes,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry", "quartile_of"]

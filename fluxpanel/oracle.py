@@ -89,6 +89,17 @@ def _weighted(kind: str, source: str = "SELECT px, day, zu, n FROM zz") -> str:
 _COVER_YEAR = "least(greatest(CASE WHEN day < make_date(year(day), 7, 2) THEN CASE WHEN day - make_date(year(day) - 1, 7, 2) <= make_date(year(day), 7, 2) - day THEN year(day) - 1 ELSE year(day) END ELSE CASE WHEN make_date(year(day) + 1, 7, 2) - day < day - make_date(year(day), 7, 2) THEN year(day) + 1 ELSE year(day) END END, 1995), 2000)"
 _START_YEAR = _COVER_YEAR.replace("day(", "DAY_").replace("day", "start").replace("DAY_", "day(")
 _GROUP = "CASE WHEN class IN (10, 11) THEN 'all_cropland_rainfed' WHEN class = 120 THEN 'all_shrubland' WHEN class = 130 THEN 'grassland' WHEN class = 150 THEN 'all_sparse_vegetation' END"
+
+
+def _corners(source: str) -> dict[str, str]:
+    """Each cell of a full grid of rows i and columns j with its neighbours below (d), right (r) and both (dr)."""
+    return {
+        "g": source,
+        "h": "SELECT *, lead(v) OVER (PARTITION BY day, i ORDER BY j) AS r FROM g",
+        "corner": "SELECT *, lead(v) OVER (PARTITION BY day, j ORDER BY i) AS d, lead(r) OVER (PARTITION BY day, j ORDER BY i) AS dr FROM h",
+    }
+
+
 _CLUSTERS = {
     "ln": "SELECT a.key AS a, b.key AS b FROM ky a JOIN ky b ON a.key <> b.key AND abs(a.i - b.i) <= {reach} AND abs(a.j - b.j) <= {reach} AND a.start <= b.\"end\" AND b.start <= a.\"end\"",
     "rc": "SELECT key AS k, key AS m FROM ky UNION SELECT ln.b, rc.m FROM rc JOIN ln ON ln.a = rc.k WHERE rc.m < ln.b",
@@ -105,6 +116,17 @@ _BOOT = {
     "bp": "SELECT iter, (sum(CASE WHEN one THEN avg_rank END) - count(*) FILTER (one) * (count(*) FILTER (one) + 1) / 2) / (count(*) FILTER (one) * count(*) FILTER (NOT one)) AS p FROM rk GROUP BY iter",
 }
 
+def _sensitivity(final: str) -> str:
+    return sql("ev zz", final,
+        g="SELECT CAST(e.px // 5 // 2 AS INTEGER) AS bi, CAST(e.px % 5 // 2 AS INTEGER) AS bj, CAST(k AS INTEGER) AS lag, z, zu FROM (SELECT *, unnest(range(-60, 61)) AS k FROM ev) e LEFT JOIN zz b ON b.px = e.px AND b.day = e.start + CAST(k AS INTEGER)",
+        cp="SELECT bi, bj, lag, avg(z) AS m, count(z) AS mn, avg(zu) AS x, count(zu) AS xn FROM g GROUP BY ALL",
+        sm="SELECT *, avg(m) OVER w AS ms, sum(mn) OVER w AS mns, avg(x) OVER w AS xs, sum(xn) OVER w AS xns FROM cp WINDOW w AS (PARTITION BY bi, bj ORDER BY lag ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
+        sens="""SELECT bi AS box_i, bj AS box_j, CASE WHEN ok THEN round((xa - xb) / nullif(ma - mb, 0), 6) END AS sensitivity, CASE WHEN ok THEN n END AS n FROM
+        (SELECT bi, bj, avg(m) FILTER (lag BETWEEN -60 AND -30) AS mb, avg(x) FILTER (lag BETWEEN -60 AND -30) AS xb, min(ms) FILTER (lag >= 0 AND mns >= 20) AS ma, min(xs) FILTER (lag >= 0 AND xns >= 20) AS xa,
+            CAST(arg_min(xns, (xs, lag)) FILTER (lag >= 0 AND xns >= 20 AND xs IS NOT NULL) AS BIGINT) AS n,
+            sum(mn) FILTER (lag BETWEEN -60 AND -30) > 20 AND sum(xn) FILTER (lag BETWEEN -60 AND -30) > 20 AND max(mns) FILTER (lag >= 0) > 20 AND max(xns) FILTER (lag >= 0) > 20 AS ok FROM sm GROUP BY bi, bj)""")
+
+
 ORACLE_SQL = {
     "panel_daily": sql("dense", "SELECT px, day, round(v, 9) AS v, n, round(u, 6) AS u, round(t, 9) AS t FROM dense"),
     "rolling_centred_mean": _frame("v", "avg", "2 PRECEDING", "2 FOLLOWING", 2, "mean_5d"),
@@ -161,22 +183,39 @@ ORACLE_SQL = {
         bw="SELECT quartile, stddev_samp(response) * count(*) ** -0.2 AS h, (SELECT count(*) FROM rq) AS total FROM rq GROUP BY quartile", xs="SELECT CAST(-4.0 + i * 0.2 AS DOUBLE) AS x FROM range(51) g(i)"),
     "response_histogram": sql("enr", "SELECT CAST(bin AS INTEGER) AS bin, round(any_value(lo + bin * w), 6) AS low, round(any_value(lo + (bin + 1) * w), 6) AS high, count(*) AS n FROM (SELECT lo, (hi - lo) / 20 AS w, least(floor((response - lo) / ((hi - lo) / 20)), 19) AS bin FROM enr, (SELECT min(response) AS lo, max(response) AS hi FROM enr) WHERE response IS NOT NULL) GROUP BY bin"),
     "mann_whitney": sql("rq", "SELECT round(u, 6) AS u, n1, n2, round(u / (n1 * n2), 6) AS p FROM (SELECT sum(CASE WHEN quartile = 1 THEN r END) - count(*) FILTER (quartile = 1) * (count(*) FILTER (quartile = 1) + 1) / 2 AS u, count(*) FILTER (quartile = 1) AS n1, count(*) FILTER (quartile = 4) AS n2 FROM (SELECT quartile, rank() OVER (ORDER BY response) + (count(*) OVER (PARTITION BY response) - 1) / 2 AS r FROM rq WHERE quartile IN (1, 4)))"),
-    "sensitivity": sql("ev zz", """SELECT bi AS box_i, bj AS box_j, CASE WHEN ok THEN round((xa - xb) / nullif(ma - mb, 0), 6) END AS sensitivity, CASE WHEN ok THEN n END AS n FROM
-        (SELECT bi, bj, avg(m) FILTER (lag BETWEEN -60 AND -30) AS mb, avg(x) FILTER (lag BETWEEN -60 AND -30) AS xb, min(ms) FILTER (lag >= 0 AND mns >= 20) AS ma, min(xs) FILTER (lag >= 0 AND xns >= 20) AS xa,
-            CAST(arg_min(xns, (xs, lag)) FILTER (lag >= 0 AND xns >= 20 AND xs IS NOT NULL) AS BIGINT) AS n,
-            sum(mn) FILTER (lag BETWEEN -60 AND -30) > 20 AND sum(xn) FILTER (lag BETWEEN -60 AND -30) > 20 AND max(mns) FILTER (lag >= 0) > 20 AND max(xns) FILTER (lag >= 0) > 20 AS ok FROM sm GROUP BY bi, bj)""",
-        g="SELECT CAST(e.px // 5 // 2 AS INTEGER) AS bi, CAST(e.px % 5 // 2 AS INTEGER) AS bj, CAST(k AS INTEGER) AS lag, z, zu FROM (SELECT *, unnest(range(-60, 61)) AS k FROM ev) e LEFT JOIN zz b ON b.px = e.px AND b.day = e.start + CAST(k AS INTEGER)",
-        cp="SELECT bi, bj, lag, avg(z) AS m, count(z) AS mn, avg(zu) AS x, count(zu) AS xn FROM g GROUP BY ALL",
-        sm="SELECT *, avg(m) OVER w AS ms, sum(mn) OVER w AS mns, avg(x) OVER w AS xs, sum(xn) OVER w AS xns FROM cp WINDOW w AS (PARTITION BY bi, bj ORDER BY lag ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"),
+    "sensitivity": _sensitivity("SELECT * FROM sens"),
     "event_clusters": sql("ky", "SELECT px, start, cluster_id FROM ky JOIN cl ON k = key", True, **{k: q.format(reach=1) for k, q in _CLUSTERS.items()}),
     "bootstrap_samples": sql("ky enr", "SELECT iter, round(p, 6) AS p FROM bp", True, **_BOOT),
     "bootstrap_bound": sql("ky enr", "SELECT round(quantile_cont(p, 0.05), 6) AS bound, count(p) AS n FROM bp", True, **_BOOT),
     "ingest_mask_shift_crop": "SELECT o_orderkey, CAST(o_orderdate - INTERVAL 12 HOUR AS DATE) AS day, lat, lon, round(CAST(CAST(CASE WHEN o_totalprice < 250000 THEN o_totalprice END AS FLOAT) AS DOUBLE), 2) AS value FROM (SELECT *, CAST(-70 + o_custkey % 160 AS DOUBLE) AS lat, CAST(-180 + o_custkey % 360 AS DOUBLE) AS lon FROM orders) WHERE lat BETWEEN -60 AND 80 AND lon BETWEEN -180 AND 180",
-    "regrid_half_cell": sql("dense", "SELECT a.day, CAST(a.i AS INTEGER) AS row, CAST(a.j AS INTEGER) AS col, round((a.v + b.v + c.v + d.v) / 4, 6) AS value FROM g a JOIN g b ON b.day = a.day AND b.i = a.i + 1 AND b.j = a.j JOIN g c ON c.day = a.day AND c.i = a.i AND c.j = a.j + 1 JOIN g d ON d.day = a.day AND d.i = a.i + 1 AND d.j = a.j + 1", g="SELECT day, px // 5 AS i, px % 5 AS j, v FROM dense"),
+    "regrid_half_cell": sql("dense", "SELECT day, CAST(i AS INTEGER) AS row, CAST(j AS INTEGER) AS col, round((v + d + r + dr) / 4, 6) AS value FROM corner WHERE i < 4 AND j < 4", **_corners("SELECT day, px // 5 AS i, px % 5 AS j, v FROM dense")),
     "land_fraction_mask": sql("dense", "SELECT day, CAST(px // 5 AS INTEGER) AS row, CAST(px % 5 AS INTEGER) AS col, round(CASE WHEN n_regionkey / 4.0 >= 0.5 THEN v END, 6) AS value FROM dense JOIN nation ON n_nationkey = px"),
     "quality_threshold": sql("dense", "SELECT px, day, CASE WHEN n >= 2 THEN round(v, 9) END AS v, CASE WHEN n >= 2 THEN n ELSE 0 END AS n FROM dense"),
     "tile_counts": sql("dense", "SELECT CAST(least(px // 5 // 3, 1) AS INTEGER) AS tile_i, CAST(least(px % 5 // 2, 2) AS INTEGER) AS tile_j, count(v) AS observed FROM dense GROUP BY ALL"),
     "event_type_daily": """WITH e AS (SELECT user_id AS px, CAST(ts AS DATE) AS day, round(avg(value), 9) AS value, count(*) AS n FROM events GROUP BY ALL),
         d AS (SELECT px, CAST(g AS DATE) AS day FROM (SELECT DISTINCT px FROM e), generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) AS s(g))
         SELECT px, day, n, CASE WHEN count(value) OVER w >= 2 THEN round(avg(value) OVER w, 6) END AS mean_5d FROM d LEFT JOIN e USING (px, day) WINDOW w AS (PARTITION BY px ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
+    "catalogue_csv": sql("cat", "SELECT CAST(4 + px // 5 * 4 AS DOUBLE) AS lat, CAST(-18 + px % 5 * 7 AS DOUBLE) AS lon, start, \"end\", length, round(max_intensity, 6) AS max_intensity FROM cat"),
+    "enriched_csv": "SELECT CAST(4 + px // 5 * 4 AS DOUBLE) AS lat, CAST(-18 + px % 5 * 7 AS DOUBLE) AS lon, start, \"end\", CAST(\"end\" - start AS INTEGER) AS length, value FROM (" + _enrich("max(zu)", 0, 20) + ")",
+    "numbers_text": sql("dense", "SELECT round(v, 9) AS value, count(*) AS n FROM dense WHERE v IS NOT NULL GROUP BY ALL UNION ALL SELECT NULL, count(*) FROM dense WHERE v IS NULL HAVING count(*) > 0"),
+    "count_map_npy": sql("ev", "SELECT CAST(n_nationkey // 5 AS INTEGER) AS i, CAST(n_nationkey % 5 AS INTEGER) AS j, CAST(n AS DOUBLE) AS value FROM nation LEFT JOIN (SELECT px, count(*) AS n FROM ev GROUP BY px) ON px = n_nationkey"),
+    "year_tables": sql("dense", "SELECT px, day, round(v, 9) AS v FROM dense WHERE year(day) BETWEEN 1996 AND 1998"),
+    "files_by_name": sql("dense", "SELECT px, count(*) AS days, count(v) AS observed FROM dense WHERE year(day) IN (1997, 1998) GROUP BY px"),
+    "anomaly_job": sql("dense", """SELECT a.px, a.day, round(a.value, 5) AS value, round((a.value - m) / s, 5) AS z FROM job a JOIN jc c ON c.px = a.px AND c.md = strftime(a.day, '%m-%d')""",
+        **_corners("SELECT CAST(day - 1 AS DATE) AS day, px // 5 AS i, px % 5 AS j, CASE WHEN v < 45 THEN v END AS v FROM dense WHERE year(day - 1) BETWEEN 1996 AND 1999"),
+        jv="SELECT day, CAST(i * 5 + j AS INTEGER) AS px, CAST(CAST((v + d + r + dr) / 4 AS FLOAT) AS DOUBLE) AS value FROM corner JOIN nation ON n_nationkey = i * 5 + j WHERE i < 3 AND j < 4 AND n_regionkey / 4.0 >= 0.5",
+        job="SELECT c.px, c.day, value FROM cal c LEFT JOIN jv USING (px, day) WHERE c.px // 5 < 4 AND c.px % 5 < 4 AND year(c.day) BETWEEN 1996 AND 1999",
+        jc="SELECT a.px, strftime(a.day, '%m-%d') AS md, avg(b.value) AS m, CASE WHEN stddev_pop(b.value) > 1e-7 THEN stddev_pop(b.value) END AS s FROM job a JOIN job b ON a.px = b.px AND b.day BETWEEN a.day - 3 AND a.day + 3 GROUP BY ALL"),
+    "composites_all": sql("evq lc zz", "SELECT variable, land_cover, CAST(quartile AS INTEGER) AS quartile, lag, round(avg(x), 6) AS composite_mean, count(x) AS composite_n FROM wide WHERE land_cover IS NOT NULL AND quartile > 0 GROUP BY ALL HAVING count(x) > 0",
+        gq=f"SELECT e.px, e.start, quartile, {_GROUP} AS land_cover FROM (SELECT px, start, quartile, {_START_YEAR} AS y FROM evq) e JOIN lc ON lc.px = e.px AND lc.year = y",
+        sp="SELECT *, CAST(k AS INTEGER) AS lag, start + CAST(k AS INTEGER) AS day FROM gq, range(-120, 121) AS g(k)",
+        two="SELECT 'v' AS variable, px, day, z AS x FROM zz UNION ALL SELECT 'u', px, day, zu FROM zz",
+        wide="SELECT variable, land_cover, quartile, lag, x FROM sp JOIN two USING (px, day)"),
+    "composite_wide": sql("ev zz", "SELECT lag, round(avg(zu), 6) AS composite_mean, count(zu) AS composite_n FROM sp LEFT JOIN zz USING (px, day) GROUP BY lag", sp="SELECT px, CAST(k AS INTEGER) AS lag, start + CAST(k AS INTEGER) AS day FROM ev, range(-240, 241) AS g(k)"),
+    "common_span": sql("obs", "SELECT px, min(day) AS first, count(*) AS n, max(day) AS last FROM obs, (SELECT min(day) FILTER (day >= DATE '1996-02-10') AS lo, max(day) FILTER (day <= DATE '1999-10-20') AS hi FROM obs) WHERE day BETWEEN lo AND hi GROUP BY px"),
+    "valid_places": "SELECT n_nationkey AS px FROM nation WHERE n_regionkey > 0 AND (n_nationkey % 3 = 0 OR n_nationkey % 2 = 0)",
+    "nearest_pixels": "SELECT c_custkey, round(lat, 3) AS lat, round(lon, 3) AS lon, CAST(round((lat + 59.875) / 0.25) * 1440 + round((lon + 179.875) / 0.25) AS INTEGER) AS pixel FROM (SELECT c_custkey, -59.95::DOUBLE + c_custkey % 1000 * 0.1370001::DOUBLE AS lat, -179.9::DOUBLE + c_custkey % 700 * 0.5110003::DOUBLE AS lon FROM customer)",
+    "sensitivity_map": _sensitivity("SELECT CAST(i AS INTEGER) AS box_i, CAST(j AS INTEGER) AS box_j, sensitivity, n FROM range(4) a(i), range(4) b(j) LEFT JOIN sens ON box_i = i AND box_j = j"),
+    "event_clusters_wide": sql("ky", "SELECT px, start, cluster_id FROM ky JOIN cl ON k = key", True, **{k: q.format(reach=7) for k, q in _CLUSTERS.items()}),
+    "cluster_sizes": sql("ky", "SELECT cluster_id, count(*) AS n FROM ky JOIN cl ON k = key GROUP BY cluster_id", True, **{k: q.format(reach=1) for k, q in _CLUSTERS.items()}),
 }

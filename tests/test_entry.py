@@ -8,7 +8,7 @@ from fluxpanel import catalog
 
 SF = "/root/testdata/sf0.01"
 #: A query of each kind; the rest differ in a frame or an aggregate.
-CHOSEN = "rolling_leading_max climatology std_anomaly detrend event_catalogue_growing_season runs_of_mask land_cover_daily composite_land_cover composite_weighted_quartile event_percentiles enrich_weighted_max regional_catalogue kde_by_quartile mann_whitney sensitivity event_clusters bootstrap_bound regrid_half_cell".split()
+CHOSEN = "rolling_leading_max climatology std_anomaly detrend event_catalogue_growing_season runs_of_mask land_cover_daily composite_land_cover composite_weighted_quartile event_percentiles enrich_weighted_max regional_catalogue kde_by_quartile mann_whitney sensitivity event_clusters bootstrap_bound regrid_half_cell catalogue_csv numbers_text count_map_npy year_tables anomaly_job composites_all sensitivity_map nearest_pixels".split()
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
