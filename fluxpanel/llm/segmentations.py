@@ -347,7 +347,9 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, id_col:
 
     Up to k rows a text, in the order of their perturbed scores; fewer where it has fewer segmentations (their inclusion
     is certain). A null or empty text has the one empty segmentation. roundtrip says that the decoded ids are the text
-    in the library's form. Rows that share an id and text get the same samples.
+    in the library's form. Rows that share an id and text get the same samples. A null id stays null, and its text is the row key.
+    Equal scores go to the earlier step. Texts are sampled whole, however long. Columns other than the two named are not read, whatever
+    their names. An empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
 
