@@ -54,7 +54,13 @@ def event_rows(spark: SparkSession, sf: str, rule: Rule = RULE) -> tuple[DataFra
 
 def onsets(spark: SparkSession, sf: str) -> DataFrame:
     """The events, written once: a few rows a place that plans below read more than once."""
-    return materialised(event_rows(spark, sf)[0])
+    return materialised(events.intervals(feats(spark, sf), RULE))
+
+
+def onsets_and_panel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The events and the panel with z and zu that they are from, each written once."""
+    both = materialised(zu_panel(spark, sf))
+    return materialised(events.intervals(events.features(both), RULE)), both
 
 
 def located(cat: DataFrame) -> DataFrame:
@@ -177,58 +183,61 @@ def top_land_cover_map(spark, sf):
 
 
 def composite_plain(spark, sf):
-    return r(composite.composite(onsets(spark, sf), zu_panel(spark, sf), "zu", LAGS), "composite_mean")
+    return r(composite.composite(*onsets_and_panel(spark, sf), "zu", LAGS), "composite_mean")
 
 
 def composite_spread(spark, sf):
-    return r(composite.composite(onsets(spark, sf), zu_panel(spark, sf), "zu", LAGS, spread=True), "composite_mean", "composite_std")
+    return r(composite.composite(*onsets_and_panel(spark, sf), "zu", LAGS, spread=True), "composite_mean", "composite_std")
 
 
 def composite_land_cover(spark, sf):
     cover, key = land_cover(spark, sf)
-    rows = landcover.class_of_day(onsets(spark, sf), cover, "start", *YEARS)
+    found, both = onsets_and_panel(spark, sf)
+    rows = landcover.class_of_day(found, cover, "start", *YEARS)
     rows = rows.withColumn("land_cover", landcover.group_name(F.col("class"), key)).filter("land_cover is not null")
-    return r(composite.composite(rows, zu_panel(spark, sf), "zu", LAGS, by=["land_cover"]), "composite_mean")
+    return r(composite.composite(rows, both, "zu", LAGS, by=["land_cover"]), "composite_mean")
 
 
 def composite_one_group(spark, sf):
     cover, key = land_cover(spark, sf)
-    rows = landcover.in_group(onsets(spark, sf), cover, key, "all_cropland_rainfed", "start", first=YEARS[0], last=YEARS[1])
-    return r(composite.composite(rows, zu_panel(spark, sf), "zu", LAGS), "composite_mean")
+    found, both = onsets_and_panel(spark, sf)
+    rows = landcover.in_group(found, cover, key, "all_cropland_rainfed", "start", first=YEARS[0], last=YEARS[1])
+    return r(composite.composite(rows, both, "zu", LAGS), "composite_mean")
 
 
 def composite_weighted(spark, sf):
-    return r(composite.composite(onsets(spark, sf), zu_panel(spark, sf), "zu", LAGS, weight="n", least=2), "composite_mean", "composite_total_obs")
+    return r(composite.composite(*onsets_and_panel(spark, sf), "zu", LAGS, weight="n", least=2), "composite_mean", "composite_total_obs")
 
 
-def peaks(spark, sf) -> DataFrame:
+def peaks(found: DataFrame, both: DataFrame) -> DataFrame:
     """Event starts with the greatest u of the next 20 days, of days with two lines or more."""
-    p = ingest.least_count(panel(spark, sf), "u", "n", 2).select("px", "day", frames.leading_max("u", 20, 2).alias("peak"))
-    return onsets(spark, sf).join(p.withColumnRenamed("day", "start"), ["px", "start"], "left")
+    p = ingest.least_count(both, "u", "n", 2).select("px", "day", frames.leading_max("u", 20, 2).alias("peak"))
+    return found.join(p.withColumnRenamed("day", "start"), ["px", "start"], "left")
 
 
 def event_percentiles(spark, sf):
-    return r(percentile_table(peaks(spark, sf), "peak"), "value")
+    return r(percentile_table(peaks(*onsets_and_panel(spark, sf)), "peak"), "value")
 
 
 def event_quartiles(spark, sf):
-    return r(with_quartile(peaks(spark, sf), "peak").select("px", "start", "peak", F.coalesce("quartile", F.lit(0)).alias("quartile")), "peak")
+    return r(with_quartile(peaks(*onsets_and_panel(spark, sf)), "peak").select("px", "start", "peak", F.coalesce("quartile", F.lit(0)).alias("quartile")), "peak")
 
 
-def _by_quartile(spark, sf):
-    return with_quartile(peaks(spark, sf), "peak").filter("quartile is not null")
+def _by_quartile(spark, sf) -> tuple[DataFrame, DataFrame]:
+    found, both = onsets_and_panel(spark, sf)
+    return with_quartile(peaks(found, both), "peak").filter("quartile is not null"), both
 
 
 def composite_quartile(spark, sf):
-    return r(composite.composite(_by_quartile(spark, sf), zu_panel(spark, sf), "zu", LAGS, by=["quartile"]), "composite_mean")
+    return r(composite.composite(*_by_quartile(spark, sf), "zu", LAGS, by=["quartile"]), "composite_mean")
 
 
 def composite_weighted_quartile(spark, sf):
-    return r(composite.composite(_by_quartile(spark, sf), zu_panel(spark, sf), "zu", LAGS, by=["quartile"], weight="n", least=2), "composite_mean", "composite_total_obs")
+    return r(composite.composite(*_by_quartile(spark, sf), "zu", LAGS, by=["quartile"], weight="n", least=2), "composite_mean", "composite_total_obs")
 
 
 def composite_smoothed(spark, sf):
-    return r(composite.smoothed(composite.composite(onsets(spark, sf), zu_panel(spark, sf), "zu", LAGS)), "composite_mean", "composite_smooth")
+    return r(composite.smoothed(composite.composite(*onsets_and_panel(spark, sf), "zu", LAGS)), "composite_mean", "composite_smooth")
 
 
 # --- enrichment
@@ -237,7 +246,7 @@ def composite_smoothed(spark, sf):
 def _enrich(kind, smooth=None, first=0, last=20):
     def run(spark, sf):
         name = enrich.column_name("u", kind, first, last, smooth=smooth)
-        out = enrich.add_window(onsets(spark, sf), zu_panel(spark, sf), "zu", "u", kind, first, last, smooth, span=SPAN)
+        out = enrich.add_window(*onsets_and_panel(spark, sf), "zu", "u", kind, first, last, smooth, span=SPAN)
         return r(out, name).withColumnRenamed(name, "value")
 
     return run
@@ -246,7 +255,8 @@ def _enrich(kind, smooth=None, first=0, last=20):
 def _enrich_weighted(kind, smooth=None, first=0, last=20, compat=False):
     def run(spark, sf):
         name, count = (enrich.column_name("u", kind, first, last, True, smooth, p) for p in ("std_anom", "n"))
-        out = enrich.add_weighted_window(onsets(spark, sf), zu_panel(spark, sf).select("px", "day", "zu", "n"), "zu", "n", "u", kind, first, last, 2, smooth, span=SPAN, compat_argmin=compat)
+        found, both = onsets_and_panel(spark, sf)
+        out = enrich.add_weighted_window(found, both.select("px", "day", "zu", "n"), "zu", "n", "u", kind, first, last, 2, smooth, span=SPAN, compat_argmin=compat)
         return r(out, name, count).withColumnRenamed(name, "value").withColumnRenamed(count, "obs")
 
     return run
@@ -270,8 +280,8 @@ def catalogue_bands(spark, sf):
 
 def enriched(spark, sf) -> DataFrame:
     """Events with a response and a predictor: greatest zu of 0..20 and mean z of -30..-1."""
-    p = materialised(zu_panel(spark, sf))
-    out = enrich.add_window(onsets(spark, sf), p, "zu", "u", "max", 0, 20, span=SPAN)
+    found, p = onsets_and_panel(spark, sf)
+    out = enrich.add_window(found, p, "zu", "u", "max", 0, 20, span=SPAN)
     out = enrich.add_window(out, p, "z", "z", "mean", -30, -1, span=SPAN)
     response, predictor = enrich.column_name("u", "max", 0, 20), enrich.column_name("z", "mean", -30, -1)
     return materialised(out.select("px", "start", "end", F.round(f"`{response}`", 9).alias("response"), F.round(f"`{predictor}`", 9).alias("predictor")))
@@ -296,26 +306,32 @@ def mann_whitney(spark, sf):
 
 def box_sensitivity(spark, sf):
     box = lambda c: grid.box_index(c, 2)
-    rows = onsets(spark, sf).withColumn("box_i", box(F.floor(F.col("px") / 5))).withColumn("box_j", box(F.col("px") % 5))
-    return r(sensitivity.sensitivity(rows, zu_panel(spark, sf), "z", "zu", ["box_i", "box_j"], least=20), "sensitivity").withColumn("n", F.col("n").cast("bigint"))
+    found, both = onsets_and_panel(spark, sf)
+    rows = found.withColumn("box_i", box(F.floor(F.col("px") / 5))).withColumn("box_j", box(F.col("px") % 5))
+    return r(sensitivity.sensitivity(rows, both, "z", "zu", ["box_i", "box_j"], least=20), "sensitivity").withColumn("n", F.col("n").cast("bigint"))
 
 
-def keyed(spark, sf):
-    cat = onsets(spark, sf).withColumn("row", F.floor(F.col("px") / 5).cast("int")).withColumn("col", F.col("px") % 5)
+def keyed(found: DataFrame) -> DataFrame:
+    cat = found.withColumn("row", F.floor(F.col("px") / 5).cast("int")).withColumn("col", F.col("px") % 5)
     return cat.withColumn("key", F.datediff("start", F.lit("1995-01-01").cast("date")).cast("bigint") * 100 + F.col("px"))
 
 
 def event_clusters(spark, sf):
-    return clusters.cluster(keyed(spark, sf), reach=1).select("px", "start", "cluster_id")
+    return clusters.cluster(keyed(onsets(spark, sf)), reach=1).select("px", "start", "cluster_id")
+
+
+def _clustered(spark, sf) -> DataFrame:
+    rows = enriched(spark, sf)
+    return clusters.add_clusters(rows, clusters.cluster(keyed(rows), reach=0))
 
 
 def bootstrap_samples(spark, sf):
-    rows = clusters.add_clusters(enriched(spark, sf), clusters.cluster(keyed(spark, sf), reach=0))
+    rows = _clustered(spark, sf)
     return r(stats.bootstrap(rows, "response", "predictor", "cluster_id", iterations=100), "p")
 
 
 def bootstrap_bound(spark, sf):
-    rows = clusters.add_clusters(enriched(spark, sf), clusters.cluster(keyed(spark, sf), reach=0))
+    rows = _clustered(spark, sf)
     return r(stats.bound(stats.bootstrap(rows, "response", "predictor", "cluster_id", iterations=100)), "bound")
 
 
@@ -426,14 +442,14 @@ def anomaly_job(spark, sf):
 def composites_all(spark, sf):
     """Composites of two variables by land cover and quartile, 120 lags, in one pass over the panel."""
     cover, key = land_cover(spark, sf)
-    both = materialised(zu_panel(spark, sf).select("px", "day", "z", "zu"))
+    found, both = onsets_and_panel(spark, sf)
     stack = jobs.stacked({"v": both.select("px", "day", F.col("z"))}).unionByName(jobs.stacked({"u": both.select("px", "day", F.col("zu"))}, "zu"))
-    rows = materialised(peaks(spark, sf))
+    rows = materialised(peaks(found, both))
     return r(jobs.all_composites(rows, stack, cover, key, lags=120, quartiles="peak", first=YEARS[0], last=YEARS[1]).filter("composite_n > 0"), "composite_mean")
 
 
 def composite_wide(spark, sf):
-    return r(composite.composite(onsets(spark, sf), zu_panel(spark, sf), "zu", 240), "composite_mean")
+    return r(composite.composite(*onsets_and_panel(spark, sf), "zu", 240), "composite_mean")
 
 
 def common_span(spark, sf):
@@ -461,11 +477,11 @@ def sensitivity_map(spark, sf):
 
 
 def event_clusters_wide(spark, sf):
-    return clusters.cluster(keyed(spark, sf)).select("px", "start", "cluster_id")
+    return clusters.cluster(keyed(onsets(spark, sf))).select("px", "start", "cluster_id")
 
 
 def cluster_sizes(spark, sf):
-    return clusters.sizes(clusters.cluster(keyed(spark, sf), reach=1))
+    return clusters.sizes(clusters.cluster(keyed(onsets(spark, sf)), reach=1))
 
 
 QUERIES = {

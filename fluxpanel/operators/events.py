@@ -2,14 +2,14 @@
 
 A start day has a prior mean above one limit and a coming minimum below another. From it, the event begins on the first
 later day whose smoothed value is below the threshold and ends on the first day after that which is not (a missing value
-ends it too). Short events are left out. All of it is two backward running minima and equi-joins.
+ends it too). Short events are left out. All of it is running windows of a place, which share one exchange.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import centred_mean, centred_min, first_after, leading_min, onset, trailing_mean
@@ -40,9 +40,12 @@ def is_start(rule: Rule) -> Column:
 def intervals(feats: DataFrame, rule: Rule = Rule(), peak: DataFrame | None = None) -> DataFrame:
     """px, start, end of each event, end not included. With ``peak`` (px, peak_month) only events in the growing season stay."""
     low = F.coalesce(F.col("p") < rule.below, F.lit(False))
-    runs = feats.select("px", "day", "p", is_start(rule).alias("starts"), first_after(low).alias("reached"), first_after(~low).alias("over"))
-    begun = runs.filter("starts and reached is not null").select("px", F.col("reached").alias("day")).distinct()
-    found = begun.join(runs.select("px", "day", "over"), ["px", "day"]).filter(F.datediff("over", "day") >= rule.min_days)
+    before = Window.partitionBy("px").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda flag: F.max(F.when(flag, F.col("day"))).over(before)
+    runs = feats.select("px", "day", low.alias("_low"), last(is_start(rule)).alias("_start"), last(low).alias("_seen"), first_after(~low).alias("over"))
+    # the first low day after a start: no low day lies between the two, but the start may be one itself
+    begun = runs.filter(F.col("_low") & F.coalesce(F.col("_start") >= F.col("_seen"), F.col("_start").isNotNull()))
+    found = begun.filter(F.datediff("over", "day") >= rule.min_days).select("px", "day", "over")
     if peak is not None:
         apart = F.abs(F.month("day") - F.col("peak_month"))
         found = found.join(peak, "px").filter((apart <= 1) | (apart == 11))
