@@ -28,8 +28,8 @@ from .components import components
 from .shared import broadcast_value, written
 
 ROWS, BANDS = 4, 24
-#: Texts of a block: a task gets one pair of blocks or several.
-BLOCK = 256
+#: Texts of a block, and shingles of its texts: a task gets one pair of blocks or several.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 22
 MAX_BITS = 1 << 30
 COLUMNS = 4096
 
@@ -223,13 +223,13 @@ def by_cheaper_groups(ties: DataFrame, where: DataFrame, block: int) -> DataFram
     return written(where.join(less, "cluster", "left_anti").select("id", "cluster", "component").unionByName(split), "where")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """id, n_shingles, component_id, kept of every row; ids are whole numbers.
 
     Texts are linked when 100 * |A and B| >= percent * |A or B| for their sets of ``size``-word shingles, A-Z lower-cased.
     A text of fewer words has its whole sequence as its one shingle; a null, empty or blank text has none and is linked
-    with nothing. Ids should be unique; where rows share one, each row is judged by its own text, but an id that stands for several
-    texts joins their components. Of a component, the row (or rows) of the smallest id is kept; equal texts are one component. A row with a null id has a null
+    with nothing. Ids should be unique; where rows share one, each row is judged by its own text (one without words by itself), but an id that
+    stands for several texts joins their components. Of a component, the row (or rows) of the smallest id is kept; equal texts are one component. A row with a null id has a null
     component and is kept. Texts are read whole, however long. Columns other than the two named are not read, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -255,8 +255,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             b = b.take(pa.array(keep))
             for i, n, data, at in K.slices(K.texts(b.column("text")), 1 << 20):
                 sets, off = shingle_sets(data, at, size)
+                full = np.flatnonzero(np.diff(off))  # an id may stand for an empty text too; that links nothing
                 raw, off = sets.tobytes(), (off * 8).tolist()
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, n), pa.array([raw[p:q] for p, q in zip(off, off[1:], strict=False)], pa.binary())], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, n).take(pa.array(full)), pa.array([raw[off[j] : off[j + 1]] for j in full.tolist()], pa.binary())], ["id", "set"])
 
     placed = narrow.filter("id is not null").withColumn("place", F.xxhash64("id").bitwiseAND(F.lit(bits - 1)))
     sets = written(placed.mapInArrow(sets_of, "id bigint, set binary"), "candidates")
@@ -272,13 +273,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cluster = written(components(ties, "id", "pivot"), "cluster")
     where = cluster.select("node", F.col("component").alias("cluster")).join(first, "node", "left").select(F.col("node").alias("id"), "cluster", F.coalesce("component", "node").alias("component"))
     where = by_cheaper_groups(ties, written(where, "where"), block)
-    parts = where.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    parts = written(parts.withColumn("big", F.col("n") >= block), "parts")
+    # a block has ``block`` texts or ``shingles`` shingles, whichever is less, so that very long texts get more blocks
+    weight = member.filter("bands is not null").groupBy(F.col("id").alias("_i")).agg((F.lit(1.0) / block + F.sum("n") / F.lit(float(shingles))).alias("w"))
+    parts = where.join(weight, F.col("id") == F.col("_i")).groupBy("cluster", "component").agg(F.sum("w").alias("w"))
+    parts = written(parts.withColumn("big", F.col("w") >= 1), "parts")
     from pyspark.sql import Window
 
     starts = Window.partitionBy("cluster").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
-    small = parts.filter("not big").groupBy("cluster").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).select("cluster", F.ceil(F.col("n") / F.lit(block)).alias("pools"), "c")
-    big = parts.filter("big").withColumn("own", F.ceil(F.col("n") / F.lit(block)))
+    small = parts.filter("not big").groupBy("cluster").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("c")).select("cluster", F.ceil("w").alias("pools"), "c")
+    big = parts.filter("big").withColumn("own", F.ceil("w"))
     shape = big.groupBy("cluster").agg(F.sum("own").alias("own"), F.count(F.lit(1)).alias("bigs"))
     shape = small.join(shape, "cluster", "full_outer").select("cluster", F.coalesce("pools", F.lit(0)).alias("pools"), (F.coalesce("pools", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("blocks"), (F.coalesce("c", F.lit(0)) + F.coalesce("bigs", F.lit(0))).alias("comps"))
     shape = written(shape.filter("comps > 1"), "shape")

@@ -127,6 +127,37 @@ def test_near_edge_tables(spark):
     assert near_dedup(df.limit(0)).count() == 0
 
 
+def alike(seed, changed, length=200):
+    """Two texts of one length, ``changed`` words of the second replaced in one stretch."""
+    rnd = random.Random(seed)
+    a = [f"w{rnd.randrange(10**6)}" for _ in range(length)]
+    return " ".join(a), " ".join([*(f"z{rnd.randrange(10**6)}" for _ in range(changed)), *a[changed:]])
+
+
+@pytest.mark.parametrize("changed,linked", [(8, True), (50, False)])
+@pytest.mark.parametrize("blank", ["", None, " \n"])
+def test_near_ids_shared_with_texts_without_words(spark, changed, linked, blank):
+    a, b = alike(1, changed)
+    rows = near_dedup(frame(spark, [a, blank, b, alike(2, 0)[0], blank], [1, 1, 2, 3, 2]), size=3, percent=85).collect()
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows)
+    two = 1 if linked else 2
+    assert got == sorted([(1, 198, 1), (1, 0, 1), (2, 198, two), (2, 0, 2), (3, 198, 3)])
+
+
+def test_near_ids_shared_by_unlike_texts(spark):
+    (a, b), (c, d) = alike(3, 8), alike(4, 50)
+    rows = near_dedup(frame(spark, [a, c, b, d], [1, 1, 2, 5]), size=3, percent=85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(1, 1), (1, 1), (2, 1), (5, 5)]
+
+
+@pytest.mark.parametrize("shingles", [150, 700])
+def test_near_blocks_of_long_texts_are_bounded_by_shingles(spark, shingles):
+    texts = near_texts(5)
+    _, comp = near_brute(texts, 3, 85)
+    rows = {r["doc_id"]: r["component_id"] for r in near_dedup(frame(spark, texts), size=3, percent=85, shingles=shingles).collect()}
+    assert [rows[i] for i in range(len(texts))] == comp
+
+
 def substring_brute(rows, window):
     seen, out = set(), {}
     for i, text in sorted(rows):

@@ -159,5 +159,14 @@ def test_pipeline_runs_on_edge_rows(spark, tmp_path):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
 
 
+@pytest.mark.parametrize("changed,kept", [(4, {1}), (50, {1, 2})])
+def test_pipeline_near_stage_with_an_id_of_a_text_and_an_empty_text(spark, changed, kept):
+    words = fresh(200, 77).split()
+    other = " ".join([*fresh(changed, 78).split(), *words[changed:]])
+    rows = [(1, " ".join(words)), (1, ""), (1, None), (2, other)]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == kept
+
+
 def test_pipeline_runs_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, tables(spark, tmp_path, [], [])).count() == 0
