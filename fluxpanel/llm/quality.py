@@ -1,8 +1,8 @@
 """Quality rules: statistics of each whole text, base limits, then an isolation forest with a calibrated threshold.
 
-The statistics are made in one pass and written; the forest is grown on the driver from ``TREES`` x ``SAMPLE`` rows that
-a hash of the id picks among the rows that pass the base limits (a bounded sample, as the method has it: each tree sees
-``SAMPLE`` rows). Every row is then scored once. The threshold comes from the scores of all labelled rows, good and bad ones,
+The statistics are made in one pass and written; the forest is grown on the driver from about ``TREES`` x ``SAMPLE`` rows of those that
+pass the base limits (a bounded sample, as the method has it: each tree sees ``SAMPLE`` rows). Rows of equal statistics are counted, and
+each such group sends its share of the sample, rounded up or down by a hash of the statistics: ids play no part in it. Every row is then scored once. The threshold comes from the scores of all labelled rows, good and bad ones,
 that pass the base limits.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import bounded_sample, broadcast_value, written
+from .shared import broadcast_value, written
 
 TREES, SAMPLE = 100, 256
 #: Relative chance of each of ``features`` to be split on. Most texts repeat nothing, so that splits on repeats alone would isolate good texts.
@@ -139,6 +139,17 @@ def best_step(good: np.ndarray, bad: np.ndarray, keep_good: float = KEEP_GOOD) -
     return int(best[len(best) // 2])
 
 
+def sampled(table: DataFrame, size: int) -> np.ndarray:
+    """STATS of about ``size`` rows, in ascending order: of c equal rows among n, c * size / n, rounded by chance; all rows where there are no more than ``size``."""
+    groups = written(table.groupBy(*STATS).agg(F.count(F.lit(1)).alias("c")), "vectors")
+    total = groups.agg(F.sum("c")).first()[0] or 0
+    chance = F.pmod(F.xxhash64(F.lit(17), *STATS), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    take = F.floor(F.col("c") * F.lit(size / total) + chance) if total > size else F.col("c")
+    got = groups.select(*STATS, take.alias("k")).filter("k > 0").toPandas().astype(np.int64)  # about ``size`` rows at most
+    got = got.sort_values(STATS)
+    return np.repeat(got[STATS].to_numpy().reshape(-1, len(STATS)), got["k"].to_numpy(), axis=0)
+
+
 def _stats_batches(batches):
     for b in batches:
         stats = text_stats(b.column("text"))
@@ -151,7 +162,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_
     ``labels`` has doc_id and quality (1: good, 0: bad); null labels, labels of no row and ids with labels of both kinds are not used.
     Without labelled good rows the forest rejects nothing. A null text has no words and fails the base limits. A row whose
     score ties with the threshold's step is rejected like those above. Rows with a null id are judged like others. Repeated rows give repeated rows
-    with one verdict. Texts are read whole, however long. Columns other than the two named are not read, whatever their names. An empty table gives no rows.
+    with one verdict, whatever their number and their ids. Texts are read whole, however long. Columns other than the two named are not read, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)
@@ -159,10 +170,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_
     schema = f"doc_id {kinds[id_col]}, " + ", ".join(f"{c} bigint" for c in STATS)
     table = written(narrow.mapInArrow(_stats_batches, schema), "quality")
     failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
-    # the sample: the rows of smallest hash, TREES * SAMPLE at most
-    fit = table.filter(~failed)
-    grown = bounded_sample(fit.select("doc_id", *STATS), trees * sample, F.xxhash64(F.lit(17), F.col("doc_id")), fit.count()).toPandas()
-    forest = broadcast_value(spark, grow_forest(features(grown[STATS].to_numpy(np.int64).reshape(-1, len(STATS))), trees, sample, chance=CHANCE))
+    forest = broadcast_value(spark, grow_forest(features(sampled(table.filter(~failed), trees * sample)), trees, sample, chance=CHANCE))
 
     def score(batches):
         for b in batches:

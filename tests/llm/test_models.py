@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fluxpanel.llm import kernel as K
 from fluxpanel.llm import quality, queries, segmentations, toxicity
@@ -220,6 +221,22 @@ def test_quality_query_equals_brute_force(spark, tmp_path, monkeypatch):
     assert sum(not r["kept"] and not r["base_failed"] for r in rows) >= 35
 
 
+def test_quality_sample_is_the_same_for_any_ids(spark):
+    """More rows than the sample has, all of one id, of few ids, and of their own ids; one text is a third of all rows."""
+    rnd = random.Random(9)
+    texts = [" ".join("ab" * rnd.choice([1, 2, 3]) + "#" * (rnd.random() < 0.02) + f"{rnd.randrange(10**6)}" for _ in range(rnd.randrange(10, 40))) for _ in range(400)] + ["a b c d e f g h i j k"] * 200
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").crossJoin(spark.range(100).withColumnRenamed("id", "k"))
+    verdicts = []
+    for key in ("bigint(0)", "doc_id % 3", "doc_id * 100 + k"):
+        ids = df.select(F.expr(key).alias("doc_id"), "text", F.col("doc_id").alias("real"))
+        got = quality.quality_rules(ids, None)
+        assert got.count() == 60_000 > 2 * quality.TREES * quality.SAMPLE
+        verdicts.append(sorted(map(tuple, got.groupBy(*quality.STATS).agg(F.max("score").alias("s")).collect())))
+    assert verdicts[0] == verdicts[1] == verdicts[2] and max(v[-1] for v in verdicts[0]) > 0.4
+    one = quality.sampled(quality.quality_rules(df.select(F.lit(0).cast("bigint").alias("doc_id"), "text"), None).filter("not base_failed"), 6000)
+    assert 5900 < len(one) < 6100 and 1900 < (one[:, 0] == 11).sum() < 2200
+
+
 def test_quality_rows(spark):
     rnd = random.Random(1)
     texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(30, 200))) for _ in range(400)]
