@@ -25,6 +25,8 @@ ACCEPTING = (0, 3)
 # Costs of the edits.
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 ROLES = {"u": "user", "a": "assistant"}
+#: From any grammar state, what any other one accepts can be followed for two inserts and a delete more at most: paths that are further behind cannot win.
+BEHIND = DELETE + 2 * INSERT
 #: More inserts in a row lead back to a grammar state that fewer reach for less.
 MOST_INSERTS = 2
 FINE, CUT, GONE = range(3)
@@ -86,6 +88,7 @@ class Machine:
                 if to not in best or new < best[to]:
                     best[to] = new
         least = min(x[0] for x in best.values())
+        best = {s: x for s, x in best.items() if x[0] - least <= BEHIND}
         order = {x: i for i, x in enumerate(sorted({(x[1], x[2]) for x in best.values()}))}
         after = tuple((best[s][0] - least, order[best[s][1:3]]) if s in best else None for s in range(4))
         return after, least, tuple((best[s][3], best[s][2], best[s][4]) if s in best else None for s in range(4))

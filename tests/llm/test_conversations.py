@@ -72,7 +72,7 @@ def test_a_long_conversation_streams():
     for i, (role, text) in enumerate(rows):
         r.row(i, role, text, 0 if text[-1] == "." else 3, False)
     out = r.done()
-    assert len(out[6]) >= 50_000 and len(r.machine.steps) < 200
+    assert len(out[6]) >= 50_000 and len(r.machine.steps) < 500
 
 
 def brute(rows):
