@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import frames, grid
 from .functions.quartiles import percentile_table, quartile_of, with_quartile
-from .operators import anomaly, clusters, composite, enrich, events, landcover, regions, sensitivity, stats
+from .operators import anomaly, clusters, composite, enrich, events, landcover, parts, regions, sensitivity, stats
 from .operators.events import Rule
 from .oracle import ORACLE_SQL
 from .plans import jobs
@@ -113,6 +113,14 @@ def climatology(spark, sf):
     return r(r(anomaly.climatology(panel(spark, sf), "v"), "clim_mean", digits=9), "clim_std")
 
 
+def climatology_by_parts(spark, sf):
+    """The climatology of parts by year and by turn of the year, from a table by year."""
+    path = new_path(spark, "years")
+    ingest.write_years(panel(spark, sf).select("px", "day", "v"), path)
+    years = spark.read.parquet(path).drop("year")
+    return r(r(parts.merged(parts.year_parts(years, "v").unionByName(parts.turn_parts(years, "v"))), "clim_mean", digits=9), "clim_std")
+
+
 def std_anomaly(spark, sf):
     return r(z_panel(spark, sf).select("px", "day", "z"), "z")
 
@@ -492,6 +500,7 @@ QUERIES = {
     "rolling_leading_max": rolling_leading_max,
     "rolling_centred_min": rolling_centred_min,
     "climatology": climatology,
+    "climatology_by_parts": climatology_by_parts,
     "std_anomaly": std_anomaly,
     "anomaly_mean_only": anomaly_mean_only,
     "climatology_observed": climatology_observed,

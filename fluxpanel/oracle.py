@@ -135,6 +135,7 @@ ORACLE_SQL = {
     "rolling_leading_max": _frame("v", "max", "CURRENT ROW", "19 FOLLOWING", 2, "max_20d"),
     "rolling_centred_min": _frame("t", "min", "30 PRECEDING", "30 FOLLOWING", 1, "min_61d"),
     "climatology": sql("clim", "SELECT px, md, round(clim_mean, 9) AS clim_mean, round(clim_std, 6) AS clim_std FROM clim"),
+    "climatology_by_parts": sql("clim", "SELECT px, md, round(clim_mean, 9) AS clim_mean, round(clim_std, 6) AS clim_std FROM clim"),
     "std_anomaly": sql("anom", "SELECT px, day, round(z, 6) AS z FROM anom"),
     "anomaly_mean_only": sql("anom", "SELECT px, day, round(v - clim_mean, 9) + 0.0::DOUBLE AS d FROM anom"),
     "climatology_observed": sql("anom", "SELECT px, day, CASE WHEN v <> 0 THEN round(clim_mean, 9) END AS clim_mean, CASE WHEN v <> 0 THEN round(clim_std, 6) END AS clim_std FROM anom"),

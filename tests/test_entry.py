@@ -5,10 +5,11 @@ import duckdb
 import pytest
 
 from fluxpanel import catalog
+from jobs import queries as jobs
 
 SF = "/root/testdata/sf0.01"
 #: A query of each kind; the rest differ in a frame or an aggregate.
-CHOSEN = "rolling_leading_max climatology std_anomaly detrend event_catalogue_growing_season runs_of_mask land_cover_daily composite_land_cover composite_weighted_quartile event_percentiles enrich_weighted_max regional_catalogue kde_by_quartile mann_whitney sensitivity event_clusters bootstrap_bound regrid_half_cell catalogue_csv numbers_text count_map_npy year_tables anomaly_job composites_all sensitivity_map nearest_pixels".split()
+CHOSEN = "job1_yearly_anomalies job2_live_events climatology_by_parts rolling_leading_max climatology std_anomaly detrend event_catalogue_growing_season runs_of_mask land_cover_daily composite_land_cover composite_weighted_quartile event_percentiles enrich_weighted_max regional_catalogue kde_by_quartile mann_whitney sensitivity event_clusters bootstrap_bound regrid_half_cell catalogue_csv numbers_text count_map_npy year_tables anomaly_job composites_all sensitivity_map nearest_pixels".split()
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -26,8 +27,8 @@ def plain(value):
 
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query_equals_sql(spark, duck, name):
-    got = catalog.QUERIES[name](spark, SF)
-    res = duck.execute(catalog.ORACLE_SQL[name])
+    got = (catalog.QUERIES | jobs.QUERIES)[name](spark, SF)
+    res = duck.execute((catalog.ORACLE_SQL | jobs.ORACLE_SQL)[name])
     cols = [d[0] for d in res.description]
     assert sorted(got.columns) == sorted(cols)
     order = sorted(cols)
