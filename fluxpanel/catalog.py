@@ -335,12 +335,12 @@ def _clustered(spark, sf) -> DataFrame:
 
 def bootstrap_samples(spark, sf):
     rows = _clustered(spark, sf)
-    return r(stats.bootstrap(rows, "response", "predictor", "cluster_id", iterations=100), "p")
+    return r(stats.bootstrap(rows, "response", "predictor", "cluster_id"), "p")
 
 
 def bootstrap_bound(spark, sf):
     rows = _clustered(spark, sf)
-    return r(stats.bound(stats.bootstrap(rows, "response", "predictor", "cluster_id", iterations=100)), "bound")
+    return r(stats.bound(stats.bootstrap(rows, "response", "predictor", "cluster_id")), "bound")
 
 
 # --- ingest

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quartiles import quartile_of, with_quartile
+from ..functions.prefix import with_before
+from ..functions.quartiles import with_quartile
 from ..plans.panel import materialised
 
 
@@ -43,46 +44,44 @@ def mann_whitney(df: DataFrame, value: str, group: str, first, second, by: list[
     """u, p, n1, n2 by groups: U of ``first`` against ``second`` with ties counted half, and p = U / (n1 n2)."""
     by = by or []
     rows = df.filter(F.col(group).isin([first, second]) & F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), (F.col(group) == first).alias("_a"))
-    # equal values are counted first, so a running sum over distinct values replaces ranks of rows
+    # equal values are counted first, so a running sum over distinct values replaces ranks of rows; it runs over ranges of values
     counts = rows.groupBy(*by, "_v").agg(F.sum(F.col("_a").cast("bigint")).alias("a"), F.sum((~F.col("_a")).cast("bigint")).alias("b"))
-    below = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    won = counts.withColumn("w", F.col("a") * (F.coalesce(F.sum("b").over(below), F.lit(0)) + F.col("b") * 0.5))
+    won = with_before(counts, by, "_v", ["b"]).withColumn("w", F.col("a") * (F.col("b_before") + F.col("b") * 0.5))
     out = won.groupBy(*by).agg(F.sum("w").alias("u"), F.coalesce(F.sum("a"), F.lit(0)).alias("n1"), F.coalesce(F.sum("b"), F.lit(0)).alias("n2"))
     return out.withColumn("p", F.try_divide(F.col("u"), (F.col("n1") * F.col("n2")).cast("double")))
 
 
 def draw(iteration: Column, slot: Column, clusters: int) -> Column:
-    """A cluster number from 0 for each iteration and slot: the first seven hex digits of a digest, modulo the count."""
+    """A cluster number from 0 for each iteration and slot: the first fifteen hex digits of a digest, modulo the count."""
     text = F.concat_ws("-", iteration.cast("string"), slot.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint") % F.lit(clusters)
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % F.lit(clusters)
 
 
 def bootstrap(df: DataFrame, value: str, quartile_by: str, cluster: str, iterations: int = 1000, least_clusters: int = 10, reverse: bool = False) -> DataFrame:
     """iter, p: in each iteration clusters are drawn with replacement, all their rows taken, quartiles cut anew, and p = U(Q1 against Q4) / (n1 n4).
 
-    ``reverse`` gives 1 - p. Equal rows are counted, not repeated: draws of one cluster in one iteration become a weight.
+    ``reverse`` gives 1 - p. Equal rows are counted, not repeated: draws of one cluster in one iteration become a weight. Each cluster's number is a
+    slot that draws in every iteration, so draws are made where the clusters lie; ranks and quartile edges are running sums over
+    ranges of (iteration, value), so no task holds an iteration.
     """
-    spark = df.sparkSession
-    rows = materialised(df.dropna(subset=[value, quartile_by]).select(F.col(cluster).alias("_c"), F.col(value).alias("_v"), F.col(quartile_by).alias("_q")), "bootstrap")
+    rows = materialised(df.dropna(subset=[value, quartile_by]).groupBy(F.col(cluster).alias("_c"), F.col(value).alias("_v"), F.col(quartile_by).alias("_q")).agg(F.count(F.lit(1)).alias("_n")), "bootstrap")
     clusters, n = numbered(rows.select("_c").distinct(), "_c", "_k")
     if n < least_clusters:
         raise ValueError(f"{n} clusters; {least_clusters} are needed")
-    draws = spark.range(iterations).select(F.col("id").cast("int").alias("iter"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    draws = clusters.select(F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter"), F.col("_k").alias("slot"))
     draws = draws.withColumn("_k", draw(F.col("iter"), F.col("slot"), n)).groupBy("iter", "_k").agg(F.count(F.lit(1)).alias("times"))
-    taken = draws.join(clusters, "_k").join(rows, "_c").select("iter", "_v", "_q", "times")
-    # quartile edges by running sums over each iteration's sorted rows, which spill where a table of its values would not
-    whole = Window.partitionBy("iter")
-    ranked = taken.withColumns({"upto": F.sum("times").over(whole.orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("times").over(whole)})
-    picks = []
-    for i, share in enumerate((0.25, 0.5, 0.75)):
-        at = F.lit(share) * (F.col("total") - 1)
-        value_at = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("times") <= k), F.col("_q"))).over(whole)
-        lo, hi = F.floor(at), F.ceil(at)
-        picks.append(F.when(lo == hi, value_at(lo)).otherwise((hi - at) * value_at(lo) + (at - lo) * value_at(hi)).alias(f"e{i}"))
-    cut = ranked.select("iter", "_v", "_q", "times", F.array(*picks).alias("_edges")).withColumn("quartile", quartile_of(F.col("_q"), F.col("_edges"))).filter("quartile in (1, 4)")
-    counts = cut.groupBy("iter", "_v").agg(F.sum(F.when(F.col("quartile") == 1, F.col("times")).otherwise(0)).alias("a"), F.sum(F.when(F.col("quartile") == 4, F.col("times")).otherwise(0)).alias("b"))
-    below = Window.partitionBy("iter").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    won = counts.withColumn("w", F.col("a") * (F.coalesce(F.sum("b").over(below), F.lit(0)) + F.col("b") * 0.5))
+    taken = materialised(draws.join(clusters, "_k").join(rows, "_c").select("iter", "_v", "_q", (F.col("times") * F.col("_n")).alias("times")), "taken")
+    # quartile edges: the rows that hold the ranks on both sides of an edge
+    placed = with_before(taken.groupBy("iter", "_q").agg(F.sum("times").alias("w")), ["iter"], "_q", ["w"])
+    at = {share: F.lit(share) * (F.col("w_total") - 1) for share in (0.25, 0.75)}
+    holds = lambda k: F.max(F.when((F.col("w_before") <= k) & (k < F.col("w_before") + F.col("w")), F.col("_q")))
+    edges = placed.groupBy("iter").agg(*[holds(fn(x)).alias(f"{side}{i}") for i, x in enumerate(at.values()) for side, fn in (("lo", F.floor), ("hi", F.ceil))], *[F.max(x).alias(f"at{i}") for i, x in enumerate(at.values())])
+    between = lambda i: F.when(F.floor(f"at{i}") == F.ceil(f"at{i}"), F.col(f"lo{i}")).otherwise((F.ceil(f"at{i}") - F.col(f"at{i}")) * F.col(f"lo{i}") + (F.col(f"at{i}") - F.floor(f"at{i}")) * F.col(f"hi{i}"))
+    edges = edges.select(F.col("iter").alias("_i"), between(0).alias("_e1"), between(1).alias("_e3"))  # a row for each iteration
+    cut = taken.join(edges, F.col("iter") == F.col("_i")).filter((F.col("_q") <= F.col("_e1")) | (F.col("_q") > F.col("_e3")))
+    low = F.col("_q") <= F.col("_e1")
+    counts = cut.groupBy("iter", "_v").agg(F.sum(F.when(low, F.col("times")).otherwise(0)).alias("a"), F.sum(F.when(low, 0).otherwise(F.col("times"))).alias("b"))
+    won = with_before(counts, ["iter"], "_v", ["b"]).withColumn("w", F.col("a") * (F.col("b_before") + F.col("b") * 0.5))
     p = F.try_divide(F.sum("w"), (F.sum("a") * F.sum("b")).cast("double"))
     return won.groupBy("iter").agg((1 - p if reverse else p).alias("p"))
 

@@ -109,7 +109,7 @@ _BOOT = {
     **{k: q.format(reach=0) for k, q in _CLUSTERS.items()},
     "rw": "SELECT response, predictor, cluster_id FROM enr e JOIN ky USING (px, start) JOIN cl ON k = key WHERE response IS NOT NULL AND predictor IS NOT NULL",
     "nb": "SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS k FROM (SELECT DISTINCT cluster_id FROM rw)",
-    "dr": "SELECT CAST(i AS INTEGER) AS iter, ('0x' || substr(md5(i || '-' || s), 1, 7))::BIGINT % (SELECT count(*) FROM nb) AS k FROM range(100) a(i), range((SELECT count(*) FROM nb)) b(s)",
+    "dr": "SELECT CAST(i AS INTEGER) AS iter, ('0x' || substr(md5(i || '-' || s), 1, 15))::BIGINT % (SELECT count(*) FROM nb) AS k FROM range(1000) a(i), range((SELECT count(*) FROM nb)) b(s)",
     "tk": "SELECT iter, response, predictor FROM dr JOIN nb USING (k) JOIN rw USING (cluster_id)",
     "bq": "SELECT iter, quantile_cont(predictor, [0.25, 0.75]) AS q FROM tk GROUP BY iter",
     "rk": "SELECT iter, predictor <= q[1] AS one, avg_rank FROM (SELECT iter, predictor, q, rank() OVER (PARTITION BY iter ORDER BY response) + (count(*) OVER (PARTITION BY iter, response) - 1) / 2 AS avg_rank FROM tk JOIN bq USING (iter) WHERE predictor <= q[1] OR predictor > q[2])",

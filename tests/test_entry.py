@@ -41,8 +41,9 @@ def test_entry_has_the_known_catalogue(spark):
 
 
 def test_every_query_is_registered():
-    assert set(CHOSEN) <= set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
-    assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
+    assert set(CHOSEN) <= set(catalog.QUERIES | jobs.QUERIES)
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL) and set(jobs.QUERIES) == set(jobs.ORACLE_SQL)
+    assert set(catalog.QUERIES | jobs.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
@@ -53,7 +54,7 @@ def test_entry_imports_without_the_text_operators(tmp_path):
     from pathlib import Path
 
     repo = Path(__spark_entry__.__file__).resolve().parent
-    for item in ("__spark_entry__.py", "fluxpanel"):
+    for item in ("__spark_entry__.py", "fluxpanel", "jobs"):
         src = repo / item
         shutil.copytree(src, tmp_path / item, ignore=shutil.ignore_patterns("llm", "__pycache__")) if src.is_dir() else shutil.copy(src, tmp_path)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; n = e.queries(); assert 'event_catalogue' in n and not [x for x in n if x.startswith('op')]; e.oracle_sql()"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
