@@ -18,7 +18,7 @@ from .oracle import ORACLE_SQL
 from .plans import jobs
 from .plans.panel import clipped, materialised, new_path, order_panel, order_values, read
 from .registry import Variable
-from .sources import ingest
+from .sources import classic, ingest
 
 RULE = Rule(prior=-0.25, after=-0.5, below=-0.5, min_days=7)
 LAGS = 30
@@ -431,6 +431,24 @@ def files_by_name(spark, sf):
     return rows.groupBy("px").agg(F.count(F.lit(1)).alias("days"), F.count("v").alias("observed"))
 
 
+def netcdf_years(spark, sf):
+    """The panel as a grid in one file a year, and two years of its southern rows read back."""
+    spark.dataSource.register(classic.ClassicSource)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    path = new_path(spark, "grid")
+    cells = panel(spark, sf).select(F.col("day").cast("timestamp_ntz").alias("ts"), (F.lit(0.5) + F.floor(F.col("px") / 5)).cast("double").alias("lat"), (F.lit(0.5) + F.col("px") % 5).cast("double").alias("lon"), F.col("v").alias("value"), F.year("day").alias("year"))
+    dealt = cells.repartition("year").sortWithinPartitions("ts").drop("year")
+    grid_of = {"variable": "v", "south": "0", "west": "0", "step": "1", "rows": "5", "cols": "5", "first": SPAN[0], "last": SPAN[1], "units": "lines", "prefix": "v"}
+    dealt.write.format("netcdf_classic").options(**grid_of).mode("append").save(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = spark.read.format("netcdf_classic").option("variable", "v").load(path)
+        kept = rows.filter(F.col("ts").between(F.lit("1996-07-01").cast("timestamp_ntz"), F.lit("1998-02-28").cast("timestamp_ntz")) & (F.col("lat") < 3))
+        return materialised(kept.select("lat", "lon", F.to_date("ts").alias("day"), "value"))
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+
+
 # --- whole jobs
 
 
@@ -557,6 +575,7 @@ QUERIES = {
     "count_map_npy": count_map_npy,
     "year_tables": year_tables,
     "files_by_name": files_by_name,
+    "netcdf_years": netcdf_years,
     "anomaly_job": anomaly_job,
     "composites_all": composites_all,
     "composite_wide": composite_wide,
