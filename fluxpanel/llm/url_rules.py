@@ -1,7 +1,8 @@
 """URL rules in DataFrame functions only: host and path rules, then patterns found by their rarest literal token.
 
 Both kinds of rules are tables of any size. A host rule is found by an equi-join for each number of labels that hosts of
-rules have; a row takes part in each join once, so a URL with very many labels costs no more than another. A pattern
+rules have; a row takes part in each join once, so a URL with very many labels costs no more than another. Hosts of many rules are apart:
+their URLs' path prefixes, of the lengths that such rules have, meet the rules by an equi-join too. A pattern
 names literal tokens that every URL it matches has in it as whole tokens. Token counts over all URLs say which of them is
 the rarest, and the pattern is filed under that one. The tokens of the URLs that no host rule decides fetch the
 patterns filed under them by a join, only those run, and the URLs that one matches (each once) are joined back. Small
@@ -11,6 +12,7 @@ tables are broadcast by Spark's own size limit, larger ones are shuffled.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,10 @@ PATTERNS = [
 ]
 
 
+#: Rules of a host that a URL tries one by one; hosts with more are searched by path prefix.
+FEW_RULES = 64
+
+
 def host_of(url: Column) -> Column:
     """From the first :// to /, ?, # or the end, A-Z lower-cased; empty if there is none."""
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(.*?)://([^/?#]*)([^?#]*)", 2), UPPER, LOWER)
@@ -72,25 +78,49 @@ def pattern_table(spark: SparkSession, patterns=PATTERNS) -> DataFrame:
     return written(patterns.select("pattern", "tokens"), "url-patterns")
 
 
-def with_host_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds _rule, struct(n, rule, verdict) of the longest rule that fits ``host`` and ``path``, or null; ``block`` wins among equal rules.
+def with_host_rule(rows: DataFrame, rules: DataFrame, few: int = FEW_RULES) -> DataFrame:
+    """Adds _rule, struct(n, rule, path, verdict) of the longest rule that fits ``host`` and ``path``, or null; ``block`` wins among equal rules.
 
-    The rules of one host are one array. A suffix of d labels meets the rules whose host has d labels, for each d that occurs (a host
-    name has 127 labels at most, so that bounds the joins).
+    The rules of a host of ``few`` at most are one array. A suffix of d labels meets the rules whose host has d labels, for each d that occurs.
+    Rules with nulls fit nothing, repeated ones count once; rows with an empty host fit rules with an empty host alone. Rows stay as they are, and an empty
+    table of either kind gives rows without a rule.
     """
+    rules = rules.filter("host is not null and path is not null and verdict is not null").select("host", "path", "verdict").distinct()
+    rules = rules.withColumn("depth", F.size(F.split("host", r"\.")))
     one = F.struct((F.length("host") + F.length("path")).alias("n"), F.concat("host", "path").alias("rule"), "path", "verdict")
-    rules = rules.filter("host is not null and path is not null and verdict is not null")
-    # written, so that its size is known where a join is chosen
-    by_host = written(rules.groupBy(F.size(F.split("host", r"\.")).alias("depth"), "host").agg(F.collect_set(one).alias("rules")), "host-rules")
-    depths = sorted(r["depth"] for r in by_host.select("depth").distinct().limit(128).collect())
-    if len(depths) > 127:
-        raise ValueError("hosts of rules have more numbers of labels than host names can have")
+    # written, so that their size is known where a join is chosen
+    sizes = written(rules.groupBy("depth", "host").agg(F.count(F.lit(1)).alias("k")), "host-sizes")
+    some = sizes.filter(F.col("k") <= few).select("depth", "host")
+    by_host = written(rules.join(some, ["depth", "host"]).groupBy("depth", "host").agg(F.collect_set(one).alias("rules")), "host-rules")
     found = [F.lit(None).cast("struct<n:int,rule:string,path:string,verdict:string>")]
+    depths = sorted(r["depth"] for r in by_host.select("depth").distinct().collect())  # a row for each number of labels
     for d in depths:
         at = by_host.filter(F.col("depth") == d).select(F.col("host").alias(f"_h{d}"), F.col("rules").alias(f"_r{d}"))
         rows = rows.join(at, F.substring_index("host", ".", -d) == F.col(f"_h{d}"), "left")
         found.append(F.array_max(F.filter(F.col(f"_r{d}"), lambda r: F.startswith(F.col("path"), r["path"]))))
-    return rows.withColumn("_rule", F.array_max(F.array(*found))).drop(*[f"_{x}{d}" for d in depths for x in "hr"])
+    rows = rows.withColumn("_rule", F.array_max(F.array(*found))).drop(*[f"_{x}{d}" for d in depths for x in "hr"])
+    many = rules.join(sizes.filter(F.col("k") > few).select("depth", "host"), ["depth", "host"])
+    many = written(many.select("depth", F.col("host").alias("_host"), F.col("path").alias("_path"), one.alias("_one")), "wide-hosts")
+    if not many.head(1):
+        return rows
+    return by_prefix(rows, many)
+
+
+def by_prefix(rows: DataFrame, many: DataFrame) -> DataFrame:
+    """Improves _rule by rules (depth, _host, _path, _one) of hosts that have many: each distinct host and path once, by its prefixes of the lengths that occur."""
+    pairs = written(rows.select("host", "path").distinct(), "hosts-paths")
+    lengths = many.groupBy("depth").agg(F.sort_array(F.collect_set(F.length("_path"))).alias("_lengths")).collect()  # a row for each number of labels
+    best = []
+    for r in lengths:
+        d, at = r["depth"], many.filter(F.col("depth") == r["depth"])
+        near = pairs.withColumn("_host", F.substring_index("host", ".", -d)).join(at.select("_host").distinct(), "_host", "left_semi")
+        fits = F.explode(F.filter(F.array(*map(F.lit, r["_lengths"])), lambda n: n <= F.length("path")))
+        prefix = near.withColumn("_n", fits).withColumn("_path", F.substr(F.col("path"), F.lit(1), F.col("_n")))
+        best.append(prefix.join(at.select("_host", "_path", "_one"), ["_host", "_path"]).groupBy("host", "path").agg(F.max("_one").alias("_one")))
+    best = reduce(DataFrame.unionByName, best).groupBy("host", "path").agg(F.max("_one").alias("_one"))
+    best = best.select(F.col("host").alias("_bh"), F.col("path").alias("_bp"), "_one")
+    rows = rows.join(best, (F.col("host") == F.col("_bh")) & (F.col("path") == F.col("_bp")), "left")
+    return rows.withColumn("_rule", F.greatest("_rule", "_one")).drop("_bh", "_bp", "_one")
 
 
 def rarest_tokens(urls: DataFrame, url_col: str, patterns: DataFrame) -> DataFrame:

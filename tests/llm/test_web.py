@@ -189,3 +189,28 @@ def test_bounded_sample(spark):
     assert bounded_sample(df, 100, order, 5000).count() == 100
     want = {r["id"] for r in df.orderBy(order).limit(100).collect()}
     assert {r["id"] for r in bounded_sample(df, 100, order, 5000).collect()} == want
+
+
+def test_many_rules_of_one_host_equal_all_rules_in_turn(spark):
+    rnd = random.Random(12)
+    segment = lambda: rnd.choice(["a", "b", "cd", "efg", "long-name", str(rnd.randrange(40))])
+    rules = {("big.org", "/" + "/".join(segment() for _ in range(rnd.randrange(1, 7))), rnd.choice(["allow", "block"])) for _ in range(260_000)}
+    rules = list(rules)[:100_000] + [("", "", "block"), ("x.big.org", "/a", "allow"), ("org", "/", "block"), ("big.org", "/a", None), (None, "/", "allow")]
+    assert len(rules) > 90_000
+    urls = ["http://" + rnd.choice(["big.org", "www.big.org", "x.big.org", "other.org", "org", "q.net"]) + "/" + "/".join(segment() for _ in range(rnd.randrange(0, 8))) + rnd.choice(["", "?q=1", "/"]) for _ in range(3000)]
+    urls += urls[:50] + ["", "no scheme", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["by"]) for r in url_rules.judge_urls(df, host_rules=table, patterns=[]).collect()}
+    assert len(got) == len(urls)
+    held = {}
+    for h, p, v in rules:
+        if h is not None and v is not None:
+            held[h, p] = max(v, held.get((h, p), ""))
+    for i, u in enumerate(urls):
+        m = re.match(r"(?s)^(.*?)://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[2].lower(), m[3]) if m else ("", "")
+        labels = host.split(".")
+        fits = [(len(h) + n, h + path[:n], held[h, path[:n]]) for k in range(len(labels)) for h in [".".join(labels[k:])] for n in range(len(path) + 1) if (h, path[:n]) in held]
+        want = (*max(fits)[1:], "host") if fits else (None, "allow", "default")
+        assert got[i] == want, u
