@@ -27,8 +27,10 @@ MIN_DOCS = 5
 #: Absolute penalty, as a share of the largest slope that chance alone is likely to give one of the words.
 PENALTY = 0.6
 GRADES = 3
-#: Rows with a common key of hash minima from which the key's count is broadcast and not shuffled.
+#: Rows with a common key of hash minima from which the key's count is joined by itself.
 MANY = 1000
+#: Labelled ids up to which their texts are picked by a broadcast of the ids before anything reads them; beyond, all texts are read and the results joined.
+FEW_IDS = 500_000
 
 
 def word_sets(col: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +142,8 @@ def best_cut(clean: np.ndarray, toxic: np.ndarray) -> float:
     return float(GRID[best[len(best) // 2]])
 
 
-def calibration(docs: DataFrame, labelled: DataFrame, model: dict, fitted: list, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Weight of the clean and of the toxic labelled rows that took no part in the fit, by the number of cuts that they are above."""
+def calibration(docs: DataFrame, labelled: DataFrame, model: dict, fitted: list, id_col: str, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of the clean and of the toxic labelled rows (of ``n`` ids) that took no part in the fit, by the number of cuts that they are above."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     shared = broadcast_value(spark, ({k: model[k] for k in ("words", "w", "t")}, frozenset(fitted)))
@@ -159,13 +161,16 @@ def calibration(docs: DataFrame, labelled: DataFrame, model: dict, fitted: list,
                 level = np.searchsorted(GRID, logistic(z - m["t"][0])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(level), pa.array(minima_keys(row, h, c.num_rows).view(np.int64).tolist(), pa.list_(pa.int64()))], ["doc_id", "level", "keys"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(levels, f"doc_id {kind}, level int, keys array<bigint>")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    if n <= FEW_IDS:
+        rows = rows.join(F.broadcast(labelled.select(F.col("_l").alias("doc_id"))), "doc_id", "left_semi")
+    rows = rows.mapInArrow(levels, f"doc_id {kind}, level int, keys array<bigint>")
     rows = rows.join(labelled.select(F.col("_l").alias("doc_id"), (F.col("toxic") > 0).alias("toxic")), "doc_id")
     # equal rows are one row with their number, so that a group of copies stays small
     rows = written(rows.groupBy("level", "toxic", "keys").agg(F.count(F.lit(1)).alias("n")), "calibration")
     each = rows.select("*", F.posexplode("keys").alias("band", "key"))
     shared_by = written(each.groupBy("band", "key").agg(F.sum("n").alias("most")).filter("most > 1"), "calibration-keys")
-    few, many = shared_by.filter(F.col("most") < MANY), F.broadcast(shared_by.filter(F.col("most") >= MANY))
+    few, many = shared_by.filter(F.col("most") < MANY), shared_by.filter(F.col("most") >= MANY)  # broadcast where Spark finds them small enough; else AQE splits the hot ones
     hot = each.join(many, ["band", "key"])
     cold = each.join(many, ["band", "key"], "left_anti").join(few, ["band", "key"], "left").withColumn("most", F.coalesce("most", F.lit(1)))
     cols = ["level", "toxic", "keys", "n"]
@@ -178,21 +183,21 @@ def calibration(docs: DataFrame, labelled: DataFrame, model: dict, fitted: list,
 
 def word_rows(docs: DataFrame, ids: list, id_col: str, text_col: str, wide: int = WIDE) -> DataFrame:
     """doc_id, n, words (hashes, ascending) of the texts with the given ids and ``wide`` distinct words at most: one row an id, the least words of those that share it."""
-    wanted = broadcast_value(docs.sparkSession, frozenset(ids))
     kind = dict(docs.dtypes)[id_col]
+    wanted = docs.sparkSession.createDataFrame([(x,) for x in ids], f"doc_id {kind}")  # SAMPLE rows at most
 
     def sets(batches):
         for b in batches:
-            keep = [i for i, x in enumerate(b.column("doc_id").to_pylist()) if x in wanted.value]
-            for i in range(0, len(keep), 256):
-                c = b.take(pa.array(keep[i : i + 256]))
+            for i in range(0, b.num_rows, 256):
+                c = b.slice(i, 256)
                 row, h = word_sets(c.column("text"))
                 at = np.searchsorted(row, np.arange(c.num_rows + 1))
                 count = np.diff(at)
                 raw, ok = h.tobytes(), np.flatnonzero(count <= wide)
                 yield pa.RecordBatch.from_arrays([c.column("doc_id").take(pa.array(ok)), pa.array(count[ok]), pa.array([raw[8 * at[j] : 8 * at[j + 1]] for j in ok.tolist()], pa.binary())], ["doc_id", "n", "words"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(sets, f"doc_id {kind}, n bigint, words binary")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(wanted), "doc_id", "left_semi")
+    rows = texts.mapInArrow(sets, f"doc_id {kind}, n bigint, words binary")
     return written(rows.groupBy("doc_id").agg(F.min(F.struct("n", "words")).alias("r")).select("doc_id", "r.n", "r.words"), "word-rows")
 
 
@@ -204,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     labelled = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_l")).agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
     order = F.xxhash64(F.lit(23), F.col("_l"))
-    picked = bounded_sample(labelled, sample, order, labelled.count()).withColumns({"order": order, "held": F.pmod(F.xxhash64(F.lit(29), F.col("_l")), F.lit(4)) == 0}).collect()
+    n = labelled.count()
+    picked = bounded_sample(labelled, sample, order, n).withColumns({"order": order, "held": F.pmod(F.xxhash64(F.lit(29), F.col("_l")), F.lit(4)) == 0}).collect()
     truth = {r["_l"]: (r["order"], int(r["toxic"] > 0) * (1 + int(r["quality"] == 0))) for r in picked if not r["held"]}
     none = {"words": np.zeros(0, K.U64), "w": np.zeros(0), "t": np.full(GRADES - 1, 50.0), "cut": 0.5}
     if not truth:
@@ -231,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     row, col, used = row[place >= 0], place[place >= 0], uniq[use]
     w, t = fit_ordinal(row, col, y, len(used), weight, penalty=penalties(row, col, y, len(used), weight))
     model = {"words": used[w != 0], "w": w[w != 0], "t": t}
-    return model | {"cut": best_cut(*calibration(docs, labelled, model, fitted, id_col, text_col))}
+    return model | {"cut": best_cut(*calibration(docs, labelled, model, fitted, id_col, text_col, n))}
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

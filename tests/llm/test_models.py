@@ -361,6 +361,22 @@ def test_the_sample_is_bounded_in_rows_and_words(spark, monkeypatch):
     assert all(n <= 2 for n, _ in seen)
 
 
+def test_only_labelled_texts_are_read_for_the_fit_and_the_cut(spark, monkeypatch):
+    """The ids meet the texts below the Arrow stage, and many labels, joined after it, give the same cut."""
+    rows = [(i, f"w{i % 7} word {'vile' if i % 3 == 0 else 'kind'} t{i % 11}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 600, 2)], "doc_id bigint, quality int, toxic int")
+    plans, made = [], toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or made(df, name))
+    few = toxicity.train(docs, labels, sample=200)
+    for name in ("word-rows", "calibration"):
+        plan = dict(plans)[name]
+        assert plan.index("MapInArrow") < plan.index("LeftSemi"), plan
+    monkeypatch.setattr(toxicity, "FEW_IDS", 10)
+    many = toxicity.train(docs, labels, sample=200)
+    assert few["cut"] == many["cut"] and (few["w"] == many["w"]).all()
+
+
 def test_ties_at_the_cut_stay(spark):
     model = {"words": np.zeros(0, np.uint64), "w": np.zeros(0), "t": np.array([0.0, 1.0]), "cut": 0.5}
     assert toxicity.score_toxicity(spark.createDataFrame([(1, "a")], "doc_id int, text string"), model).first()["kept"]
