@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import frames, grid
+from .functions import asof, frames, grid
 from .functions.quartiles import percentile_table, quartile_of, with_quartile
-from .operators import anomaly, clusters, composite, enrich, events, landcover, parts, regions, sensitivity, stats
+from .operators import anomaly, clusters, composite, enrich, events, landcover, parts, regions, regrid, sensitivity, stats
 from .operators.events import Rule
 from .oracle import ORACLE_SQL
 from .plans import jobs
@@ -186,6 +186,13 @@ def land_cover_daily(spark, sf):
     return landcover.class_of_day(panel(spark, sf).select("px", "day"), cover, first=YEARS[0], last=YEARS[1])
 
 
+def land_cover_nearest(spark, sf):
+    """The class nearest in time where each place has stamps of its own, at uneven distances."""
+    cover, _ = land_cover(spark, sf)
+    stamps = cover.withColumn("stamp", F.make_date(F.col("year"), F.lit(1) + (F.col("px") * 5 + F.col("year") * 3) % 12, F.lit(1) + (F.col("px") * 7 + F.col("year")) % 28).cast("timestamp"))
+    return asof.with_nearest(panel(spark, sf).select("px", "day"), stamps, ["px"], "day", "stamp", ["class"])
+
+
 def top_land_cover_map(spark, sf):
     return landcover.top_map(land_cover(spark, sf)[0], 1998, [10, 120, 130], onsets(spark, sf))
 
@@ -260,6 +267,23 @@ def _enrich(kind, smooth=None, first=0, last=20):
     return run
 
 
+def _enrich_sums(kind, smooth=None, first=0, last=20):
+    def run(spark, sf):
+        name = enrich.column_name("u", kind, first, last, smooth=smooth)
+        out = enrich.add_window_by_sums(*onsets_and_panel(spark, sf), "zu", "u", kind, first, last, smooth, span=SPAN)
+        return r(out, name).withColumnRenamed(name, "value")
+
+    return run
+
+
+def enrich_named(spark, sf):
+    """Two windows added under their generated names."""
+    found, both = onsets_and_panel(spark, sf)
+    out = enrich.add_window(found, both, "zu", "u", "max", 0, 20, span=SPAN)
+    out = enrich.add_window(out, both, "z", "v", "mean", -30, -1, 5, span=SPAN)
+    return r(out, enrich.column_name("u", "max", 0, 20), enrich.column_name("v", "mean", -30, -1, smooth=5))
+
+
 def _enrich_weighted(kind, smooth=None, first=0, last=20, compat=False):
     def run(spark, sf):
         name, count = (enrich.column_name("u", kind, first, last, True, smooth, p) for p in ("std_anom", "n"))
@@ -357,6 +381,21 @@ def regrid_half_cell(spark, sf):
     return r(ingest.half_cell_regrid(rows), "value")
 
 
+def regrid_linear(spark, sf):
+    """The five by five places on a coarser grid whose columns descend, with one coordinate beyond the end."""
+    rows = panel(spark, sf).select("day", F.floor(F.col("px") / 5).cast("int").alias("row"), (F.col("px") % 5).cast("int").alias("col"), F.col("v").alias("value"))
+    lat, lon = regrid.axis(spark, [0.0, 1.0, 2.0, 3.0, 4.0], [0.5, 2.0, 3.25]), regrid.axis(spark, [0.0, 1.0, 2.0, 3.0, 4.0], [4.5, 2.75, 0.25])
+    return r(regrid.regridded(rows, lat, lon), "value")
+
+
+def merged_files(spark, sf):
+    """Tables of three spans of days, with columns in another order, as one panel."""
+    v, path = r(panel(spark, sf), "v", digits=9), new_path(spark, "spans")
+    for name, lo, hi, cols in (("a", "1995-01-01", "1996-12-31", ["px", "day", "v"]), ("b", "1997-01-01", "1999-05-31", ["v", "day", "px"]), ("c", "1999-06-01", "2001-11-04", ["day", "px", "v"])):
+        v.filter(F.col("day").between(lo, hi)).select(*cols).coalesce(1).write.parquet(f"{path}/{name}")
+    return ingest.read_merged(spark, [f"{path}/{x}" for x in "abc"], ["v"])
+
+
 def land_fraction_mask(spark, sf):
     land = read(spark, sf, "nation").select(F.floor(F.col("n_nationkey") / 5).cast("int").alias("row"), (F.col("n_nationkey") % 5).alias("col"), (F.col("n_regionkey") / 4.0).alias("land_fraction"))
     rows = panel(spark, sf).select("day", F.floor(F.col("px") / 5).cast("int").alias("row"), (F.col("px") % 5).alias("col"), F.col("v").alias("value"))
@@ -407,10 +446,10 @@ def numbers_text(spark, sf):
 
 
 def count_map_npy(spark, sf):
-    """Events by place as a two-dimensional map file."""
-    path = new_path(spark, "map") + "/events.npy"
+    """Events by place as a two-dimensional map, in files of two by two places."""
+    path = new_path(spark, "map")
     counts = onset_count_map(spark, sf).withColumns({"i": F.floor(F.col("px") / 5).cast("int"), "j": (F.col("px") % 5).cast("int")})
-    ingest.write_map(counts, 5, 5, path, value="n_events")
+    ingest.write_map(counts, 5, 5, path, value="n_events", tile=2)
     return ingest.read_map(spark, path)
 
 
@@ -532,6 +571,7 @@ QUERIES = {
     "places_without_events": places_without_events,
     "peak_month": peak_month,
     "land_cover_daily": land_cover_daily,
+    "land_cover_nearest": land_cover_nearest,
     "top_land_cover_map": top_land_cover_map,
     "composite": composite_plain,
     "composite_spread": composite_spread,
@@ -548,6 +588,11 @@ QUERIES = {
     "enrich_max": _enrich("max"),
     "enrich_sum": _enrich("sum"),
     "enrich_smooth": _enrich("max", smooth=5),
+    "enrich_mean_sums": _enrich_sums("mean", first=-30, last=-1),
+    "enrich_min_sums": _enrich_sums("min"),
+    "enrich_sum_sums": _enrich_sums("sum"),
+    "enrich_smooth_sums": _enrich_sums("max", smooth=5),
+    "enrich_named": enrich_named,
     "enrich_weighted_mean": _enrich_weighted("mean"),
     "enrich_weighted_min": _enrich_weighted("min"),
     "enrich_weighted_max": _enrich_weighted("max", smooth=5),
@@ -565,6 +610,8 @@ QUERIES = {
     "bootstrap_bound": bootstrap_bound,
     "ingest_mask_shift_crop": ingest_mask_shift_crop,
     "regrid_half_cell": regrid_half_cell,
+    "regrid_linear": regrid_linear,
+    "merged_files": merged_files,
     "land_fraction_mask": land_fraction_mask,
     "quality_threshold": quality_threshold,
     "tile_counts": tile_counts,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import centred_mean
@@ -41,6 +41,39 @@ def add_window(catalogue: DataFrame, panel: DataFrame, value: str, var: str, kin
     return out.withColumn(name, F.when(inside(first, last, span), F.coalesce(F.col(f"`{name}`"), F.lit(0.0)))) if kind == "sum" else out
 
 
+def add_window_by_sums(catalogue: DataFrame, panel: DataFrame, value: str, var: str, kind: str, first: int, last: int, smooth: int | None = None, span: tuple | None = None) -> DataFrame:
+    """What ``add_window`` adds, by two lookups an event, however long the window is.
+
+    Mean and sum are differences of running sums. Minimum and maximum are those of two stretches of 2**k days, the greatest power within the
+    window, which begin and end with it; stretches double in length by looking half of one ahead. All of it is one pass over the
+    gap-free panel by place.
+    """
+    span = span or span_of(panel)
+    series = Window.partitionBy("px").orderBy("day")
+    rows = panel.select("px", "day", (centred_mean(value, smooth, 2) if smooth else F.col(value)).alias("_x"))
+    if kind in ("mean", "sum"):
+        upto = series.rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({"_s": F.coalesce(F.sum("_x").over(upto), F.lit(0.0)), "_n": F.count("_x").over(upto)}).drop("_x")
+        ends, cols = (first - 1, last), ["_s", "_n"]
+    else:
+        best, size = {"min": F.least, "max": F.greatest}[kind], 1
+        while 2 * size <= last - first + 1:
+            rows, size = rows.withColumn("_x", best("_x", F.lead("_x", size).over(series))), 2 * size
+        ends, cols = (first, last - size + 1), ["_x"]
+    starts = catalogue.select("px", "start").filter(inside(first, last, span)).distinct()
+    wanted = starts.withColumn("_e", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.date_add("start", e).alias("day")) for i, e in enumerate(ends)]))).select("px", "start", "_e.i", "_e.day")
+    met = rows.select("px", "day", *cols).join(wanted, ["px", "day"]).groupBy("px", "start")
+    name = column_name(var, kind, first, last, smooth=smooth)
+    if kind in ("mean", "sum"):
+        # a window that begins with the record has nothing before it
+        upto = lambda c: F.sum(F.when(F.col("i") == 1, F.col(c)).otherwise(-F.col(c)))
+        out = met.agg(upto("_s").alias("_s"), upto("_n").alias("_n")).select("px", "start", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n") if kind == "mean" else F.col("_s")).alias(name))
+    else:
+        out = met.agg({"min": F.min, "max": F.max}[kind]("_x").alias(name))
+    out = catalogue.join(out, ["px", "start"], "left")
+    return out.withColumn(name, F.when(inside(first, last, span), F.coalesce(F.col(f"`{name}`"), F.lit(0.0)))) if kind == "sum" else out
+
+
 def add_weighted_window(catalogue: DataFrame, panel: DataFrame, value: str, n: str, var: str, kind: str, first: int, last: int, least: float, smooth: int | None = None, span: tuple | None = None, compat_argmin: bool = False) -> DataFrame:
     """Adds a count-weighted mean, or the min or max with the count on that day (the first such day).
 

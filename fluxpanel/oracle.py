@@ -154,6 +154,8 @@ ORACLE_SQL = {
         n2="SELECT px, day, min(CASE WHEN p < -1.0 THEN day END) OVER w AS r, min(CASE WHEN NOT coalesce(p < -1.0, false) THEN day END) OVER w AS o FROM feat WINDOW w AS (PARTITION BY px ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"),
     "peak_month": sql("peakm", "SELECT px, peak_month FROM peakm"),
     "land_cover_daily": sql("cal lc", f"SELECT k.px, k.day, class FROM (SELECT px, day, {_COVER_YEAR} AS y FROM cal) k LEFT JOIN lc ON lc.px = k.px AND lc.year = y"),
+    "land_cover_nearest": sql("cal lc", "SELECT c.px, c.day, CASE WHEN a.stamp IS NULL OR c.day - b.stamp <= a.stamp - c.day THEN b.class ELSE a.class END AS class FROM cal c ASOF LEFT JOIN s b ON b.px = c.px AND b.stamp <= c.day ASOF LEFT JOIN s a ON a.px = c.px AND a.stamp >= c.day",
+        s="SELECT px, class, make_date(year, CAST(1 + (px * 5 + year * 3) % 12 AS INTEGER), CAST(1 + (px * 7 + year) % 28 AS INTEGER)) AS stamp FROM lc"),
     "top_land_cover_map": sql("lc ev", "SELECT px, CAST(CASE WHEN class // 10 * 10 IN (10, 120, 130) AND px IN (SELECT px FROM ev) THEN class // 10 * 10 ELSE 0 END AS INTEGER) AS coarse FROM lc WHERE year = 1998"),
     "composite": sql("comp", "SELECT lag, round(m, 6) AS composite_mean, composite_n FROM comp"),
     "composite_spread": sql("al", "SELECT lag, round(avg(zu), 6) AS composite_mean, count(zu) AS composite_n, round(stddev_pop(zu), 6) AS composite_std FROM al GROUP BY lag"),
@@ -172,6 +174,14 @@ ORACLE_SQL = {
     "enrich_max": _enrich("max(zu)", 0, 20),
     "enrich_sum": _enrich("coalesce(sum(zu), 0)", 0, 20),
     "enrich_smooth": sql("ev zz", "SELECT e.px, e.start, e.\"end\", round(CASE WHEN any_value(e.start) + 21 <= DATE '2001-11-04' THEN max(zu) END, 6) AS value FROM ev e LEFT JOIN sm b ON b.px = e.px AND b.day BETWEEN e.start AND e.start + 20 GROUP BY ALL", sm=SMOOTH),
+    "enrich_mean_sums": _enrich("avg(zu)", -30, -1),
+    "enrich_min_sums": _enrich("min(zu)", 0, 20),
+    "enrich_sum_sums": _enrich("coalesce(sum(zu), 0)", 0, 20),
+    "enrich_smooth_sums": sql("ev zz", "SELECT e.px, e.start, e.\"end\", round(CASE WHEN any_value(e.start) + 21 <= DATE '2001-11-04' THEN max(zu) END, 6) AS value FROM ev e LEFT JOIN sm b ON b.px = e.px AND b.day BETWEEN e.start AND e.start + 20 GROUP BY ALL", sm=SMOOTH),
+    "enrich_named": sql("ev zz", """SELECT e.px, e.start, e."end", round(max(CASE WHEN b.day >= e.start AND e.start + 21 <= DATE '2001-11-04' THEN zu END), 6) AS std_anom_u_max_0_20,
+        round(avg(CASE WHEN b.day < e.start AND e.start - 30 >= DATE '1995-01-01' THEN zs END), 6) AS "std_anom_v_mean_-30_-1_smooth5"
+        FROM ev e LEFT JOIN sz b ON b.px = e.px AND b.day BETWEEN e.start - 30 AND e.start + 20 GROUP BY ALL""",
+        sz="SELECT px, day, zu, CASE WHEN count(z) OVER w >= 2 THEN avg(z) OVER w END AS zs FROM zz WINDOW w AS (PARTITION BY px ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"),
     "enrich_weighted_mean": _weighted("mean"),
     "enrich_weighted_min": _weighted("min"),
     "enrich_weighted_max": _weighted("max", SMOOTH),
@@ -190,6 +200,9 @@ ORACLE_SQL = {
     "bootstrap_bound": sql("ky enr", "SELECT round(quantile_cont(p, 0.05), 6) AS bound, count(p) AS n FROM bp", True, **_BOOT),
     "ingest_mask_shift_crop": "SELECT o_orderkey, CAST(o_orderdate - INTERVAL 12 HOUR AS DATE) AS day, lat, lon, round(CAST(CAST(CASE WHEN o_totalprice < 250000 THEN o_totalprice END AS FLOAT) AS DOUBLE), 2) AS value FROM (SELECT *, CAST(-70 + o_custkey % 160 AS DOUBLE) AS lat, CAST(-180 + o_custkey % 360 AS DOUBLE) AS lon FROM orders) WHERE lat BETWEEN -60 AND 80 AND lon BETWEEN -180 AND 180",
     "regrid_half_cell": sql("dense", "SELECT day, CAST(i AS INTEGER) AS row, CAST(j AS INTEGER) AS col, round((v + d + r + dr) / 4, 6) AS value FROM corner WHERE i < 4 AND j < 4", **_corners("SELECT day, px // 5 AS i, px % 5 AS j, v FROM dense")),
+    "regrid_linear": sql("dense", """SELECT day, a.k AS row, b.k AS col, CASE WHEN count(v) = count(*) THEN round(sum(v * (1 - abs(px // 5 - a.x)) * (1 - abs(px % 5 - b.x))), 6) END AS value
+        FROM dense, (VALUES (0, 0.5::DOUBLE), (1, 2), (2, 3.25)) a(k, x), (VALUES (0, 4.5::DOUBLE), (1, 2.75), (2, 0.25)) b(k, x) WHERE abs(px // 5 - a.x) < 1 AND abs(px % 5 - b.x) < 1 AND b.x <= 4 GROUP BY ALL"""),
+    "merged_files": sql("dense", "SELECT px, day, round(v, 9) AS v FROM dense"),
     "land_fraction_mask": sql("dense", "SELECT day, CAST(px // 5 AS INTEGER) AS row, CAST(px % 5 AS INTEGER) AS col, round(CASE WHEN n_regionkey / 4.0 >= 0.5 THEN v END, 6) AS value FROM dense JOIN nation ON n_nationkey = px"),
     "quality_threshold": sql("dense", "SELECT px, day, CASE WHEN n >= 2 THEN round(v, 9) END AS v, CASE WHEN n >= 2 THEN n ELSE 0 END AS n FROM dense"),
     "tile_counts": sql("dense", "SELECT CAST(least(px // 5 // 3, 1) AS INTEGER) AS tile_i, CAST(least(px % 5 // 2, 2) AS INTEGER) AS tile_j, count(v) AS observed FROM dense GROUP BY ALL"),

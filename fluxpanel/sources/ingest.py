@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
+import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.grid import rounded
 from ..operators.regions import banded
 from ..registry import LEAST_OBSERVATIONS, Variable
+from .classic import open_fs
 
 
 def filled(df: DataFrame, rule: Variable, value: str = "value", ts: str = "ts") -> DataFrame:
@@ -114,34 +118,68 @@ def write_numbers(df: DataFrame, column: str, path: str) -> None:
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """i, j, value of the two-dimensional .npy maps at a path; NaN is NULL. Files are read where the tasks run."""
+    """i, j, value of the two-dimensional .npy maps at a path; NaN is NULL. Files are read where the tasks run; a tile's name says where it begins."""
 
     def cells(batches):
         for b in batches:
-            for raw in b.column("content").to_pylist():
+            for name, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 a = np.load(io.BytesIO(raw))
+                begin = re.search(r"tile_(\d+)_(\d+)\.npy$", name)
                 i, j = np.indices(a.shape)
+                if begin:
+                    i, j = i + int(begin[1]), j + int(begin[2])
                 v = a.astype(float).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(v, mask=np.isnan(v))], ["i", "j", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(cells, "i int, j int, value double")
-
-
-def write_map(df: DataFrame, rows: int, cols: int, path: str, i: str = "i", j: str = "j", value: str = "value") -> None:
-    """One .npy file of a coarse map, NaN where there is no row; the map of at most 10 million cells is put together on the driver."""
-    if rows * cols > 10_000_000:
-        raise ValueError("too many cells for one file; write a table")
-    out = np.full((rows, cols), np.nan)
-    for r in df.filter(F.col(value).isNotNull()).select(i, j, value).collect():
-        out[r[0], r[1]] = r[2]
-    sink = io.BytesIO()
-    np.save(sink, out)
-    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
-    try:
-        stream.write(bytearray(sink.getvalue()))
-    finally:
-        stream.close()
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content").mapInArrow(cells, "i int, j int, value double")
+
+
+def write_map(df: DataFrame, rows: int, cols: int, path: str, i: str = "i", j: str = "j", value: str = "value", tile: int = 1024) -> int:
+    """A map as .npy tiles of ``tile`` x ``tile`` cells at most, NaN where there is no row; each is put together by the task that has its rows. Says how many there are.
+
+    A tile has one name and the same bytes whenever it is written, so a task that runs twice does no harm. A cell with several rows has the greatest value.
+    """
+    high, wide = -(-rows // tile), -(-cols // tile)
+    spark = df.sparkSession
+    inside = F.col(i).between(0, rows - 1) & F.col(j).between(0, cols - 1)
+    known = df.filter(F.col(value).isNotNull() & inside).select(F.col(i).cast("int").alias("i"), F.col(j).cast("int").alias("j"), F.col(value).cast("double").alias("value"))
+    known = known.groupBy("i", "j").agg(F.max("value").alias("value")).withColumn("tile", F.expr(f"i div {tile} * {wide} + j div {tile}"))
+    each = spark.range(high * wide).select(F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"), F.lit(None).cast("double").alias("value"), F.col("id").alias("tile"))
+
+    def save(part):
+        at = int(part["tile"].iloc[0])
+        i0, j0 = at // wide * tile, at % wide * tile
+        out = np.full((min(tile, rows - i0), min(tile, cols - j0)), np.nan)
+        there = part[part["i"].notna()]
+        out[there["i"].to_numpy(int) - i0, there["j"].to_numpy(int) - j0] = there["value"]
+        system, root = open_fs(path)
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(temporary := f"{root}/_{uuid.uuid4().hex}", compression=None) as sink:
+            np.save(sink, out)
+        system.move(temporary, f"{root}/tile_{i0}_{j0}.npy")
+        return pd.DataFrame({"tiles": [1]})
+
+    return known.unionByName(each).groupBy("tile").applyInPandas(save, "tiles long").agg(F.sum("tiles")).first()[0]
+
+
+class Overlap(ValueError):
+    """Files that have days of a place in common, or other places than the rest."""
+
+
+def read_merged(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+    """px, day and ``columns`` of many Parquet files as one panel, columns by name; Overlap, with the files' names, where two have a place's day or unlike places.
+
+    What each file covers is counted by file, and only counts and the days that several files have are compared.
+    """
+    rows = spark.read.parquet(*paths).select("px", "day", *columns, F.col("_metadata.file_path").alias("file"))
+    both = rows.groupBy("px", "day").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("a"), F.max("file").alias("b")).filter("n > 1").head(1)
+    if both:
+        raise Overlap(f"{both[0]['a']} and {both[0]['b']} both have {both[0]['day']} of place {both[0]['px']}")
+    grids = rows.select("file", "px").distinct().groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("px").cast("decimal(38,0)")).alias("h"))
+    unlike = grids.groupBy("n", "h").agg(F.min("file").alias("file")).orderBy("n", "h").limit(2).collect()
+    if len(unlike) > 1:
+        raise Overlap(f"{unlike[0]['file']} and {unlike[1]['file']} have other places")
+    return rows.drop("file")
 
 
 def files_with(spark: SparkSession, folder: str, part: str) -> list[str]:
