@@ -15,7 +15,7 @@ from .functions.quartiles import percentile_table, quartile_of, with_quartile
 from .operators import anomaly, clusters, composite, enrich, events, landcover, parts, regions, regrid, sensitivity, stats
 from .operators.events import Rule
 from .oracle import ORACLE_SQL
-from .plans import jobs
+from .plans import buckets, jobs
 from .plans.panel import clipped, materialised, new_path, order_panel, order_values, read
 from .registry import Variable
 from .sources import classic, ingest
@@ -504,6 +504,24 @@ def anomaly_job(spark, sf):
     return r(ingest.read_years(spark, path, 1996, 1999, ["px", "day", "value", "z"]), "value", "z", digits=5)
 
 
+def rolling_job(spark, sf):
+    """The five windows of the panel as a table by year, of which three years are read back."""
+    path = new_path(spark, "rolling")
+    jobs.save_rolling(panel(spark, sf), path)
+    out = ingest.read_years(spark, path, 1996, 1998, ["px", "day", "mean_5d", "min_61d", "mean_30d", "min_next_20d", "max_20d"])
+    return r(out, "mean_5d", "min_61d", "mean_30d", "min_next_20d", "max_20d")
+
+
+def composite_bucketed(spark, sf):
+    """The composite of one bucketed panel around the events of another; neither is exchanged again."""
+    found, both = onsets_and_panel(spark, sf)
+    z = buckets.bucketed(both.select("px", "day", "z", "t"), 4, "z")
+    zu = buckets.bucketed(both.select("px", "day", "zu"), 4, "zu")
+    with buckets.bucket_joins(spark):
+        events_of = events.intervals(events.features(z), RULE)
+        return materialised(r(composite.composite(events_of, zu, "zu", LAGS), "composite_mean"))
+
+
 def composites_all(spark, sf):
     """Composites of two variables by land cover and quartile, 120 lags, in one pass over the panel."""
     cover, key = land_cover(spark, sf)
@@ -623,6 +641,8 @@ QUERIES = {
     "year_tables": year_tables,
     "files_by_name": files_by_name,
     "netcdf_years": netcdf_years,
+    "rolling_job": rolling_job,
+    "composite_bucketed": composite_bucketed,
     "anomaly_job": anomaly_job,
     "composites_all": composites_all,
     "composite_wide": composite_wide,

@@ -19,9 +19,21 @@ def class_of_day(rows: DataFrame, land_cover: DataFrame, day: str = "day", first
     return keyed.join(cover, ["px", "_y"], "left").drop("_y")
 
 
+#: Classes that a legend has at most.
+MOST_CLASSES = 10_000
+
+
+def legend(key: DataFrame) -> dict[str, int]:
+    """Codes by class name; ValueError where the table is no legend of MOST_CLASSES rows at most, so that no unbounded table comes to the driver."""
+    rows = key.select("land_cover", "flag").limit(MOST_CLASSES + 1).collect()
+    if len(rows) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} land-cover classes")
+    return {r["land_cover"]: r["flag"] for r in rows}
+
+
 def flags_of(key: DataFrame, group: str) -> list[int]:
     """Codes of a group by the key table (one row a class); an unknown class raises KeyError."""
-    found = {r["land_cover"]: r["flag"] for r in key.collect()}
+    found = legend(key)
     return [found[m] for m in members(group, list(found))]
 
 
@@ -34,7 +46,7 @@ def in_group(rows: DataFrame, land_cover: DataFrame, key: DataFrame, group: str,
 
 def group_name(code: Column, key: DataFrame, groups: list[str] = TOP_LAND_COVERS) -> Column:
     """Name of the group that a code belongs to; NULL outside of all."""
-    flags = {r["land_cover"]: r["flag"] for r in key.collect()}  # one row a class of the legend
+    flags = legend(key)
     out = F.lit(None).cast("string")
     for g in reversed([g for g in groups if set(members(g)) & set(flags)]):
         out = F.when(code.isin([flags[m] for m in members(g) if m in flags]), F.lit(g)).otherwise(out)

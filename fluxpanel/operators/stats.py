@@ -21,14 +21,15 @@ def exceedance(df: DataFrame, value: str, quartile_by: str, threshold: float) ->
 
 def density(df: DataFrame, value: str, by: str, low: float, high: float, points: int = 100) -> DataFrame:
     """by, x, density: Gaussian kernels with Scott's bandwidth in each group, scaled by the group's share of all rows."""
-    rows = df.dropna(subset=[value, by]).select(by, F.col(value).alias("_v"))
-    shape = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_s"))
+    # equal values count once, with their number
+    rows = df.dropna(subset=[value, by]).groupBy(by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    shape = df.dropna(subset=[value, by]).groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_s"))
     shape = shape.withColumn("_total", F.sum("_n").over(Window.partitionBy())).withColumn("_h", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     step = (high - low) / (points - 1)
-    grid = rows.join(shape, by).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.lit(low) + F.col("i") * F.lit(step))
+    grid = rows.join(shape, by).filter("_h > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.lit(low) + F.col("i") * F.lit(step))
     z = (F.col("x") - F.col("_v")) / F.col("_h")
-    one = F.exp(-0.5 * z * z) / (F.col("_h") * math.sqrt(2 * math.pi) * F.col("_total"))
-    return grid.filter("_h > 0").groupBy(by, "i", "x").agg(F.sum(one).alias("density")).drop("i")
+    one = F.col("_k") * F.exp(-0.5 * z * z) / (F.col("_h") * math.sqrt(2 * math.pi) * F.col("_total"))
+    return grid.groupBy(by, "i", "x").agg(F.sum(one).alias("density")).drop("i")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:

@@ -216,6 +216,9 @@ ORACLE_SQL = {
     "year_tables": sql("dense", "SELECT px, day, round(v, 9) AS v FROM dense WHERE year(day) BETWEEN 1996 AND 1998"),
     "files_by_name": sql("dense", "SELECT px, count(*) AS days, count(v) AS observed FROM dense WHERE year(day) IN (1997, 1998) GROUP BY px"),
     "netcdf_years": sql("dense", "SELECT CAST(px // 5 + 0.5 AS DOUBLE) AS lat, CAST(px % 5 + 0.5 AS DOUBLE) AS lon, day, CAST(CAST(v AS FLOAT) AS DOUBLE) AS value FROM dense WHERE day BETWEEN DATE '1996-07-01' AND DATE '1998-02-28' AND px // 5 < 3"),
+    "rolling_job": "SELECT * FROM (" + ") JOIN (".join([_frame("v", "avg", "2 PRECEDING", "2 FOLLOWING", 2, "mean_5d"), _frame("v", "min", "30 PRECEDING", "30 FOLLOWING", 1, "min_61d") + ") USING (px, day", _frame("v", "avg", "29 PRECEDING", "CURRENT ROW", 5, "mean_30d") + ") USING (px, day",
+        _frame("v", "min", "1 FOLLOWING", "20 FOLLOWING", 1, "min_next_20d") + ") USING (px, day", _frame("v", "max", "CURRENT ROW", "19 FOLLOWING", 2, "max_20d") + ") USING (px, day"]) + ") WHERE year(day) BETWEEN 1996 AND 1998",
+    "composite_bucketed": sql("comp", "SELECT lag, round(m, 6) AS composite_mean, composite_n FROM comp"),
     "anomaly_job": sql("dense", """SELECT a.px, a.day, round(a.value, 5) AS value, round((a.value - m) / s, 5) AS z FROM job a JOIN jc c ON c.px = a.px AND c.md = strftime(a.day, '%m-%d')""",
         **_corners("SELECT CAST(day - 1 AS DATE) AS day, px // 5 AS i, px % 5 AS j, CASE WHEN v < 45 THEN v END AS v FROM dense WHERE year(day - 1) BETWEEN 1996 AND 1999"),
         jv="SELECT day, CAST(i * 5 + j AS INTEGER) AS px, CAST(CAST((v + d + r + dr) / 4 AS FLOAT) AS DOUBLE) AS value FROM corner JOIN nation ON n_nationkey = i * 5 + j WHERE i < 3 AND j < 4 AND n_regionkey / 4.0 >= 0.5",

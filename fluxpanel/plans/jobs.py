@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import frames
 from ..functions.grid import RESOLUTION, SOUTH, WEST
 from ..functions.quartiles import with_quartile
 from ..operators import anomaly, landcover
@@ -46,6 +47,23 @@ def save_anomalies(raw: DataFrame, rule: str | Variable, places: DataFrame, path
     return True
 
 
+def rolling_windows(panel: DataFrame, value: str = "v") -> DataFrame:
+    """px, day and the five windows of a daily series: the centred 5-day mean and 61-day minimum, the mean of the 30 days up to a day, the least and the
+    greatest value of days ahead. They share one exchange and sort."""
+    return panel.select(
+        "px", "day", frames.centred_mean(value, 5, 2).alias("mean_5d"), frames.centred_min(value, 61).alias("min_61d"), frames.trailing_mean(value, 30, 5).alias("mean_30d"),
+        frames.leading_min(value, 20).alias("min_next_20d"), frames.leading_max(value, 20, 2).alias("max_20d"),
+    )
+
+
+def save_rolling(panel: DataFrame, path: str, value: str = "v") -> bool:
+    """Writes the five windows by year, in one pass, unless the table is there; says whether it did."""
+    if ingest.exists(panel.sparkSession, path):
+        return False
+    ingest.write_years(rolling_windows(panel, value), path, mode="overwrite")
+    return True
+
+
 def stacked(panels: dict[str, DataFrame], value: str = "z", weight: str | None = None) -> DataFrame:
     """variable, px, day, value (and weight) of several panels, as one."""
     cols = [F.col(value).alias("value"), *([F.col(weight).alias("weight")] if weight else [])]

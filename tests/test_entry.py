@@ -9,7 +9,7 @@ from jobs import queries as jobs
 
 SF = "/root/testdata/sf0.01"
 #: A query of each kind; the rest differ in a frame or an aggregate.
-CHOSEN = "job1_yearly_anomalies job2_live_events climatology_by_parts netcdf_years land_cover_nearest regrid_linear merged_files enrich_mean_sums enrich_min_sums enrich_sum_sums enrich_smooth_sums enrich_named rolling_leading_max climatology std_anomaly detrend event_catalogue_growing_season runs_of_mask land_cover_daily composite_land_cover composite_weighted_quartile event_percentiles enrich_weighted_max regional_catalogue kde_by_quartile mann_whitney sensitivity event_clusters bootstrap_bound regrid_half_cell catalogue_csv numbers_text count_map_npy year_tables anomaly_job composites_all sensitivity_map nearest_pixels".split()
+CHOSEN = "job1_yearly_anomalies job2_live_events climatology_by_parts netcdf_years land_cover_nearest regrid_linear merged_files enrich_mean_sums enrich_min_sums enrich_sum_sums enrich_smooth_sums enrich_named rolling_job composite_bucketed rolling_leading_max climatology std_anomaly detrend event_catalogue_growing_season runs_of_mask land_cover_daily composite_land_cover composite_weighted_quartile event_percentiles enrich_weighted_max regional_catalogue kde_by_quartile mann_whitney sensitivity event_clusters bootstrap_bound regrid_half_cell catalogue_csv numbers_text count_map_npy year_tables anomaly_job composites_all sensitivity_map nearest_pixels".split()
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 

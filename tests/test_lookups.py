@@ -128,3 +128,42 @@ def test_files_that_overlap_or_differ_are_named(spark, tmp_path):
         ingest.read_merged(spark, at("a", "b", "c"), ["v"])
     with pytest.raises(ingest.Overlap, match=r"(/d/.* and .*/[ab]/|/[ab]/.* and .*/d/).*other places"):
         ingest.read_merged(spark, at("a", "b", "d"), ["v"])
+
+
+def test_bucketed_panels_join_without_an_exchange_of_them(spark):
+    from fluxpanel.operators import composite, events
+    from fluxpanel.operators.events import Rule
+    from fluxpanel.plans import buckets
+
+    rnd = random.Random(1)
+    rows = [(px, day(i), rnd.gauss(0, 1), 290.0, rnd.gauss(0, 1)) for px in range(6) for i in range(300)]
+    both = spark.createDataFrame(rows, "px int, day date, z double, t double, x double")
+    z, x = buckets.bucketed(both.select("px", "day", "z", "t"), 4, "z"), buckets.bucketed(both.select("px", "day", "x"), 4, "x")
+    rule = Rule(prior=-9.0, after=-0.3, below=-0.3, min_days=2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with buckets.bucket_joins(spark):
+            feats = events.features(z)
+            plan = feats._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Bucketed: true" in plan
+            joined = x.join(feats, ["px", "day"])
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+            found = events.intervals(feats, rule)
+            rows_of = composite.aligned(found, x, 5, ["x"], [])
+            plan = rows_of._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Bucketed: true") >= 2
+            got = sorted(map(tuple, composite.composite(found, x, "x", 5).collect()))
+        assert sorted(map(tuple, joined.select("px", "day", "x").collect())) == sorted((r[0], r[1], r[4]) for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = composite.composite(events.intervals(events.features(both), rule), both.select("px", "day", "x"), "x", 5)
+    want = sorted(map(tuple, plain.collect()))
+    assert [(a[0], a[2]) for a in got] == [(a[0], a[2]) for a in want] and all(a[1] == pytest.approx(b[1]) for a, b in zip(got, want, strict=True)) and want[0][2] > 5
+
+
+def test_a_legend_is_bounded(spark):
+    from fluxpanel.operators import landcover
+
+    with pytest.raises(ValueError, match="classes"):
+        landcover.legend(spark.range(landcover.MOST_CLASSES + 1).selectExpr("string(id) land_cover", "int(id) flag"))
