@@ -16,7 +16,7 @@ def job1_yearly_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, config = new_path(spark, "job1"), yearly_anomalies.load(None)
     yearly_anomalies.run(spark, sf_dir, out, config)
     rows = yearly_anomalies.run(spark, sf_dir, out, config)
-    return rows.select("px", "day", F.round("v", 9).alias("v"), F.col("z").cast("float").cast("double").alias("z"), "year")
+    return rows.select("px", "day", F.round("v", 9).alias("v"), F.round(F.col("z").cast("float").cast("double"), 9).alias("z"), "year")
 
 
 def job2_live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ QUERIES = {"job1_yearly_anomalies": job1_yearly_anomalies, "job2_live_events": j
 
 ORACLE_SQL = {
     "job1_yearly_anomalies": sql(
-        "dense", "SELECT d.px, d.day, round(v, 9) AS v, CAST(CAST((v - m) / s AS FLOAT) AS DOUBLE) AS z, CAST(year(d.day) AS INTEGER) AS year FROM dense d JOIN jc ON jc.px = d.px AND jc.md = strftime(d.day, '%m-%d')",
+        "dense", "SELECT d.px, d.day, round(v, 9) AS v, round(CAST(CAST((v - m) / s AS FLOAT) AS DOUBLE), 9) AS z, CAST(year(d.day) AS INTEGER) AS year FROM dense d JOIN jc ON jc.px = d.px AND jc.md = strftime(d.day, '%m-%d')",
         bd="SELECT px, day, v FROM dense WHERE year(day) BETWEEN 1995 AND 2000",
         jc="SELECT a.px, strftime(a.day, '%m-%d') AS md, avg(b.v) AS m, CASE WHEN stddev_pop(b.v) > 1e-7 THEN stddev_pop(b.v) END AS s FROM bd a JOIN bd b ON a.px = b.px AND b.day BETWEEN a.day - 3 AND a.day + 3 GROUP BY ALL",
     ),
