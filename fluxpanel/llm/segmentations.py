@@ -382,7 +382,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, id_col:
 
 
 def encode_best(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the library's own encoding (ids) of each whole text."""
+    """doc_id and the library's own encoding (ids) of each whole text; of a null or empty one, no ids. Rows stay as they are, repeated ones too."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):

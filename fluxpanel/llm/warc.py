@@ -168,7 +168,8 @@ def write_index(entries: DataFrame, block: int = ENTRIES) -> list[tuple[str, int
             yield pa.RecordBatch.from_pydict({"key": [directory[0][0]], "id": [directory[0][1]], "path": [path]}, schema=pa.schema([("key", pa.string()), ("id", pa.int64()), ("path", pa.string())]))
 
     keyed = entries.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
-    ordered = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id", "file", "offset")
+    # file and offset too, so that entries without URL and id, which share a key, are cut into files like others
+    ordered = keyed.repartitionByRange("key", "id", "file", "offset").sortWithinPartitions("key", "id", "file", "offset")
     return sorted(tuple(r) for r in ordered.mapInArrow(write, "key string, id bigint, path string").collect())
 
 
@@ -208,7 +209,8 @@ class IndexFile:
 def lookup(index: list[tuple[str, int, str]], wanted: DataFrame) -> DataFrame:
     """Captures of keys: rows of ``wanted`` have key and id (null: all captures of the key). Gives key, id, file, offset, length, date.
 
-    Each pair is searched for once, however often it is asked for. A task searches one index file, or a few.
+    Each pair is searched for once, however often it is asked for. A task searches one index file, or a few. A null key, one that is not there and
+    an empty table of either kind give no rows; captures that share key and id are all given.
     """
     spark = wanted.sparkSession
     top = spark.sparkContext.broadcast(index)
@@ -236,7 +238,7 @@ def lookup(index: list[tuple[str, int, str]], wanted: DataFrame) -> DataFrame:
                 out += opened.find((key, low), (key, high))
             yield entry_batch([(key, None if i == NO_ID else i, *rest) for key, i, *rest in out])
 
-    asked = wanted.select("key", F.coalesce("id", F.lit(NO_ID)).alias("low"), F.coalesce("id", F.lit(2**63 - 1)).alias("high")).distinct()
+    asked = wanted.filter("key is not null").select("key", F.coalesce("id", F.lit(NO_ID)).alias("low"), F.coalesce("id", F.lit(2**63 - 1)).alias("high")).distinct()
     found = asked.mapInArrow(files_of, "file_no int, key string, low bigint, high bigint")
     # index files are cut by range, so each has its share of the entries
     found = found.repartition(max(1, len(index)), "file_no").sortWithinPartitions("file_no", "key", "low")
@@ -246,7 +248,8 @@ def lookup(index: list[tuple[str, int, str]], wanted: DataFrame) -> DataFrame:
 def read_records(entries: DataFrame, tasks: int | None = None) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to of the records at the entries, by range reads; entries next to one another share a read.
 
-    An entry stands for far more bytes than it has, so the number of ``tasks`` is given (the session's shuffle partitions by default).
+    An entry stands for far more bytes than it has, so the number of ``tasks`` is given (the session's shuffle partitions by default). A repeated
+    entry gives its record again; no entries give no rows.
     """
     tasks = tasks or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -47,6 +47,23 @@ def test_lookup_finds_all_captures_of_a_key(spark):
     assert {r["page_id"] for r in read} == found and len(read) == len(found)
 
 
+def test_entries_without_url_and_id_lie_in_several_index_files(spark):
+    rows = [(None, None, f"body {i}") for i in range(400)] + [(7, "http://a/", "x"), (7, "http://a/", "x")]
+    entries = warc.write_archive(pages(spark, rows), file_bytes=2000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = warc.write_index(entries, block=5)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({p for k, i, p in index if k == ""}) > 1
+    wanted = spark.createDataFrame([("", None), ("a)/", 7), (None, 7), (None, None)], "key string, id bigint")
+    found = warc.lookup(index, wanted).collect()
+    assert sorted((r["key"], r["id"]) for r in found) == [("", None)] * 400 + [("a)/", 7)] * 2
+    assert len({(r["file"], r["offset"]) for r in found}) == 402
+    assert warc.lookup(index, wanted.limit(0)).count() == 0 and warc.read_records(warc.lookup(index, wanted.limit(0))).count() == 0
+    assert warc.lookup([], wanted).count() == 0
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     body = "b" * 200
     rows = [(2, "http://a/", body), (2, "http://a/", body), (None, "http://a/", body), (None, None, None), (3, "http://b/", body)]
@@ -177,7 +194,7 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 13))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
