@@ -344,6 +344,40 @@ def test_scores_equal_brute_force(spark):
         assert r["grade"] == max(range(3), key=lambda g: [1 - a, a - b, b][g]) and r["toxic"] == (a > 0.6) != r["kept"]
 
 
+def test_toxicity_query_equals_brute_force(spark, tmp_path, monkeypatch):
+    """The registered query: every row's score from the weights that it fitted, word by word, and its verdict from the cut; unlabelled rows are told apart."""
+    rnd = random.Random(21)
+    common = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(900):
+        text = [rnd.choice(common) for _ in range(rnd.randrange(5, 40))]
+        if i % 6 == 0:
+            text[rnd.randrange(len(text))] = rnd.choice(["vile", "Nasty,", "ROTTEN!"])
+        rows.append((i, " ".join(text)))
+    rows += [(900, None), (901, ""), (902, "Élan vile-nasty 漢"), (None, "vile"), (None, "word1")]
+    labels = [(i, int(i % 11 > 0), int(i % 6 == 0)) for i in range(0, 900, 2)] + [(i, 1, int(i % 6 == 0)) for i in range(3, 900, 12)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    models, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    got = queries.op5_toxicity(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got) == sorted((i is not None, i or 0) for i, _ in rows)
+    model = models[0]
+    weight = dict(zip(model["words"].tolist(), model["w"].tolist(), strict=True))
+    link = lambda z: 1 / (1 + math.exp(-z))
+    text_of = dict(rows[:903])
+    for r in got:
+        if r["doc_id"] is None:
+            continue
+        words = {w.lower() for w in re.split(r"[\x00-/:-@\[-`{-\x7f]+", text_of[r["doc_id"]] or "") if w}
+        z = sum(weight.get(int(toxicity.word_sets(pa.array([w]))[1][0]), 0.0) for w in words)
+        a, b = link(z - model["t"][0]), link(z - model["t"][1])
+        assert abs(r["p_toxic"] - a) < 1e-9 and abs(r["expected_severity"] - (a + b)) < 1e-9 and r["kept"] == (a <= model["cut"])
+    known = {i for i, _, _ in labels}
+    rest = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 900 and r["doc_id"] not in known]
+    assert len(rest) > 300 and all(r["kept"] == (r["doc_id"] % 6 > 0) for r in rest)
+
+
 def test_the_sample_is_bounded_in_rows_and_words(spark, monkeypatch):
     rows = [(i % 2, f"a b c{i}") for i in range(3001)] + [(2, " ".join(f"w{i}" for i in range(5000)))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
