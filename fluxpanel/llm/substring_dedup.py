@@ -5,14 +5,16 @@ cover. So two equal windows of ``window`` words share an anchor of ``window - PE
 in both, and only 4 of 13 places need an anchor.
 
 1. Texts are stored in chunks in the shared folder. A table has the chunks of the tasks that finished, so that whatever runs
-   again later finds the same ones. Each chunk sends its distinct anchors, by hash, to buckets; a bucket
-   sends back those that other chunks have too.
+   again later finds the same ones. The chunks of a task are a group: it sends its distinct anchors, by hash, to buckets, those
+   that several of its texts have apart; a bucket sends back those that are in more than one text.
 2. Each chunk extends its repeated anchors to the windows around them and keeps the earliest of each window it holds. It
    sends one row of numbers for each distinct window to buckets; a bucket finds the earliest chunk and sends back which
    windows the others lose.
 3. Each chunk removes the words of the windows it lost, to itself or to others.
 
-A passage in very many texts costs each chunk one entry, so no bucket gets more than chunks of a key. Nothing is paired.
+A passage in very many texts costs each group one anchor and each chunk one window, and a bucket never gathers its rows: it
+takes them in parts of PART_BYTES and keeps one entry for each distinct key, with the group that has it first or the earliest chunk.
+Hashes spread distinct keys evenly, so a bucket stays within its share however often a key comes. Nothing is paired.
 Anchors have 64-bit hashes (a clash costs some work, never a result), windows 96-bit ones. Rows between chunks and buckets are
 far smaller than the work they stand for, so the numbers of tasks are given and not left to the rows' size.
 """
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +38,29 @@ from .shared import get, new_path, put, written
 PERIOD, COVER = 13, (0, 1, 3, 9)
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
 CHUNK_BYTES = 6 << 20
-BUCKET_BYTES = 16 << 20
-#: Chunks for a task where there are more of them than tasks.
-TASK_CHUNKS = 16
+#: Text for a bucket: about 0.4 bytes of anchors a byte of text, if all are distinct.
+BUCKET_BYTES = 128 << 20
+#: Chunks for a task where there are more of them than tasks: so many that a group has several anchors for a bucket at any size.
+TASK_CHUNKS = 32
+#: Rows that a bucket takes at once.
+PART_BYTES = 8 << 20
 LAST = np.iinfo(np.int64).max
-ROW = "bucket int, chunk string, base int, data binary"
+#: ``chunk`` is a group in the first exchange and its answer; ``base`` is -1 in a chunk's or group's own row, which every one has.
+ROW = "bucket int, chunk bigint, base int, data binary"
 
 
-def _row(bucket: int, chunk: str, base: int, data: bytes) -> tuple:
+def _row(bucket: int, chunk: int, base: int, data: bytes) -> tuple:
     return bucket, chunk, base, data
 
 
-def _home(chunk: str, bits: int) -> int:
+def _home(chunk: int, bits: int) -> int:
     """The bucket through which a chunk's own row passes."""
-    return int(hashlib.md5(chunk.encode()).hexdigest()[:8], 16) % (1 << bits)
+    return (chunk * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - bits)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     b, c, s, d = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.string()), pa.array(s, pa.int32()), pa.array(d, pa.binary())], ["bucket", "chunk", "base", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(s, pa.int32()), pa.array(d, pa.binary())], ["bucket", "chunk", "base", "data"])
 
 
 def _save(uri: str, table: pa.Table) -> None:
@@ -101,19 +108,80 @@ def extended(first: np.ndarray, woff: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(step)[:n] > 0)
 
 
-def _groups(batches, key: str):
-    """Rows of sorted batches, gathered by a column."""
-    now, held = None, []
+def _rows(batches):
     for b in batches:
-        for r in zip(*[b.column(c).to_pylist() for c in ("bucket", "chunk", "base", "data")], strict=True):
-            k = r[0] if key == "bucket" else r[1]
-            if k != now and held:
-                yield now, held
-                held = []
-            now = k
+        yield from zip(*[b.column(c).to_pylist() for c in ("bucket", "chunk", "base", "data")], strict=True)
+
+
+def _by_chunk(batches):
+    """Rows of batches sorted by chunk, gathered: as many as a chunk or a group has sent."""
+    for chunk, rows in groupby(_rows(batches), lambda r: r[1]):
+        yield chunk, list(rows)
+
+
+def _parts(batches, most: int):
+    """(bucket, rows) of batches sorted by bucket, about ``most`` bytes at a time."""
+    for bucket, rows in groupby(_rows(batches), lambda r: r[0]):
+        held, size = [], 0
+        for r in rows:
             held.append(r)
-    if held:
-        yield now, held
+            size += len(r[3]) + 64
+            if size >= most:
+                yield bucket, held
+                held, size = [], 0
+        if held:
+            yield bucket, held
+
+
+def _answers(bucket: int, chunk: np.ndarray, values: np.ndarray) -> list[tuple]:
+    """A row for each chunk with its values."""
+    order = np.argsort(chunk, kind="stable")
+    chunk, values = chunk[order], values[order]
+    edge = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.zeros(0, np.int64)
+    return [_row(bucket, int(chunk[i]), 0, values[i:j].tobytes()) for i, j in zip(edge, np.append(edge[1:], len(chunk)), strict=False)]
+
+
+class AnchorBucket:
+    """The distinct anchors of a bucket; ``take`` finds which of the next rows' anchors are in more than one text."""
+
+    def __init__(self):
+        self.key, self.holder, self.told = np.zeros(0, K.U64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def take(self, key: np.ndarray, group: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(group, anchor) to tell, each once: the groups of these rows, and the one that had an anchor alone until now."""
+        known = len(self.key)
+        every, who = np.concatenate([self.key, key]), np.concatenate([self.holder, group])
+        sure = np.concatenate([self.told, several])
+        quiet = np.concatenate([self.told, np.zeros(len(key), bool)])
+        order = np.lexsort((np.arange(len(every)) >= known, every))
+        every, who, sure, quiet = every[order], who[order], sure[order], quiet[order]
+        first = np.ones(len(every), bool)
+        first[1:] = every[1:] != every[:-1]
+        run = np.cumsum(first) - 1
+        begin = np.flatnonzero(first)
+        hit = (np.bincount(run) > 1) | (np.bincount(run, sure) > 0)
+        tell = hit[run] & ~quiet
+        self.key, self.holder, self.told = every[begin], who[begin], hit
+        return who[tell], every[tell]
+
+
+class WindowBucket:
+    """The earliest of each distinct window of a bucket; ``take`` finds which windows are later than another."""
+
+    def __init__(self):
+        self.k1, self.k2, self.own = np.zeros(0, K.U64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.chunk, self.index = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def take(self, k1: np.ndarray, k2: np.ndarray, own: np.ndarray, chunk: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chunk, index) of the windows that these rows, or earlier ones, lose; each is lost once."""
+        pairs = [(self.k1, k1), (self.k2, k2), (self.own, own), (self.chunk, chunk), (self.index, index)]
+        k1, k2, own, chunk, index = [np.concatenate(p) for p in pairs]
+        order = np.lexsort((chunk, own, k2, k1))
+        k1, k2, own, chunk, index = [a[order] for a in (k1, k2, own, chunk, index)]
+        later = np.zeros(len(k1), bool)
+        later[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+        self.k1, self.k2, self.own, self.chunk, self.index = [a[~later] for a in (k1, k2, own, chunk, index)]
+        return chunk[later], index[later]
 
 
 def _send(keys: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
@@ -153,9 +221,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
 
         def flush():
             nonlocal k, held, held_bytes
-            chunk = f"{part:06d}-{k:06d}-{attempt}"
-            _save(f"{top}/{chunk}.texts", pa.Table.from_batches(held))
-            row = pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([held_bytes], pa.int64())], ["chunk", "bytes"])
+            chunk = part << 32 | k
+            _save(f"{top}/{chunk}-{attempt}.texts", pa.Table.from_batches(held))
+            row = pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([attempt], pa.int64()), pa.array([held_bytes], pa.int64())], ["chunk", "attempt", "bytes"])
             k, held, held_bytes = k + 1, [], 0
             return row
 
@@ -173,82 +241,82 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         if held:
             yield flush()
 
-    chunks = written(narrow.mapInArrow(stored, "chunk string, bytes bigint"), "chunks")
+    chunks = written(narrow.mapInArrow(stored, "chunk bigint, attempt bigint, bytes bigint"), "chunks")
     count, size = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     tasks = max(1, min(count, max(partitions, count // TASK_CHUNKS)))
     bits = min(30, max(8, (size // BUCKET_BYTES).bit_length(), (8 * partitions).bit_length()))  # several buckets a task, so that tasks are even
     shift = 64 - bits
 
     def first_pass(batches):
+        group, chunks, keys = TaskContext.get().partitionId(), [], []
         for b in batches:
-            for chunk in b.column("chunk").to_pylist():
-                h, woff = _words(_load(f"{top}/{chunk}.texts").column("text"))
-                keys = np.unique(anchors(h, woff, window)[1])
-                yield _batch([_row(_home(chunk, bits), chunk, -1, b""), *[_row(b, chunk, 0, keys[i:j].tobytes()) for b, i, j in _send(keys, shift)]])
+            for chunk, attempt in zip(b.column("chunk").to_pylist(), b.column("attempt").to_pylist(), strict=True):
+                h, woff = _words(_load(f"{top}/{chunk}-{attempt}.texts").column("text"))
+                chunks += [chunk, attempt]
+                keys.append(np.unique(anchors(h, woff, window)[1]))
+        if chunks:
+            keys, count = np.unique(np.concatenate(keys), return_counts=True)
+            yield _batch([_row(_home(group, bits), group, -1, np.array(chunks, np.int64).tobytes())])
+            for several in (0, 1):
+                some = keys[(count > 1) == several]
+                yield _batch([_row(b, group, several, some[i:j].tobytes()) for b, i, j in _send(some, shift)])
 
     def repeated_anchors(batches):
-        for _, rows in _groups(batches, "bucket"):
-            out = [r for r in rows if r[2] < 0]
+        now, state = None, None
+        for bucket, rows in _parts(batches, PART_BYTES):
+            if bucket != now:
+                now, state = bucket, AnchorBucket()
             sent = [r for r in rows if r[2] >= 0]
-            parts = [np.frombuffer(r[3], K.U64) for r in sent]
-            if parts:
-                every = np.sort(np.concatenate(parts))
-                twice = np.unique(every[1:][every[1:] == every[:-1]])
-                for r, p in zip(sent, parts, strict=True):
-                    hit = p[twice[np.minimum(np.searchsorted(twice, p), len(twice) - 1)] == p] if len(twice) else p[:0]
-                    if len(hit):
-                        out.append(_row(r[0], r[1], 0, hit.tobytes()))
-            if out:
-                yield _batch(out)
+            n = [len(r[3]) // 8 for r in sent]
+            key = np.frombuffer(b"".join(r[3] for r in sent), K.U64)
+            told = state.take(key, np.repeat(np.array([r[1] for r in sent], np.int64), n), np.repeat(np.array([r[2] == 1 for r in sent], bool), n))
+            yield _batch([*[r for r in rows if r[2] < 0], *_answers(bucket, *told)])
 
     def second_pass(batches):
-        for chunk, rows in _groups(batches, "chunk"):
-            table = _load(f"{top}/{chunk}.texts")
-            h, woff = _words(table.column("text"))
-            first, key = anchors(h, woff, window)
-            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-            far = np.sort(np.concatenate([np.zeros(0, K.U64), *[np.frombuffer(r[3], K.U64) for r in rows if r[2] >= 0]]))
-            known = far[np.minimum(np.searchsorted(far, key), len(far) - 1)] == key if len(far) else np.zeros(len(key), bool)
-            start = extended(first[known | (count[inverse] > 1)], woff, window)
-            h1, h2 = K.window_hash(h, start, window, 72), K.window_hash(h, start, window, 73) >> K.U64(32)
-            doc = np.searchsorted(woff, start, "right") - 1
-            ids = table.column("id").combine_chunks().fill_null(LAST).to_numpy()
-            order = np.lexsort((start, ids[doc], h2, h1))
-            new = np.ones(len(order), bool)
-            new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-            mine, lost = order[new], order[~new]
-            _save(f"{top}/{chunk}.windows", pa.table({"first": pa.array([start[mine].astype(np.int32), np.sort(start[lost]).astype(np.int32)], pa.list_(pa.int32()))}))
-            k1, k2, own = h1[mine], h2[mine].astype(np.uint32), ids[doc[mine]]
-            yield _batch([_row(_home(chunk, bits), chunk, -1, b""), *[_row(b, chunk, i, k1[i:j].tobytes() + k2[i:j].tobytes() + _planes(own[i:j])) for b, i, j in _send(k1, shift)]])
+        for _, rows in _by_chunk(batches):
+            far = np.sort(np.frombuffer(b"".join(r[3] for r in rows if r[2] >= 0), K.U64))
+            chunks = np.frombuffer(b"".join(r[3] for r in rows if r[2] < 0), np.int64).reshape(-1, 2)
+            for chunk, attempt in chunks.tolist():
+                table = _load(f"{top}/{chunk}-{attempt}.texts")
+                h, woff = _words(table.column("text"))
+                first, key = anchors(h, woff, window)
+                _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+                known = far[np.minimum(np.searchsorted(far, key), len(far) - 1)] == key if len(far) else np.zeros(len(key), bool)
+                start = extended(first[known | (count[inverse] > 1)], woff, window)
+                h1, h2 = K.window_hash(h, start, window, 72), K.window_hash(h, start, window, 73) >> K.U64(32)
+                doc = np.searchsorted(woff, start, "right") - 1
+                ids = table.column("id").combine_chunks().fill_null(LAST).to_numpy()
+                order = np.lexsort((start, ids[doc], h2, h1))
+                new = np.ones(len(order), bool)
+                new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+                mine, lost = order[new], order[~new]
+                _save(f"{top}/{chunk}-{attempt}.windows", pa.table({"first": pa.array([start[mine].astype(np.int32), np.sort(start[lost]).astype(np.int32)], pa.list_(pa.int32()))}))
+                k1, k2, own = h1[mine], h2[mine].astype(np.uint32), ids[doc[mine]]
+                yield _batch([_row(_home(chunk, bits), chunk, -1, np.array([attempt], np.int64).tobytes()), *[_row(b, chunk, i, k1[i:j].tobytes() + k2[i:j].tobytes() + _planes(own[i:j])) for b, i, j in _send(k1, shift)]])
 
     def later_windows(batches):
-        for _, rows in _groups(batches, "bucket"):
-            out = [r for r in rows if r[2] < 0]
-            sent = sorted((r for r in rows if r[2] >= 0), key=lambda r: r[1])
-            if sent:
-                n = np.array([len(r[3]) // 20 for r in sent])
+        now, state = None, None
+        for bucket, rows in _parts(batches, PART_BYTES):
+            if bucket != now:
+                now, state = bucket, WindowBucket()
+            lost = []
+            if sent := [r for r in rows if r[2] >= 0]:
+                n = [len(r[3]) // 20 for r in sent]
                 k1 = np.concatenate([np.frombuffer(r[3], K.U64, m) for r, m in zip(sent, n, strict=True)])
                 k2 = np.concatenate([np.frombuffer(r[3], np.uint32, m, 8 * m) for r, m in zip(sent, n, strict=True)])
                 own = np.concatenate([np.ascontiguousarray(np.frombuffer(r[3], np.uint8, 8 * m, 12 * m).reshape(8, m).T).view("<i8").ravel() for r, m in zip(sent, n, strict=True)])
-                src = np.repeat(np.arange(len(sent)), n)
-                order = np.lexsort((src, own, k2, k1))
-                later = np.zeros(len(order), bool)
-                later[1:] = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
-                gone = np.sort(order[later])
-                begin = np.cumsum(n) - n
-                cut = np.searchsorted(gone, np.append(begin, len(k1)))
-                for x, r in enumerate(sent):
-                    if cut[x + 1] > cut[x]:
-                        out.append(_row(r[0], r[1], 0, (gone[cut[x] : cut[x + 1]] - begin[x] + r[2]).astype(np.uint32).tobytes()))
-            if out:
-                yield _batch(out)
+                index = np.concatenate([np.arange(r[2], r[2] + m) for r, m in zip(sent, n, strict=True)])
+                chunk, index = state.take(k1, k2, own, np.repeat(np.array([r[1] for r in sent], np.int64), n), index)
+                lost = _answers(bucket, chunk, index.astype(np.uint32))
+            yield _batch([*[r for r in rows if r[2] < 0], *lost])
 
     fields = [*names, *made]
 
     def third_pass(batches):
-        for chunk, rows in _groups(batches, "chunk"):
-            table = _load(f"{top}/{chunk}.texts")
-            mine, lost = _load(f"{top}/{chunk}.windows").column("first").to_pylist()
+        for chunk, rows in _by_chunk(batches):
+            attempt = int(np.frombuffer(next(r[3] for r in rows if r[2] < 0), np.int64)[0])
+            table = _load(f"{top}/{chunk}-{attempt}.texts")
+            mine, lost = _load(f"{top}/{chunk}-{attempt}.windows").column("first").to_pylist()
             far = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(r[3], np.uint32) for r in rows if r[2] >= 0]])
             first = np.concatenate([np.array(lost, np.int64), np.array(mine, np.int64)[far]])
             text = K.texts(table.column("text"))
@@ -280,10 +348,12 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
                 out.append(pa.array([t if k is None else k for t, k in zip(old, kept, strict=True)], pa.string()))
             yield from pa.Table.from_arrays(out, fields).to_batches(max_chunksize=2000)
 
-    def by(df: DataFrame, key: str) -> DataFrame:
-        return df.repartition(tasks if key == "chunk" else partitions, key).sortWithinPartitions(key)
+    def by_bucket(df: DataFrame) -> DataFrame:
+        return df.repartition(partitions, "bucket").sortWithinPartitions("bucket")
 
-    one = by(chunks.select("chunk").repartition(tasks).mapInArrow(first_pass, ROW), "bucket").mapInArrow(repeated_anchors, ROW)
-    two = by(by(one, "chunk").mapInArrow(second_pass, ROW), "bucket").mapInArrow(later_windows, ROW)
+    # dealt out in a fixed order, so that a task that runs again has the same group
+    one = by_bucket(chunks.select("chunk", "attempt").repartition(tasks).mapInArrow(first_pass, ROW)).mapInArrow(repeated_anchors, ROW)
+    grouped = one.repartitionById(tasks, F.col("chunk").cast("int")).sortWithinPartitions("chunk")
+    two = by_bucket(grouped.mapInArrow(second_pass, ROW)).mapInArrow(later_windows, ROW)
     schema = ", ".join([*[f"{n} {kinds[c]}" for n, c in zip(names, carry, strict=True)], "n_words bigint, n_removed bigint, kept_sha256 string", *["kept_text string"] * with_text])
-    return by(two, "chunk").mapInArrow(third_pass, schema).toDF(*carry, *made)
+    return two.repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInArrow(third_pass, schema).toDF(*carry, *made)

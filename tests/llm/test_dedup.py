@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fluxpanel.llm import substring_dedup as passages
 from fluxpanel.llm.exact_dedup import exact_dedup, judged, marked
 from fluxpanel.llm.minhash import by_cheaper_groups, near_dedup
-from fluxpanel.llm.substring_dedup import substring_dedup
+from fluxpanel.llm.substring_dedup import AnchorBucket, WindowBucket, substring_dedup
 
 DOCS = "doc_id bigint, text string, lang string, keep_id string, group_size int"
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -200,3 +202,53 @@ def test_substring_repeated_ids_and_empty_table(spark):
     assert sorted(r["n_removed"] for r in rows) == [0, 25, 25]
     assert [r["n_removed"] for r in rows if r["doc_id"] is None] == [25]
     assert substring_dedup(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("chunks", [1, 5])
+def test_substring_passage_in_every_chunk_by_small_parts(spark, monkeypatch, chunks):
+    monkeypatch.setattr(passages, "CHUNK_BYTES", 150)
+    monkeypatch.setattr(passages, "TASK_CHUNKS", chunks)
+    monkeypatch.setattr(passages, "PART_BYTES", 200)
+    rnd = random.Random(5)
+    hot = [f"h{i}" for i in range(35)]
+    texts = []
+    for _ in range(60):
+        t = [f"u{rnd.randrange(10**6)}" for _ in range(rnd.randrange(30))]
+        at = rnd.randrange(len(t) + 1)
+        texts.append(" ".join([*t[:at], *hot, *t[at:]]))
+    texts[7] = " ".join(hot * 3)
+    want = substring_brute(enumerate(texts), 20)
+    rows = {r["doc_id"]: r for r in substring_dedup(frame(spark, texts)).collect()}
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in rows.items()} == want
+
+
+def test_substring_buckets_keep_distinct_keys_only():
+    rnd = random.Random(8)
+    sent = [(g, k, rnd.random() < 0.05) for g in range(400) for k in sorted({0, *(rnd.randrange(1, 3000) for _ in range(5))})]
+    rnd.shuffle(sent)
+    holders, sure = {}, set()
+    for g, k, several in sent:
+        holders.setdefault(k, []).append(g)
+        if several:
+            sure.add(k)
+    bucket, told = AnchorBucket(), []
+    for i in range(0, len(sent), 37):
+        g, k, several = zip(*sent[i : i + 37], strict=True)
+        who, key = bucket.take(np.array(k, np.uint64), np.array(g), np.array(several))
+        told += zip(who.tolist(), key.tolist(), strict=True)
+    assert len(bucket.key) == len(holders)
+    assert sorted(told) == sorted((g, k) for k, all_of in holders.items() for g in all_of if len(all_of) > 1 or k in sure)
+
+    windows = [(rnd.randrange(40), rnd.randrange(2), rnd.randrange(9), chunk, n) for chunk in range(300) for n in range(3)]
+    rnd.shuffle(windows)
+    bucket, lost = WindowBucket(), []
+    for i in range(0, len(windows), 41):
+        k1, k2, own, chunk, n = (np.array(a) for a in zip(*windows[i : i + 41], strict=True))
+        who, index = bucket.take(k1.astype(np.uint64), k2.astype(np.uint32), own, chunk, n)
+        lost += zip(who.tolist(), index.tolist(), strict=True)
+    first = {}
+    for k1, k2, own, chunk, n in windows:
+        first[k1, k2] = min(first.get((k1, k2), (own, chunk)), (own, chunk))
+    assert len(bucket.k1) == len(first) and len(lost) == len(set(lost)) == len(windows) - len(first)
+    left = {(k1, k2): (own, chunk) for k1, k2, own, chunk, n in windows if (chunk, n) not in set(lost)}
+    assert left == first
