@@ -142,7 +142,8 @@ def judge_urls(pages: DataFrame, url_col: str = "url", host_rules=HOST_RULES, pa
 
     ``host_rules`` (host, path, verdict) and ``patterns`` (pattern, tokens) are lists or tables of any number of rows. A host
     rule decides where one fits, the longest first. Else a pattern that matches blocks the URL, and without one it is
-    allowed. A null URL is allowed (by default); one without ``://`` has an empty host and path and is tested by the patterns alone,
+    allowed. A pattern's tokens have to be whole tokens of every URL it matches: this is not checked, and a URL without the rarest of them is not tested by
+    the pattern. A null URL is allowed (by default); one without ``://`` has an empty host and path and is tested by the patterns alone,
     unless a rule has an empty host. URLs are read whole, however long. Rows stay as they are, repeated ones too; equal URLs have equal verdicts. An empty table
     gives no rows. Input columns named like an output column are replaced.
     """

@@ -151,6 +151,12 @@ def test_rules_that_cannot_be_filed(spark):
         url_rules.judge_urls(df, patterns=spark.createDataFrame([("x", None)], "pattern string, tokens array<string>"))
 
 
+def test_tokens_that_are_not_in_every_match_narrow_a_pattern(spark):
+    urls = ["http://a.org/shop", "http://a.org/shopping", "http://a.org/x", None]
+    rows = url_rules.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), host_rules=[], patterns=[("shop", ["shop"])]).collect()
+    assert {r["url"]: r["verdict"] for r in rows} == {urls[0]: "block", urls[1]: "allow", urls[2]: "allow", None: "allow"}
+
+
 def test_patterns_are_filed_under_the_rarest_token(spark):
     df = spark.createDataFrame([("http://spam.a/",), ("http://spam.b/",), ("http://farm.c/",)], "url string")
     index = url_rules.rarest_tokens(df, "url", url_rules.pattern_table(spark, [("spam-farm", ["spam", "farm"]), ("none", ["spam", "none"])]))
