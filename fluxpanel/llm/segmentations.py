@@ -12,7 +12,7 @@ location, cut off at the score of the set it came from. The k sets taken first g
 replacement; the score that would come next is the threshold of the inclusion scores 1 - exp(-exp(log p - threshold)).
 
 No piece of the vocabulary crosses certain byte pairs (before a space, mostly), so the lattice falls into units there, and
-each distinct unit's lattice is built once for a worker. Random numbers are a hash of row key, sample, unit and step:
+each distinct unit's lattice is built once for a worker, and again after its edges have passed ``KEPT``. Random numbers are a hash of row key, sample, unit and step:
 the same row gives the same samples wherever it is.
 """
 
@@ -29,7 +29,8 @@ from . import kernel as K
 
 SHIFT = 2.7
 SAMPLES = 3
-KEPT = 500_000
+#: Edges that a worker keeps (28 bytes each) before it builds its lattices anew; a slice of texts may add its own to them.
+KEPT = 3_000_000
 SLICE = 1 << 20
 SPACE_MARK = "▁".encode()
 
@@ -184,7 +185,7 @@ class Lattices:
 
     def units(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(root of each unit, unit offsets by text)."""
-        if len(self.keys) > KEPT:
+        if self.edges > KEPT:
             self._forget()
         cut = np.zeros(len(data) + 1, bool)
         cut[1:-1] = ~self.joined[data[:-1], data[1:]]

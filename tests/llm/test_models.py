@@ -82,6 +82,21 @@ def test_few_segmentations_are_all_given(lat):
     assert len(two) == min(3, count)
 
 
+def test_lattices_of_ever_new_words_take_bounded_memory(lat):
+    rnd = random.Random(2)
+    text = lambda: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(75_000))
+    fresh, held = segmentations.Lattices(tokenizer_path(MODEL)), []
+    drawn = lambda x: list(draw(x, ["common words and rare ones"] * 3, [1, 2, 3], 3))
+    before = drawn(fresh)
+    for _ in range(6):
+        col = K.texts(pa.array([text()]))
+        for i, n, data, at in K.slices(col, segmentations.SLICE):
+            fresh.units(*segmentations.prepared(col, i, n, data, at))
+        held.append(sum(x.nbytes for x in vars(fresh).values() if isinstance(x, np.ndarray)))
+    assert max(held) < 200e6 and held[-1] < max(held) * 1.01, held
+    assert drawn(fresh) == before == drawn(lat)
+
+
 def test_rows_round_trip_and_repeat(spark):
     rnd = random.Random(0)
     texts = [" ".join("".join(rnd.choice("abcdeéß漢 \n\t▁'.") for _ in range(rnd.randrange(9))) for _ in range(rnd.randrange(40))) for _ in range(60)] + [None, "", " ", "word " * 4000]
