@@ -1,7 +1,7 @@
 """Events from a stream of raw values, with all windows kept in each place's state.
 
-A row is a value of a place and time, with the climatology of its calendar day. Values of one day are summed before they are shuffled and once more in the
-state, until the watermark closes the day. The state keeps the last ``TAIL`` closed days as they are: the 5-day and 30-day means, the least
+A row is a value of a place and time, with the climatology of its calendar day. Values of one day are summed within each task, then by place and day, so that
+one row of a place and day comes to the state from a micro-batch however many values there are; the state adds those of several, until the watermark closes the day. The state keeps the last ``TAIL`` closed days as they are: the 5-day and 30-day means, the least
 values of the 20 days ahead and the 61 days around are taken from them, with the frames, least counts and rounding of the batch features, when the
 30 days ahead and two for smoothing are closed too. Then the day is judged, and an event is emitted once the day that ends it is.
 
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,6 +27,8 @@ from ..operators.events import Rule
 #: Days that a day's windows look ahead, and closed days that are kept.
 AHEAD, TAIL = 32, 64
 DAY_MS = 86_400_000
+#: Rows that a task holds at most while it sums them.
+HELD = 1 << 19
 FIELDS = ["day", "total", "n", "t_total", "t_n", "clim_mean", "clim_std"]
 OPEN = "array<struct<day:int,total:double,n:bigint,t_total:double,t_n:bigint,clim_mean:double,clim_std:double>>"
 #: Last closed day, values of the last closed days, sums of the open ones, and the event under way (its first day, -1: none).
@@ -33,13 +36,41 @@ STATE = f"upto int, z array<double>, t array<double>, open {OPEN}, armed boolean
 NEEDED = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def day_sums(batches):
-    """Sums of each place and day within a task, before anything is shuffled."""
+def together(parts: list) -> pa.Table:
+    """One row for each place and day of the given sums."""
+    t = pa.Table.from_batches(parts)
+    how = [(c, "min" if c.startswith("clim") else "sum") for c in t.column_names[2:]]
+    return t.group_by(["px", "day"], use_threads=False).aggregate(how).select(["px", "day", *["_".join(x) for x in how]]).rename_columns(t.column_names)
+
+
+def summed(batches):
+    """Sums of each place and day over all rows of a task. Places and days that are more than half of ``HELD`` are given out between and may come again."""
+    held, rows = [], 0
     for b in batches:
-        t = pa.Table.from_batches([b])
-        g = t.group_by(["px", "day"]).aggregate([("value", "sum"), ("value", "count"), ("t", "sum"), ("t", "count"), ("clim_mean", "min"), ("clim_std", "min")])
-        g = g.select(["px", "day", "value_sum", "value_count", "t_sum", "t_count", "clim_mean_min", "clim_std_min"]).rename_columns(["px", *FIELDS])
-        yield from g.to_batches()
+        held.append(b)
+        rows += b.num_rows
+        if rows < HELD:
+            continue
+        held = together(held).combine_chunks().to_batches(max_chunksize=HELD // 8)
+        rows = sum(x.num_rows for x in held)
+        if rows > HELD // 2:
+            yield from held
+            held, rows = [], 0
+    if held:
+        yield from together(held).to_batches(max_chunksize=HELD // 8)
+
+
+def day_sums(batches):
+    """The same of raw rows."""
+    there = lambda b, c: pc.is_valid(b.column(c)).cast(pa.int64())
+    names = ["px", *FIELDS]
+
+    def ones():
+        for b in batches:
+            cols = [b.column("px"), b.column("day"), b.column("value"), there(b, "value"), b.column("t"), there(b, "t"), *b.columns[4:]]
+            yield pa.RecordBatch.from_arrays(cols, names[: len(cols)])
+
+    return summed(ones())
 
 
 def sliding(x: np.ndarray, before: int, after: int, fn: str, least: int = 1) -> np.ndarray:
@@ -168,17 +199,27 @@ class RawEvents(StatefulProcessor):
         return pd.DataFrame({"px": [key[0]] * len(out), "start": date("s"), "end": date("e"), "length": (out["e"] - out["s"]).astype("int32"), "max_intensity": out["max_intensity"].astype("float64")})
 
 
-def detect_raw(rows: DataFrame, first, last=None, rule: Rule = Rule(), delay: str = "0 days") -> DataFrame:
+def daily_sums(rows: DataFrame, climatology: DataFrame | None = None) -> DataFrame:
+    """px and FIELDS of raw rows, as ``detect_raw`` takes them: a row for each place and day, unless a task has more of them than it may hold."""
+    kind = dict(rows.dtypes)["px"]
+    cols = ["value", "t"] if climatology is not None else ["value", "t", "clim_mean", "clim_std"]
+    narrow = rows.filter("px is not null and ts is not null").select("px", F.unix_date(F.to_date("ts")).alias("day"), *[F.col(c).cast("double").alias(c) for c in cols])
+    kinds = f"px {kind}, day int, total double, n bigint, t_total double, t_n bigint" + "".join(f", {c} double" for c in cols[2:])
+    sums = narrow.mapInArrow(day_sums, kinds).repartition("px", "day").mapInArrow(summed, kinds)
+    if climatology is not None:
+        sums = sums.withColumn("md", F.date_format(F.date_from_unix_date("day"), "MM-dd")).join(climatology, ["px", "md"], "left").select("px", *FIELDS)
+    return sums
+
+
+def detect_raw(rows: DataFrame, first, last=None, rule: Rule = Rule(), delay: str = "0 days", climatology: DataFrame | None = None) -> DataFrame:
     """px, start, end, length, max_intensity of a stream of px, ts, value, t (a temperature, may be null), clim_mean and clim_std.
 
     ``first`` is the record's first day (a date), ``last`` its last one, if it has one; ``delay`` how far behind the latest row others may come. Rows without
-    a place or time are left out; one without values only moves the time on. Repeated rows count twice, as in the batch. The session needs the
-    settings of ``NEEDED`` when the stream starts.
+    a place or time are left out; one without values only moves the time on. Repeated rows count twice, as in the batch. With a ``climatology`` of px, md,
+    clim_mean and clim_std the rows need not have the last two: the days' sums are joined with it. The session needs the settings of ``NEEDED`` when the stream starts.
     """
     epoch = pd.Timestamp(0).date()
     kind = dict(rows.dtypes)["px"]
-    narrow = rows.filter("px is not null and ts is not null").select("px", F.unix_date(F.to_date("ts")).alias("day"), *[F.col(c).cast("double").alias(c) for c in ("value", "t", "clim_mean", "clim_std")])
-    sums = narrow.mapInArrow(day_sums, f"px {kind}, day int, total double, n bigint, t_total double, t_n bigint, clim_mean double, clim_std double")
-    timed = sums.withColumn("ts", F.timestamp_seconds(F.col("day").cast("bigint") * 86400)).withWatermark("ts", delay)
+    timed = daily_sums(rows, climatology).withColumn("ts", F.timestamp_seconds(F.col("day").cast("bigint") * 86400)).withWatermark("ts", delay)
     days = lambda d: None if d is None else (d - epoch).days
     return timed.groupBy("px").transformWithStateInPandas(RawEvents(rule, days(first), days(last)), f"px {kind}, start date, end date, length int, max_intensity double", "Append", "EventTime")

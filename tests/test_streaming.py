@@ -5,6 +5,7 @@ import random
 import time
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fluxpanel.operators import events
@@ -131,6 +132,48 @@ def test_raw_stream_with_an_end_gives_the_batch_rows_and_leaves_late_rows_out(sp
     assert written(spark, tmp_path) == want and any(e[2] > LAST - dt.timedelta(days=32) for e in want)
 
 
+def test_one_row_of_a_place_and_day_comes_to_the_state(spark, monkeypatch):
+    """However many values, batches and tasks there are; with sums that are more than a task may hold some come again, and nothing is lost."""
+    rnd = random.Random(4)
+    rows = [(px, dt.datetime(2000, 1, 1) + dt.timedelta(days=rnd.randrange(40)), rnd.choice([None, rnd.random()]), rnd.choice([None, 280.0]), px + 1.0, 2.0) for _ in range(6000) for px in range(3)]
+    want = {}
+    for px, ts, v, t, mean, std in rows:
+        x = want.setdefault((px, (ts.date() - dt.date(1970, 1, 1)).days), [0.0, 0, 0.0, 0, mean, std])
+        for k, y in ((0, v), (2, t)):
+            x[k] += y or 0.0
+            x[k + 1] += y is not None
+
+    def same(got):
+        assert got.keys() == want.keys()
+        assert all(abs(g - w) < 1e-6 for k in want for g, w in zip(got[k], want[k], strict=True))
+
+    df = spark.createDataFrame(rows, RAW).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = [tuple(r) for r in raw.daily_sums(df).collect()]
+        clim = df.select("px", F.date_format("ts", "MM-dd").alias("md"), "clim_mean", "clim_std").distinct()
+        joined = [tuple(r) for r in raw.daily_sums(df.drop("clim_mean", "clim_std"), clim).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(joined) == len(want) == 120
+    same({r[:2]: r[2:] for r in found})
+    same({r[:2]: r[2:] for r in joined})
+    epoch = dt.datetime(1970, 1, 1)
+    table = pa.table([[(r[k] - epoch).days if k == 1 else r[k] for r in rows] for k in range(6)], ["px", "day", "value", "t", "clim_mean", "clim_std"])
+    assert sum(b.num_rows for b in raw.day_sums(table.to_batches(max_chunksize=100))) == 120
+    for held in (64, 200, 300):
+        monkeypatch.setattr(raw, "HELD", held)
+        got = {}
+        parts = list(raw.day_sums(table.to_batches(max_chunksize=50)))
+        assert max(b.num_rows for b in parts) <= held
+        for r in (r for b in parts for r in zip(*[c.to_pylist() for c in b.columns], strict=True)):
+            x = got.setdefault(r[:2], [0.0, 0, 0.0, 0, *r[6:]])
+            for k in range(4):
+                x[k] += r[2 + k] or 0
+        same(got)
+    assert not [b for b in raw.day_sums(table.slice(0, 0).to_batches()) if b.num_rows]
+
+
 def test_places_are_closed_in_any_steps():
     """The same days closed at once, one by one and in uneven steps give the same events; the state stays small."""
     rows = [(int((r[1].date() - dt.date(1970, 1, 1)).days), *r) for r in raw_rows(seed=3, places=1)]
